@@ -32,7 +32,7 @@ def ts_long(spark: SparkSession, sf: str) -> DataFrame:
 
 def user_stays(spark: SparkSession, sf: str) -> DataFrame:
     """Stays of the time series: one per user, dated by the user's events."""
-    stay = TD._events(spark, sf).groupBy("stay_id").agg(
+    stay = TD.events(spark, sf).groupBy("stay_id").agg(
         F.min("charttime").alias("intime"), F.max("charttime").alias("outtime")
     )
     return stay.select(

@@ -22,7 +22,10 @@ RUNTIME_CONF = {
 
 def build_session(app: str = "ventide", master: str | None = None, cores: int = 8) -> SparkSession:
     """A session for local runs; on a cluster the submitter's settings win."""
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config(
+        # Call-site capture costs several driver round trips per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled", "false"
+    )
     if master:
         builder = (
             builder.master(master)

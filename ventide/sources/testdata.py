@@ -8,15 +8,9 @@ procedure. Every rule is arithmetic on the given rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide import config as C
-from ventide.functions.timefn import micros
-
-EPOCH_US = 1_704_067_200_000_000
-SQUEEZE = 24
-
 DRUG_NAMES = ("Norepinephrine", "Propofol", "Fentanyl", "Rocuronium", "Dobutamine",
               "Vasopressin", "Midazolam", "Morphine Sulfate", "Milrinone", "NaCl 0.9%")
 
@@ -25,196 +19,165 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _case(*pairs: tuple[Column, object]) -> Column:
-    out = None
-    for condition, value in pairs:
-        value = value if isinstance(value, Column) else F.lit(value)
-        out = F.when(condition, value) if out is None else out.when(condition, value)
-    return out
+def _plus_minutes(base: str, minutes: str) -> str:
+    return (f"timestamp_micros(unix_micros(cast({base} as timestamp))"
+            f" + cast({minutes} as bigint) * 60000000)")
 
 
-def _plus_minutes(base: Column, minutes: Column) -> Column:
-    return F.timestamp_micros(micros(base) + minutes.cast("long") * 60_000_000)
+_MINUTE = "floor((unix_micros(cast(ts as timestamp)) - 1704067200000000) / 1440000000)"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    minute = F.floor((micros(F.col("ts")) - EPOCH_US) / F.lit(SQUEEZE * 60_000_000))
-    return table(spark, sf_dir, "events").select(
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events on the squeezed clock: stay, minute, kind, value v and payload number k."""
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.col("user_id").alias("stay_id"),
-        F.timestamp_micros(F.lit(EPOCH_US) + minute * 60_000_000).alias("charttime"),
+        "user_id AS stay_id",
+        f"timestamp_micros(1704067200000000 + {_MINUTE} * 60000000) AS charttime",
         "event_type",
-        F.col("value").alias("v"),
-        k.alias("k"),
+        "value AS v",
+        "cast(get_json_object(props, '$.k') as int) AS k",
     )
 
 
+_ITEM = """CASE event_type
+  WHEN 'view' THEN CASE WHEN k % 3 = 0 THEN 220277 WHEN k % 3 = 1 THEN 224690 ELSE 228640 END
+  WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 223835 WHEN k % 4 = 1 THEN 224700
+                         ELSE 220339 END
+  WHEN 'purchase' THEN CASE WHEN k % 4 = 0 THEN 224695 WHEN k % 4 = 1 THEN 224687
+                            WHEN k % 4 = 2 THEN 224685 ELSE 224691 END
+  WHEN 'error' THEN CASE WHEN k % 4 = 0 THEN 226873 WHEN k % 4 = 1 THEN 226871
+                         WHEN k % 4 = 2 THEN 223849 WHEN k % 8 = 3 THEN 226732
+                         WHEN k % 16 = 7 THEN 226730 ELSE 226531 END
+  END"""
+_NUMBER = """CASE itemid
+  WHEN 220277 THEN 78 + v % 25 WHEN 224690 THEN v % 90 WHEN 228640 THEN v % 120
+  WHEN 223835 THEN CASE WHEN k % 20 = 0 THEN (v % 100) / 100 ELSE 15 + v % 95 END
+  WHEN 224700 THEN v % 45 WHEN 220339 THEN v % 45 WHEN 224695 THEN v % 100
+  WHEN 224687 THEN v % 50 WHEN 224685 THEN v * 10 WHEN 224691 THEN v % 180
+  WHEN 226873 THEN v % 12 WHEN 226871 THEN v % 25 WHEN 226730 THEN 90 + v % 170
+  WHEN 226531 THEN 40 + v END"""
+_TEXT = """CASE
+  WHEN itemid = 223849 AND k % 10 <> 2 THEN concat('MODE_', k % 5)
+  WHEN itemid = 226732 AND k % 16 = 3 THEN 'Endotracheal tube'
+  WHEN itemid = 226732 THEN 'Nasal cannula' END"""
+
+
 def chartevents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, k, v = F.col("event_type"), F.col("k"), F.col("v")
-    rules = [
-        ((kind == "view") & (k % 3 == 0), 220277, 78 + v % 25),
-        ((kind == "view") & (k % 3 == 1), 224690, v % 90),
-        (kind == "view", 228640, v % 120),
-        ((kind == "click") & (k % 20 == 0), C.ITEM_FIO2, (v % 100) / 100),
-        ((kind == "click") & (k % 2 == 0), C.ITEM_FIO2, 15 + v % 95),
-        ((kind == "click") & (k % 4 == 1), 224700, v % 45),
-        (kind == "click", C.ITEM_PEEP_SET, v % 45),
-        ((kind == "purchase") & (k % 4 == 0), 224695, v % 100),
-        ((kind == "purchase") & (k % 4 == 1), 224687, v % 50),
-        ((kind == "purchase") & (k % 4 == 2), 224685, v * 10),
-        (kind == "purchase", 224691, v % 180),
-        ((kind == "error") & (k % 4 == 0), 226873, v % 12),
-        ((kind == "error") & (k % 4 == 1), 226871, v % 25),
-        ((kind == "error") & (k % 4 == 2), C.ITEM_VENT_MODE, F.lit(None).cast("double")),
-        ((kind == "error") & (k % 8 == 3), C.ITEM_O2_DEVICE, F.lit(None).cast("double")),
-        ((kind == "error") & (k % 16 == 7), 226730, 90 + v % 170),
-        (kind == "error", 226531, 40 + v),
-    ]
-    item = _case(*[(condition, item) for condition, item, _ in rules])
-    value = _case(*[(condition, number) for condition, _, number in rules])
-    text = _case(
-        (item == C.ITEM_VENT_MODE, F.when(k % 10 != 2, F.concat(F.lit("MODE_"), k % 5))),
-        (item == C.ITEM_O2_DEVICE, F.when(k % 16 == 3, F.lit("Endotracheal tube"))
-         .otherwise(F.lit("Nasal cannula"))),
-    )
-    return _events(spark, sf_dir).where(kind != "signup").select(
-        F.floor(F.col("stay_id") / 2).alias("subject_id"),
-        F.col("stay_id").alias("hadm_id"),
+    charted = events(spark, sf_dir).where("event_type <> 'signup'")
+    return charted.selectExpr("*", f"{_ITEM} AS itemid").selectExpr(
+        "stay_id div 2 AS subject_id",
+        "stay_id AS hadm_id",
         "stay_id",
         "charttime",
-        item.cast("long").alias("itemid"),
-        text.alias("value"),
-        F.round(value, 2).alias("valuenum"),
-        F.when(v > 100, 1).otherwise(0).cast("long").alias("warning"),
+        "cast(itemid as bigint) AS itemid",
+        f"{_TEXT} AS value",
+        f"round({_NUMBER}, 2) AS valuenum",
+        "cast(if(v > 100, 1, 0) as bigint) AS warning",
     )
 
 
 def inputevents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, v = F.col("k"), F.col("v")
-    return _events(spark, sf_dir).where(F.col("event_type") == "signup").select(
+    return events(spark, sf_dir).where("event_type = 'signup'").selectExpr(
         "stay_id",
-        k.cast("long").alias("itemid"),
-        F.col("charttime").alias("starttime"),
-        F.when(k % 17 != 0, _plus_minutes(F.col("charttime"), F.floor(v) * 2)).alias("endtime"),
-        F.when(k % 13 != 0, v).alias("rate"),
-        (v * 2).alias("amount"),
-        F.when(k % 19 == 0, F.lit("Rewritten"))
-        .when(k % 23 != 0, F.lit("FinishedRunning"))
-        .alias("statusdescription"),
+        "cast(k as bigint) AS itemid",
+        "charttime AS starttime",
+        f"CASE WHEN k % 17 <> 0 THEN {_plus_minutes('charttime', 'floor(v) * 2')} END AS endtime",
+        "CASE WHEN k % 13 <> 0 THEN v END AS rate",
+        "v * 2 AS amount",
+        "CASE WHEN k % 19 = 0 THEN 'Rewritten' WHEN k % 23 <> 0 THEN 'FinishedRunning' END"
+        " AS statusdescription",
     )
 
 
 def d_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    names = F.array(*[F.lit(n) for n in DRUG_NAMES])
-    return table(spark, sf_dir, "part").select(
-        key.alias("itemid"),
-        F.concat(F.get(names, (key % 10).cast("int")), F.lit(" "), F.col("p_name")).alias("label"),
-        F.when(key % 50 == 49, F.lit("chartevents")).otherwise(F.lit("inputevents"))
-        .alias("linksto"),
+    names = ", ".join(f"'{n}'" for n in DRUG_NAMES)
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS itemid",
+        f"concat(get(array({names}), cast(p_partkey % 10 as int)), ' ', p_name) AS label",
+        "if(p_partkey % 50 = 49, 'chartevents', 'inputevents') AS linksto",
     )
 
 
 def procedures_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    rows = _events(spark, sf_dir).where((F.col("event_type") == "signup") & (k % 3 == 0))
-    return rows.select(
+    return events(spark, sf_dir).where("event_type = 'signup' AND k % 3 = 0").selectExpr(
         "stay_id",
-        F.when(k % 9 == 6, 225794).otherwise(C.ITEM_INVASIVE_VENT).cast("long").alias("itemid"),
-        F.col("charttime").alias("starttime"),
-        F.when(k % 5 != 0, _plus_minutes(F.col("charttime"), F.floor(F.col("v")) * 3))
-        .alias("endtime"),
+        "cast(if(k % 9 = 6, 225794, 225792) as bigint) AS itemid",
+        "charttime AS starttime",
+        f"CASE WHEN k % 5 <> 0 THEN {_plus_minutes('charttime', 'floor(v) * 3')} END AS endtime",
     )
 
 
 def procedures_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    start = _plus_minutes(F.col("l_shipdate"), n * 360)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("stay_id"),
-        F.when(F.col("l_returnflag") == "N", 225794).otherwise(C.ITEM_INVASIVE_VENT)
-        .cast("long").alias("itemid"),
-        start.alias("starttime"),
-        F.when(n != 7, _plus_minutes(start, F.col("l_quantity") * 60)).alias("endtime"),
+    start = _plus_minutes("l_shipdate", "l_linenumber * 360")
+    end = _plus_minutes("l_shipdate", "l_linenumber * 360 + l_quantity * 60")
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS stay_id",
+        "cast(if(l_returnflag = 'N', 225794, 225792) as bigint) AS itemid",
+        f"{start} AS starttime",
+        f"CASE WHEN l_linenumber <> 7 THEN {end} END AS endtime",
     )
 
 
 def icustays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    intime = _plus_minutes(F.col("o_orderdate"), key % 24 * 60)
-    hours = key % 11 * 12 + 6
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("subject_id"),
-        (F.col("o_custkey") * 10 + F.year("o_orderdate") % 10).alias("hadm_id"),
-        key.alias("stay_id"),
-        F.col("o_orderpriority").alias("first_careunit"),
-        F.col("o_orderstatus").alias("last_careunit"),
-        intime.alias("intime"),
-        _plus_minutes(intime, hours * 60).alias("outtime"),
-        (hours / 24.0).alias("los"),
+    begin = "o_orderkey % 24 * 60"
+    length = "o_orderkey % 11 * 12 + 6"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS subject_id",
+        "o_custkey * 10 + year(o_orderdate) % 10 AS hadm_id",
+        "o_orderkey AS stay_id",
+        "o_orderpriority AS first_careunit",
+        "o_orderstatus AS last_careunit",
+        f"{_plus_minutes('o_orderdate', begin)} AS intime",
+        f"{_plus_minutes('o_orderdate', f'{begin} + ({length}) * 60')} AS outtime",
+        f"({length}) / 24.0D AS los",
     )
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        key.alias("subject_id"),
-        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.lit("M"))
-        .when(F.col("c_mktsegment") != "HOUSEHOLD", F.lit("F")).alias("gender"),
-        F.when(key % 37 != 0, 18 + key % 75).cast("int").alias("anchor_age"),
-        (1995 + F.col("c_nationkey") % 5).cast("int").alias("anchor_year"),
-        F.when(key % 7 == 0, F.date_add(F.lit("1996-01-01").cast("date"),
-                                        (key * 13 % 2000).cast("int"))).alias("dod"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS subject_id",
+        "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'M'"
+        " WHEN c_mktsegment <> 'HOUSEHOLD' THEN 'F' END AS gender",
+        "cast(CASE WHEN c_custkey % 37 <> 0 THEN 18 + c_custkey % 75 END as int) AS anchor_age",
+        "cast(1995 + c_nationkey % 5 as int) AS anchor_year",
+        "CASE WHEN c_custkey % 7 = 0"
+        " THEN date_add(date'1996-01-01', cast(c_custkey * 13 % 2000 as int)) END AS dod",
     )
 
 
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hadm = F.col("hadm_id")
     spans = (
         table(spark, sf_dir, "orders")
-        .groupBy((F.col("o_custkey") * 10 + F.year("o_orderdate") % 10).alias("hadm_id"))
-        .agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+        .selectExpr("o_custkey * 10 + year(o_orderdate) % 10 AS hadm_id", "o_orderdate AS d")
+        .groupBy("hadm_id")
+        .agg(F.min("d").alias("first"), F.max("d").alias("last"))
     )
-
-    def at(minutes) -> Column:
-        return _plus_minutes(F.col("first"), minutes if isinstance(minutes, Column)
-                             else F.lit(minutes))
-
-    def tag(letter: str, n: int) -> Column:
-        return F.concat(F.lit(letter), (hadm % n).cast("string"))
-
-    return spans.select(
+    return spans.selectExpr(
         "hadm_id",
-        at(-360).alias("admittime"),
-        _plus_minutes(F.col("last"), F.lit(14_400)).alias("dischtime"),
-        F.when(hadm % 9 == 0, at(4_320)).alias("deathtime"),
-        F.when(hadm % 4 != 0, at(-720)).alias("edregtime"),
-        at(-420 + hadm % 60).alias("edouttime"),
-        tag("T", 4).alias("admission_type"),
-        tag("L", 3).alias("admission_location"),
-        tag("I", 5).alias("insurance"),
-        tag("G", 2).alias("language"),
-        tag("M", 4).alias("marital_status"),
-        tag("R", 6).alias("race"),
-        tag("D", 3).alias("discharge_location"),
-        (hadm % 9 == 0).cast("int").alias("hospital_expire_flag"),
+        f"{_plus_minutes('first', '-360')} AS admittime",
+        f"{_plus_minutes('last', '14400')} AS dischtime",
+        f"CASE WHEN hadm_id % 9 = 0 THEN {_plus_minutes('first', '4320')} END AS deathtime",
+        f"CASE WHEN hadm_id % 4 <> 0 THEN {_plus_minutes('first', '-720')} END AS edregtime",
+        f"{_plus_minutes('first', '(-420 + hadm_id % 60)')} AS edouttime",
+        "concat('T', hadm_id % 4) AS admission_type",
+        "concat('L', hadm_id % 3) AS admission_location",
+        "concat('I', hadm_id % 5) AS insurance",
+        "concat('G', hadm_id % 2) AS language",
+        "concat('M', hadm_id % 4) AS marital_status",
+        "concat('R', hadm_id % 6) AS race",
+        "concat('D', hadm_id % 3) AS discharge_location",
+        "if(hadm_id % 9 = 0, 1, 0) AS hospital_expire_flag",
     )
 
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    tenth = F.concat(
-        F.char(65 + part % 26), F.lpad((supplier % 100).cast("string"), 2, "0"),
-        (part % 10).cast("string"),
-    )
-    ninth = F.concat(F.lpad((part % 1000).cast("string"), 3, "0"), (supplier % 10).cast("string"))
-    version = 9 + F.col("l_linenumber") % 2
-    stays = icustays(spark, sf_dir).select("stay_id", "hadm_id")
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("stay_id"),
-        version.cast("int").alias("icd_version"),
-        F.concat(F.lit(" "), F.lower(F.when(version == 10, tenth).otherwise(ninth)))
-        .alias("icd_code"),
+    tenth = ("concat(char(65 + l_partkey % 26), lpad(cast(l_suppkey % 100 as string), 2, '0'),"
+             " l_partkey % 10)")
+    ninth = "concat(lpad(cast(l_partkey % 1000 as string), 3, '0'), l_suppkey % 10)"
+    stays = icustays(spark, sf_dir).selectExpr("stay_id", "hadm_id")
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS stay_id",
+        "cast(9 + l_linenumber % 2 as int) AS icd_version",
+        f"concat(' ', lower(if(l_linenumber % 2 = 1, {tenth}, {ninth}))) AS icd_code",
     )
     return lines.join(stays, "stay_id").select("hadm_id", "icd_version", "icd_code")
