@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timeseries",)
+MODULES = ("timeseries", "statics", "evaluation")
 
 
 def _merge(attribute: str) -> dict:
