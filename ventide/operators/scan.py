@@ -56,15 +56,19 @@ def scan(
     specs: Mapping[str, Running],
     tie: Sequence[str] = (),
     width_s: int = DAY_SECONDS,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add one column per spec. `df` is read twice, so it should be cheap to read again
-    (a file or a materialized stage)."""
+    (a file or a materialized stage).
+
+    `chunk` replaces the time chunk where `time` is not a clock; it must rise with `time`.
+    """
     keys = list(keys)
     order = [time, *tie]
     base = df
     for name, spec in specs.items():
         base = base.withColumn(f"_v_{name}", spec.value)
-    base = base.withColumn("_chunk", time_chunk(F.col(time), width_s))
+    base = base.withColumn("_chunk", time_chunk(F.col(time), width_s) if chunk is None else chunk)
 
     position = F.struct(*[F.col(c) for c in order])
     totals = []
