@@ -256,8 +256,8 @@ def graded_statements(lines: DataFrame) -> DataFrame:
         F.min("line_no").alias("first_line"),
     )
     hit = F.explode(F.regexp_extract_all(T.squeeze(F.col("_text")), F.lit(T.GRADED), F.lit(0)))
-    found = pages.select("doc_key", "page", "first_line", "heading_path", F.trim(hit).alias("text"))
-    found = found.where(T.word_count(F.col("text")) >= 6)
+    found = pages.select("doc_key", "page", "first_line", "heading_path", hit.alias("text"))
+    found = found.withColumn("text", F.trim("text")).where(T.word_count(F.col("text")) >= 6)
     best = found.groupBy("doc_key", T.line_key(F.col("text")).alias("_key")).agg(
         F.min_by(F.struct("page", "first_line", "heading_path", "text"),
                  F.struct(-F.size("heading_path"), "page", "first_line")).alias("_b"))
@@ -315,6 +315,3 @@ def quoted_unchanged(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Passages whose text is not byte for byte the chunk they cite."""
     return passages.join(chunks.select("chunk_id", "text"), ["chunk_id", "text"], "left_anti")
 
-
-def first_of(c: Column) -> Column:
-    return F.get(c, 0)

@@ -15,6 +15,8 @@ from ventide.functions.textfn import anchor_hits
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 2
+# What may be shipped to every task; more is refused, never cut.
+MAX_QUERIES = 16_384
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
 
@@ -123,7 +125,10 @@ def dense_topk(docs: DataFrame, queries: DataFrame, key: str, doc: str, vector:
     its own best few per query while it streams its rows, so the shuffle carries only
     candidates. With more queries than fit, block them and call once per block.
     """
-    rows = queries.select(key, vector).orderBy(key).limit(MAX_QUERY_BYTES // 64).collect()
+    rows = queries.select(key, vector).limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError("too many queries to ship at once: split them into blocks")
+    rows.sort(key=lambda r: r[key])
     if not rows:
         return docs.select(doc).limit(0).selectExpr(
             "cast(null as string) AS key", doc, "cast(null as double) AS score",
