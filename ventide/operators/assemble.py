@@ -48,7 +48,7 @@ def guards(matrix: DataFrame, imputed: DataFrame, labels: DataFrame | None = Non
     seen = matrix.agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("stay_id").alias("stays"),
-        F.count_if(F.col("hours_admit_to_icu").isNull()).alias("unmatched"),
+        F.count_if(F.col("charlson_index").isNull()).alias("unmatched"),
         *late,
     )
     base = imputed.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("stay_id").alias("stays"))

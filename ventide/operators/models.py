@@ -96,13 +96,17 @@ def fit_isotonic(df: DataFrame):
     return IsotonicRegression(labelCol="y", featuresCol="p", weightCol="w").fit(counted)
 
 
-def calibration_report(df: DataFrame) -> DataFrame:
-    """Rank and level metrics of a score before and after each calibration map."""
-    slope, intercept = fit_platt(df)
+def calibration_report(fitted_on: DataFrame, df: DataFrame) -> DataFrame:
+    """Rank and level metrics of a score before and after each calibration map.
+
+    The maps are fitted on rows the model has not seen and judged on others still.
+    """
+    slope, intercept = fit_platt(fitted_on)
+    isotonic = fit_isotonic(fitted_on)
     variants = {
         "raw": df,
         "platt": df.withColumn("p", apply_platt(F.col("p"), slope, intercept)),
-        "isotonic": fit_isotonic(df).transform(df).drop("p").withColumnRenamed("prediction", "p"),
+        "isotonic": isotonic.transform(df).drop("p").withColumnRenamed("prediction", "p"),
     }
     out = None
     for name, variant in variants.items():

@@ -57,8 +57,8 @@ def q_model_metrics(spark, sf):
 def q_calibration(spark, sf):
     df = training(spark, sf)
     held = materialize(models.score(_model(df), df.where("fold = 4 OR split = 'test'"), NUMERIC)
-                       .select("y", "p"))
-    return models.calibration_report(held)
+                       .select("y", "p", "split"))
+    return models.calibration_report(held.where("split = 'train'"), held.where("split = 'test'"))
 
 
 def q_attribution(spark, sf):

@@ -278,8 +278,6 @@ def matrix_of(spark, sf, readings, mapping) -> DataFrame:
         stays, TD.patients(spark, sf), TD.admissions(spark, sf), TD.diagnoses(spark, sf),
         static.body_metrics(ts_long(spark, sf)),
     )
-    # Users have no admission row of their own: the reading's careunit is always there.
-    table = table.withColumn("hours_admit_to_icu", F.coalesce("hours_admit_to_icu", F.lit(0)))
     return assemble.assemble(carried, drugs, table, split.patient_split(readings))
 
 

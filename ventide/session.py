@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import os
+import shutil
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +45,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the session was started."""
+    context = spark.sparkContext
+    if getattr(context, "_ventide_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [root, *filter(None, [context.environment.get("PYTHONPATH")])]
+    context.environment["PYTHONPATH"] = os.pathsep.join(paths)
+    base = os.path.join(tempfile.mkdtemp(prefix="ventide-package-"), "ventide")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "ventide"))
+    context._ventide_shipped = True
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -76,3 +93,9 @@ def stage(name: str, report=print):
         report(f"[{name}] failed after {time.monotonic() - start:.1f}s: {error!r}")
         raise
     report(f"[{name}] finished in {time.monotonic() - start:.1f}s")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder, e.g. for stream state."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
