@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ventide import config as C
 
@@ -75,7 +76,7 @@ def heading_like(c: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if text is None:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ventide import config as C
 from ventide.functions import textfn as T
@@ -185,7 +186,7 @@ def heading_paths(tagged: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ chunks
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _greedy_parts(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Part number per line: a part closes once it holds the maximum number of words."""
     def one(counts) -> list[int]:

@@ -104,7 +104,7 @@ def write_document(spark: SparkSession, path: str, document: Mapping) -> None:
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return json.loads(rows[0]["value"])
 
 
