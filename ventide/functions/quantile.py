@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ventide.session import materialize
+
 SLICES = 256
 
 
@@ -43,9 +45,11 @@ def cumulate(
 ) -> DataFrame:
     """Running totals in order of `value` inside each group, the row included.
 
-    counted: one row per (groups, value). sums: output name -> column to add up.
+    counted: one row per (groups, value), written once because edges, offsets and slices
+    all read it. sums: output name -> column to add up.
     """
     groups = list(groups)
+    counted = materialize(counted)
     grid = [i / SLICES for i in range(1, SLICES)]
     edge = F.percentile_approx(F.col(value), [float(g) for g in grid], 10_000).alias("_edges")
     base = counted.withColumn("_one", F.lit(1)) if not groups else counted
@@ -85,8 +89,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per (groups, fraction)."""
     groups = list(groups)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
-        F.count(F.lit(1)).alias("_n")
+    counted = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+            F.count(F.lit(1)).alias("_n"))
     )
     running = cumulate(counted, groups, value, {"_upto": "_n"})
     by = groups or [F.lit(1).alias("_one")]

@@ -143,3 +143,18 @@ def column_health(df: DataFrame, columns: Iterable[str]) -> DataFrame:
             )
         )
     )
+
+
+def category_levels(df: DataFrame, columns: Iterable[str] = CATEGORICAL) -> DataFrame:
+    """Distinct levels per categorical column: what a serving model must be told to expect."""
+    present = [c for c in columns if c in df.columns]
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in present]).unpivot(
+        [], present, "column", "level")
+    return long.where(F.col("level").isNotNull()).groupBy("column", "level").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def unknown_levels(df: DataFrame, levels: DataFrame, columns: Iterable[str] = CATEGORICAL
+                   ) -> DataFrame:
+    """Levels that occur in `df` but were not frozen: a model must not be given them."""
+    return category_levels(df, columns).join(levels, ["column", "level"], "left_anti")

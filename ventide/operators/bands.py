@@ -384,6 +384,42 @@ def choose(results: list[dict], max_lost_min: float = 30.0, max_flip_increase: f
     return max(fits, key=lambda r: r["sensitivity_high"])
 
 
+def artifact(machine: Machine, table: list[dict], envelopes: list[dict], base_rate: float,
+             provenance: dict) -> dict:
+    """The versioned band contract: machine, bands with their rates, and where they came from."""
+    by_index = {e["displayed_index"]: e for e in envelopes}
+    rows = []
+    for row in sorted(table, key=lambda r: r["displayed_index"]):
+        edge = by_index[row["displayed_index"]]
+        rows.append({
+            "index": row["displayed_index"], "name": row["band"], "share": row["share"],
+            "observed_rate": row["observed_rate"],
+            "lift_vs_base_rate": row["observed_rate"] / base_rate,
+            "envelope": [edge["envelope_lo"], edge["envelope_hi"]],
+        })
+    return {"schema_version": C.RECORD_SCHEMA_VERSION, "machine": machine.to_json(),
+            "bands": rows, "base_rate": base_rate, "provenance": provenance}
+
+
+def artifact_checks(art: dict, min_low_share: float = 0.5) -> list[tuple[str, bool]]:
+    """Contract of a band artifact as (check, ok)."""
+    machine, rows = Machine.from_json(art["machine"]), art["bands"]
+    rates = [r["observed_rate"] for r in rows]
+    floors = machine.floors
+    return [
+        ("names in order", [r["name"] for r in rows] == list(machine.names)[: len(rows)]),
+        ("machine round-trips", machine.to_json() == art["machine"]),
+        ("floors ascend", list(floors) == sorted(set(floors))),
+        ("rates rise", rates == sorted(rates)),
+        ("rates inside envelopes", all(r["envelope"][0] <= r["observed_rate"] <= r["envelope"][1]
+                                       for r in rows)),
+        ("shares add up", abs(sum(r["share"] for r in rows) - 1) < 1e-6),
+        ("lift is rate over base", all(
+            abs(r["lift_vs_base_rate"] * art["base_rate"] - r["observed_rate"]) < 1e-9 for r in rows)),
+        ("low band holds most", rows[0]["share"] >= min_low_share),
+    ]
+
+
 # ------------------------------------------------------------ one reading at a time
 FRESH = (False, None, 0)
 

@@ -9,10 +9,12 @@ from ventide import config as C
 from ventide.functions.quantile import quantiles
 from ventide.functions.timefn import elapsed_minutes
 from ventide.operators.scan import DAY_SECONDS, Running, scan
+from ventide.session import materialize
 
 
 def reference_medians(wide: DataFrame, split: DataFrame) -> dict[str, float | None]:
     """Median per parameter over training patients only: one number per parameter."""
+    split = materialize(split)
     train = wide.join(split.where(F.col("split") == "train").select("subject_id"), "subject_id")
     long = train.select(*C.PARAMS).unpivot([], list(C.PARAMS), "parameter", "v")
     found = {
@@ -66,3 +68,27 @@ def elapsed_in_stay(readings: DataFrame, width_s: int = DAY_SECONDS) -> DataFram
     return scanned.withColumn(
         "minutes_in_stay", elapsed_minutes(F.col("_begin"), F.col("charttime"))
     ).drop("_begin")
+
+
+def sliding_windows(readings: DataFrame, value: str, length: int = 100, stride: int = 20,
+                    width_s: int = DAY_SECONDS) -> DataFrame:
+    """Full windows of `length` consecutive readings of a stay, one every `stride` readings.
+
+    A reading is copied into the few windows it belongs to, and a window is one small group:
+    no stay is gathered whole.
+    """
+    numbered = scan(
+        readings.select("stay_id", "charttime", value), ["stay_id"], "charttime",
+        {"_n": Running("sum", F.lit(1).cast("long"))}, width_s=width_s,
+    ).withColumn("_i", F.col("_n") - 1)
+    first = F.greatest(F.ceil((F.col("_i") - length + 1) / stride), F.lit(0))
+    last = F.floor(F.col("_i") / stride)
+    member = numbered.where(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
+    return (
+        member.groupBy("stay_id", "window")
+        .agg(F.count(F.lit(1)).alias("_size"), F.min("charttime").alias("window_start"),
+             F.array_sort(F.collect_list(F.struct("charttime", F.col(value).alias("v")))).alias("_v"))
+        .where(F.col("_size") == length)
+        .select("stay_id", "window", "window_start",
+                F.transform("_v", lambda s: s["v"]).alias("values"))
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ventide.functions.timefn import boundary_diff
 from ventide.operators.scan import DAY_SECONDS, Running, scan
+from ventide.session import materialize
 
 _END, _READING, _START = 0, 1, 2
 
@@ -114,8 +115,8 @@ def interval_state(
             )
         ).alias("_e"),
     )
-    # One entry per instant, side and group: ties collapse before the scan.
-    edges = (
+    # One entry per instant, side and group: ties collapse before the scan reads them twice.
+    edges = materialize(
         edges.groupBy(key, F.col("_e.at").alias(time), F.col("_e.rank").alias("_rank"), "_group")
         .agg(
             F.sum("_e.n").alias("_n"),

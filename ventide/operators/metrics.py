@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ventide import config as C
 from ventide.functions.quantile import cumulate, quantiles
 from ventide.functions.timefn import hour_bucket
+from ventide.session import materialize
 
 
 def logit(p: Column, eps: float = C.LOGIT_EPS) -> Column:
@@ -123,8 +124,8 @@ def operating_points(df: DataFrame, thresholds: DataFrame, stay: str = "stay_id"
     are running totals looked up at the threshold, so rows are never paired with thresholds.
     """
     clean = _clean(df)
-    scores = score_counts(clean)
-    hours = (
+    scores = materialize(score_counts(clean))
+    hours = materialize(
         clean.groupBy(stay, hour_bucket(F.col(time)).alias("_hour"))
         .agg(F.max("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("hours"))
     )
@@ -225,3 +226,14 @@ def coverage(df: DataFrame, stay: str = "stay_id", time: str = "charttime") -> D
 def documentation_share(full: float, doc_only: float, floor: float) -> float | None:
     """Part of a metric's gain over its floor that documentation columns alone reach."""
     return None if full == floor else (doc_only - floor) / (full - floor)
+
+
+def gate_verdict(difference: dict, doc_share_before: float, doc_share_after: float,
+                 tolerance: float = 0.01) -> dict:
+    """Accept a change unless its metric falls beyond the interval or its documentation share
+    grows by more than the tolerance."""
+    worse = difference["hi"] < 0
+    leaning = doc_share_after - doc_share_before > tolerance
+    reasons = [r for r, bad in (("metric below baseline", worse),
+                                ("documentation share grew", leaning)) if bad]
+    return {"accepted": not reasons, "reasons": reasons}

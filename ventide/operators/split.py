@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ventide import config as C
 from ventide.functions.quantile import cumulate
+from ventide.session import materialize
 
 
 def draw(seed: int, *ids: str) -> Column:
@@ -45,9 +46,9 @@ def patient_split(wide: DataFrame, seed: int = C.SEED) -> DataFrame:
     A patient's place in its stratum is a running count over hash-ordered patients; strata
     are sliced, so a stratum with nearly all patients is not ordered in one task.
     """
-    people = patient_summary(wide).withColumn(
+    people = materialize(patient_summary(wide).withColumn(
         "strat", stratum(F.col("n_pos") / F.col("n_rows"))
-    )
+    ))
     return place(people, seed)
 
 

@@ -152,6 +152,11 @@ def q_gate_reasons(spark, sf):
         F.count(F.lit(1)).alias("readings"))
 
 
+def q_explanation_checks(spark, sf):
+    found = record_set(spark, sf)
+    return explain.explanation_checks(found, explain.explanations(found))
+
+
 def checked(spark, sf) -> DataFrame:
     found = record_set(spark, sf)
     text = explain.explanations(found).where("status = 'ok'").select("stay_id", "charttime", "text")
@@ -195,6 +200,7 @@ QUERIES = {
     "top_features": q_top_features,
     "explanations": q_explanations,
     "gate_reasons": q_gate_reasons,
+    "explanation_checks": q_explanation_checks,
     "grounding": q_grounding,
     "evidence_selection": q_evidence_selection,
 }

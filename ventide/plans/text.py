@@ -13,7 +13,7 @@ from ventide.functions import textfn as T
 from ventide.operators import corpus, retrieval
 from ventide.plans.sources_sql import with_sources
 from ventide.plans.timeseries import r
-from ventide.session import materialize
+from ventide.session import materialize, spread
 from ventide.sources import testdata as TD
 
 _ROLE = ("CASE cast(substr(source, 4) as int) % 3 WHEN 0 THEN 'protocol' WHEN 1 THEN 'guideline'"
@@ -21,7 +21,7 @@ _ROLE = ("CASE cast(substr(source, 4) as int) % 3 WHEN 0 THEN 'protocol' WHEN 1
 
 
 def pages(spark, sf) -> DataFrame:
-    return TD.table(spark, sf, "documents").selectExpr(
+    return spread(TD.table(spark, sf, "documents")).selectExpr(
         "source AS doc_key", f"{_ROLE} AS role", "doc_id AS page", "text")
 
 
@@ -58,7 +58,7 @@ def benchmark_keys(spark, sf) -> DataFrame:
 
 
 def page_chunks(spark, sf) -> DataFrame:
-    return TD.table(spark, sf, "documents").selectExpr(
+    return spread(TD.table(spark, sf, "documents")).selectExpr(
         "doc_id AS chunk_id", "concat('Document ', source) AS title", "text")
 
 
@@ -194,7 +194,7 @@ def centroids(spark, sf) -> DataFrame:
 
 
 def q_dense_topk(spark, sf):
-    out = retrieval.dense_topk(TD.table(spark, sf, "embeddings").drop("label"),
+    out = retrieval.dense_topk(spread(TD.table(spark, sf, "embeddings").drop("label")),
                                centroids(spark, sf), "label", "vec_id")
     return out.select(F.col("label").cast("long").alias("label"), "vec_id", r("score", 5))
 

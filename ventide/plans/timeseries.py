@@ -47,15 +47,17 @@ def user_stays(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def final_cohort(spark: SparkSession, sf: str) -> DataFrame:
+def final_cohort(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
     stays = user_stays(spark, sf)
     strict = cohort.strict_cohort(stays, TD.procedures_of_users(spark, sf))
-    evidence = cohort.ventilation_evidence(ts_long(spark, sf))
+    evidence = cohort.ventilation_evidence(ts_long(spark, sf) if log is None else log)
     return cohort.union_cohort(strict, evidence, stays)
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    return pivot.events_to_wide(ts_long(spark, sf), final_cohort(spark, sf))
+    """The one scan of the raw events is a stage of its own: cohort and pivot both read it."""
+    log = materialize(ts_long(spark, sf))
+    return pivot.events_to_wide(log, final_cohort(spark, sf, log))
 
 
 def infusion_rows(spark: SparkSession, sf: str, readings: DataFrame) -> DataFrame:
@@ -166,7 +168,8 @@ def q_drug_state(spark, sf):
 
 def q_mode_state(spark, sf):
     readings = materialize(wide(spark, sf).select("stay_id", "charttime"))
-    out = interventions.mode_state(readings, interventions.modes(ts_long(spark, sf)))
+    out = interventions.mode_state(
+        readings, materialize(interventions.modes(ts_long(spark, sf))))
     return out.select(
         F.col("stay_id").cast("long").alias("stay_id"), minute(), "ventilator_mode",
         r("ventilator_mode_age_min"),
@@ -323,7 +326,55 @@ def q_key_overlap(spark, sf):
     return compare.key_overlap(readings, drugs, "stay_id")
 
 
+def q_sliding_windows(spark, sf):
+    readings = materialize(wide(spark, sf).select("stay_id", "charttime", F.coalesce(*C.PARAMS).alias("v")))
+    out = impute.sliding_windows(readings, "v", length=10, stride=4)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return out.select(F.col("stay_id").cast("long").alias("stay_id"),
+                      F.col("window").cast("long").alias("window"), minute("window_start"),
+                      F.round(total, 3).alias("total"))
+
+
+def q_causal_difference(spark, sf):
+    """Readings whose never-measured flag differs between hindsight and live knowledge."""
+    readings = materialize(wide(spark, sf))
+    keys = ["stay_id", "charttime"]
+    flags = [f"{p}_structurally_missing_in_stay" for p in C.PARAMS]
+    hindsight = impute.locf_companions(readings, {}).select(*keys, *flags)
+    live = impute.locf_companions(readings, {}, causal=True).select(
+        *keys, *[F.col(f).alias(f"live_{f}") for f in flags])
+    both = hindsight.join(live, keys).agg(
+        *[F.count_if(F.col(f) != F.col(f"live_{f}")).alias(p) for p, f in zip(C.PARAMS, flags)])
+    return both.unpivot([], list(C.PARAMS), "parameter", "readings")
+
+
+def q_stay_summary(spark, sf):
+    return wide(spark, sf).groupBy(F.col("stay_id").cast("long").alias("stay_id")).agg(
+        F.count(F.lit(1)).alias("readings"), F.countDistinct("spo2").alias("spo2_values"),
+        F.round(F.min_by("spo2", F.when(F.col("spo2").isNotNull(), F.col("charttime"))), 4)
+        .alias("first_spo2"),
+        F.round((micros(F.max("charttime")) - micros(F.min("charttime"))) / 3.6e9, 4).alias("span_hours"))
+
+
+def q_category_levels(spark, sf):
+    stays = TD.admissions(spark, sf)
+    return assemble.category_levels(stays)
+
+
+def q_export_times(spark, sf):
+    """Times written the way the reference exports write them, read back."""
+    text = F.date_format("charttime", "M/d/yyyy H:mm")
+    rows = TD.events(spark, sf).select(compare.parse_export_time(text).alias("charttime"))
+    return rows.groupBy(F.date_trunc("hour", "charttime").alias("hr")).agg(
+        F.count(F.lit(1)).alias("rows")).select(minute("hr"), "rows")
+
+
 QUERIES = {
+    "sliding_windows": q_sliding_windows,
+    "causal_difference": q_causal_difference,
+    "stay_summary": q_stay_summary,
+    "category_levels": q_category_levels,
+    "export_times": q_export_times,
     "item_extract": q_item_extract,
     "cohort_strict": q_cohort_strict,
     "cohort_union": q_cohort_union,
@@ -579,7 +630,34 @@ def _fill_sql() -> str:
     )
 
 
+_LOCF, _LIVE = _locf_sql(False), _locf_sql(True)
+
 ORACLES = {
+    "sliding_windows": with_sources(
+        _SRC, {**BASE_WIDE,
+               "numbered": f"SELECT stay_id, charttime, coalesce({', '.join(C.PARAMS)}) AS v,"
+                           " row_number() OVER (PARTITION BY stay_id ORDER BY charttime) - 1 AS i FROM wide",
+               "starts": "SELECT stay_id, i, i // 4 AS win FROM numbered WHERE i % 4 = 0"},
+        f"SELECT s.stay_id, s.win AS \"window\", {_min('min(n.charttime)', 'window_start')},"
+        " round(sum(n.v), 3) AS total FROM starts s JOIN numbered n ON n.stay_id = s.stay_id AND"
+        " n.i BETWEEN s.i AND s.i + 9 GROUP BY s.stay_id, s.win HAVING count(*) = 10"),
+    "causal_difference": " UNION ALL ".join(
+        f"SELECT '{p}' AS parameter, count(*) FILTER (WHERE a.{p}_structurally_missing_in_stay <>"
+        f" b.{p}_structurally_missing_in_stay) AS readings FROM a_all a JOIN b_all b"
+        " USING (stay_id, charttime)" for p in C.PARAMS),
+    "stay_summary": with_sources(
+        _SRC, BASE_WIDE,
+        "SELECT stay_id, count(*) AS readings, count(DISTINCT spo2) AS spo2_values,"
+        " round(arg_min(spo2, charttime) FILTER (WHERE spo2 IS NOT NULL), 4) AS first_spo2,"
+        " round(date_diff('microsecond', min(charttime), max(charttime)) / 3.6e9, 4) AS span_hours"
+        " FROM wide GROUP BY stay_id"),
+    "category_levels": with_sources(["admissions"], {}, " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {c} AS level, count(*) AS rows FROM admissions WHERE {c} IS NOT"
+        " NULL GROUP BY ALL" for c in ("admission_type", "admission_location", "insurance", "language",
+                                       "marital_status", "race"))),
+    "export_times": with_sources(
+        ["ev"], {}, "SELECT epoch_us(date_trunc('hour', charttime)) // 60000000 AS hr, count(*) AS rows"
+        " FROM ev GROUP BY 1"),
     "item_extract": with_sources(
         ["chartevents"], {"long": LONG},
         "SELECT itemid, count(*) AS rows, count(DISTINCT stay_id) AS stays,"
@@ -733,3 +811,5 @@ ORACLES = {
         " (SELECT count(*) FROM (SELECT stay_id FROM wide INTERSECT SELECT stay_id FROM"
         " inputevents)) AS shared_keys"),
 }
+ORACLES["causal_difference"] = (
+    f"WITH a_all AS ({_LOCF}), b_all AS ({_LIVE}) " + ORACLES["causal_difference"])

@@ -76,10 +76,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a stage boundary to the shared checkpoint folder and read from there on.
 
     The files outlive any executor, so a lost executor costs the tasks it was running and
-    not the stages before this one.
+    not the stages before this one. A frame that already is such a boundary is returned.
     """
+    if getattr(df, "_ventide_stage", False):
+        return df
     _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    written._ventide_stage = True
+    return written
 
 
 @contextlib.contextmanager
@@ -95,6 +99,15 @@ def stage(name: str, report=print):
     report(f"[{name}] finished in {time.monotonic() - start:.1f}s")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work all cores when the input has fewer splits than cores.
+
+    A large input has more splits than cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder, e.g. for stream state."""
     _ensure_checkpoint_dir(spark)

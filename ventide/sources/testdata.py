@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ventide.session import spread
+
 DRUG_NAMES = ("Norepinephrine", "Propofol", "Fentanyl", "Rocuronium", "Dobutamine",
               "Vasopressin", "Midazolam", "Morphine Sulfate", "Milrinone", "NaCl 0.9%")
 
@@ -35,7 +37,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"timestamp_micros(1704067200000000 + {_MINUTE} * 60000000) AS charttime",
         "event_type",
         "value AS v",
-        "cast(get_json_object(props, '$.k') as int) AS k",
+        # {"k": 69}: plain string cuts, because filters on k repeat this expression.
+        "cast(substring_index(substring_index(props, ': ', -1), '}', 1) as int) AS k",
     )
 
 
@@ -175,7 +178,7 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
              " l_partkey % 10)")
     ninth = "concat(lpad(cast(l_partkey % 1000 as string), 3, '0'), l_suppkey % 10)"
     stays = icustays(spark, sf_dir).selectExpr("stay_id", "hadm_id")
-    lines = table(spark, sf_dir, "lineitem").selectExpr(
+    lines = spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "l_orderkey AS stay_id",
         "cast(9 + l_linenumber % 2 as int) AS icd_version",
         f"concat(' ', lower(if(l_linenumber % 2 = 1, {tenth}, {ninth}))) AS icd_code",
