@@ -54,8 +54,12 @@ def cumulate(
     edge = F.percentile_approx(F.col(value), [float(g) for g in grid], 10_000).alias("_edges")
     base = counted.withColumn("_one", F.lit(1)) if not groups else counted
     by = groups or ["_one"]
-    edges = base.groupBy(*by).agg(edge)
-    sliced = base.join(edges, by).withColumn("_slice", slice_of(F.col("_edges"), F.col(value)))
+    if groups:
+        edged = base.join(base.groupBy(*by).agg(edge), by)
+    else:
+        # One array for everything: a scalar, not a join on a constant.
+        edged = base.withColumn("_edges", base.agg(edge).scalar())
+    sliced = edged.withColumn("_slice", slice_of(F.col("_edges"), F.col(value)))
     sliced = sliced.drop("_edges")
     position = F.col("_slice").desc() if descending else F.col("_slice").asc()
     before = (
@@ -103,13 +107,11 @@ def quantiles(
         (rank - F.floor(rank)).alias("_part"),
     )
     # Every fraction of a group as one array: a value row keeps only the marks it covers.
-    packed = marks.groupBy(*(groups or [F.lit(1).alias("_one")])).agg(
-        F.collect_list(F.struct("fraction", "_lo", "_hi", "_part")).alias("_marks")
-    )
+    listed = F.collect_list(F.struct("fraction", "_lo", "_hi", "_part")).alias("_marks")
     if groups:
-        joined = running.join(packed, groups)
+        joined = running.join(marks.groupBy(*groups).agg(listed), groups)
     else:
-        joined = running.withColumn("_one", F.lit(1)).join(packed, "_one")
+        joined = running.withColumn("_marks", marks.agg(listed).scalar())
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
 
     def covers(mark: Column, side: str) -> Column:

@@ -95,7 +95,7 @@ def level_metrics(df: DataFrame, bins: int = C.RELIABILITY_BINS) -> DataFrame:
     """ECE, MCE, the three parts of the Brier score and skill over the base rate."""
     rows = reliability(df, bins)
     gap = F.abs(F.col("mean_predicted") - F.col("observed"))
-    whole = rank_metrics(df).select("rows", "positive_rate", "brier")
+    whole = materialize(rank_metrics(df).select("rows", "positive_rate", "brier"))
     base = whole.select("positive_rate").scalar()
     total = whole.select("rows").scalar()
     weight = F.col("n") / total

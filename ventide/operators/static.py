@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ventide import config as C
 from ventide.functions.timefn import boundary_diff
 from ventide.operators import comorbidity as CM
+from ventide.operators.scan import DAY_SECONDS, Running, scan
+from ventide.session import materialize
 
 
 def body_metrics(events: DataFrame) -> DataFrame:
@@ -42,6 +44,17 @@ def predicted_body_weight(height_cm: Column, gender: Column) -> Column:
     )
 
 
+def visit_numbers(cohort: DataFrame, width_s: int = 30 * DAY_SECONDS) -> DataFrame:
+    """Earlier stays of the same patient in the cohort; stays without a date come last."""
+    dated = materialize(cohort.withColumn(
+        "_visit", F.coalesce("intime", F.lit("9999-12-31").cast("timestamp"))))
+    counted = scan(
+        dated, ["subject_id"], "_visit", {"_n": Running("sum", F.lit(1).cast("long"), strict=True)},
+        tie=["stay_id"], width_s=width_s,
+    )
+    return counted.withColumn("prior_icu_stays", F.coalesce("_n", F.lit(0))).drop("_visit", "_n")
+
+
 def static_table(
     cohort: DataFrame,
     patients: DataFrame,
@@ -52,12 +65,10 @@ def static_table(
 ) -> DataFrame:
     """Static features per stay; columns known only afterwards carry the leaky_ prefix.
 
-    All right-hand sides have one row per key, so no join can multiply stays. The visit
-    number is ordered per patient, a handful of stays each.
+    All right-hand sides have one row per key, so no join can multiply stays.
     """
-    visits = Window.partitionBy("subject_id").orderBy(F.col("intime").asc_nulls_last(), "stay_id")
     base = (
-        cohort.withColumn("prior_icu_stays", F.row_number().over(visits) - 1)
+        visit_numbers(cohort)
         .join(patients, "subject_id", "left")
         .join(admissions, "hadm_id", "left")
         .join(CM.category_flags(diagnoses), "hadm_id", "left")
@@ -109,11 +120,18 @@ def outcomes(
     procedures: DataFrame,
 ) -> DataFrame:
     """Mortality, prolonged ventilation, reintubation and readmission per stay."""
-    by_start = Window.partitionBy("stay_id").orderBy(F.col("starttime").asc_nulls_last(), "endtime")
-    gap = boundary_diff("hour", F.col("endtime"), F.lead("starttime").over(by_start))
+    episodes = materialize(
+        procedures.where((F.col("itemid") == C.ITEM_INVASIVE_VENT) & F.col("stay_id").isNotNull()
+                         & F.col("starttime").isNotNull())
+        .select("stay_id", "starttime", "endtime"))
+    followed = scan(
+        episodes, ["stay_id"], "starttime",
+        {"_next": Running("last", F.col("starttime"), strict=True, reverse=True)},
+        tie=["endtime"], width_s=30 * DAY_SECONDS,
+    )
+    gap = boundary_diff("hour", F.col("endtime"), F.col("_next"))
     reintubated = (
-        procedures.where((F.col("itemid") == C.ITEM_INVASIVE_VENT) & F.col("stay_id").isNotNull())
-        .select("stay_id", gap.alias("gap"))
+        followed.select("stay_id", gap.alias("gap"))
         .groupBy("stay_id")
         .agg(F.max(F.when(F.col("gap").between(0, C.REINTUBATION_WINDOW_H), 1).otherwise(0))
              .alias("extubation_failure"))

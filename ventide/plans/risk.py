@@ -254,4 +254,14 @@ ORACLES = {
         " round(CASE WHEN wt > 0 THEN ag / wt END, 4) AS attribution_age_min,"
         " round(list_sum(list_transform(s[9:], lambda x: x.c)), 8) AS contributors_other"
         " FROM ranked"),
+    "top_features": with_sources(
+        TS._SRC, _share_steps(),
+        "SELECT s[1].f AS feature, count(*) AS readings FROM ranked GROUP BY ALL"),
+    "gate_reasons": with_sources(
+        TS._SRC, _share_steps(),
+        "SELECT CASE WHEN i OR d THEN 'insufficient_data' ELSE 'generator_unavailable' END AS status,"
+        " concat_ws(',', CASE WHEN i THEN 'IMPUTED_SHARE_ABOVE_FLOOR' END,"
+        " CASE WHEN d THEN 'DOC_SHARE_ABOVE_FLOOR' END) AS reasons, count(*) AS readings FROM"
+        " (SELECT round(imp / total, 4) > 0.3 AS i, round(doc / total, 4) > 0.3 AS d FROM ranked)"
+        " GROUP BY ALL"),
 }
