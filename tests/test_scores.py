@@ -156,3 +156,38 @@ def test_platt_keeps_ranking_and_fixes_level(spark):
 def test_documentation_share():
     assert metrics.documentation_share(0.5, 0.3, 0.1) == pytest.approx(0.5)
     assert metrics.documentation_share(0.5, 0.3, 0.5) is None
+
+
+def test_sliding_windows(spark):
+    from ventide.operators.impute import sliding_windows
+    rows = [(s, T0 + dt.timedelta(minutes=7 * i), float(i)) for s, n in ((1, 50), (2, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "stay_id int, charttime timestamp, v double")
+    got = {(r.stay_id, r.window): r["values"] for r in
+           sliding_windows(df, "v", 10, 4, width_s=3600).collect()}
+    assert got == {(1, k): [float(4 * k + j) for j in range(10)] for k in range(11)}
+
+
+def test_band_artifact_contract():
+    machine = Machine((0.3, 0.5, 0.7))
+    table = [{"displayed_index": i, "band": n, "share": s, "observed_rate": r} for i, (n, s, r) in
+             enumerate(zip(machine.names, (0.7, 0.2, 0.07, 0.03), (0.03, 0.11, 0.25, 0.5)))]
+    edges = [{"displayed_index": i, "envelope_lo": 0.0, "envelope_hi": 0.6} for i in range(4)]
+    art = bands.artifact(machine, table, edges, 0.08, {"model": "x"})
+    assert all(ok for _, ok in bands.artifact_checks(art))
+    art["bands"][3]["observed_rate"] = 0.2
+    assert {"rates rise", "lift is rate over base"} <= {n for n, ok in bands.artifact_checks(art) if not ok}
+
+
+def test_gate_verdict():
+    better, worse = {"hi": 0.01}, {"hi": -0.01}
+    assert metrics.gate_verdict(better, 0.20, 0.205)["accepted"]
+    assert metrics.gate_verdict(worse, 0.2, 0.2)["reasons"] == ["metric below baseline"]
+    assert not metrics.gate_verdict(better, 0.20, 0.22)["accepted"]
+
+
+def test_choice_of_hysteresis():
+    plain = dict(dwell=Dwell(0.0, 1, 0.0, 0.0), flips_per_day=2.0, sensitivity_high=0.3, lost_lead_median_min=0.0)
+    good = dict(dwell=Dwell(30.0, 2, 0.25, 60.0), flips_per_day=1.0, sensitivity_high=0.4, lost_lead_median_min=5.0)
+    slow = dict(dwell=Dwell(60.0, 2, 0.5, 120.0), flips_per_day=0.5, sensitivity_high=0.9, lost_lead_median_min=45.0)
+    assert bands.choose([plain, good, slow]) is good
+    assert len(bands.sweep_dwells()) == 27

@@ -73,15 +73,18 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a stage boundary to the shared checkpoint folder and read from there on.
+    """Write a stage boundary to the shared folder and read from there on.
 
-    The files outlive any executor, so a lost executor costs the tasks it was running and
-    not the stages before this one. A frame that already is such a boundary is returned.
+    Parquet rather than raw rows: a later stage reads only the columns it needs, and Spark
+    knows the size before it chooses a join. The files outlive any executor, so a lost one
+    costs the tasks it was running and not the stages before. A frame that already is such
+    a boundary is returned.
     """
     if getattr(df, "_ventide_stage", False):
         return df
-    _ensure_checkpoint_dir(df.sparkSession)
-    written = df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "stage")
+    df.write.option("compression", "zstd").parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._ventide_stage = True
     return written
 
