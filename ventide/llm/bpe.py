@@ -23,7 +23,7 @@ import functools
 import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -150,18 +150,21 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _added(df: DataFrame, fields: list[T.StructField]) -> tuple[list[str], T.StructType]:
-    new = {f.name.lower() for f in fields}
+def _added(df: DataFrame, fields: list[T.StructField], drop: Sequence[str] = ()
+           ) -> tuple[list[str], T.StructType]:
+    new = {f.name.lower() for f in fields} | {d.lower() for d in drop}
     keep = [c for c in df.columns if c.lower() not in new]
     return keep, T.StructType([*(df.schema[c] for c in keep), *fields])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offsets: bool = True) -> DataFrame:
-    """Adds `ids` (array<int>) and, with `offsets`, `starts` and `ends` in code points."""
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offsets: bool = True,
+           drop: Sequence[str] = ()) -> DataFrame:
+    """Adds `ids` (array<int>) and, with `offsets`, `starts` and `ends` in code points. Columns
+    named in `drop` are left behind."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if offsets:
         fields += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("starts", "ends")]
-    keep, schema = _added(docs, fields)
+    keep, schema = _added(docs, fields, drop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
