@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide.llm import bpe, mixing
+from ventide.llm import bpe, langid, mixing, rules, sharding
 from ventide.llm.tables import ready, table
 
 
@@ -17,6 +17,30 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(tokens, path, pattern, text=False))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(ready(spark), sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.when(F.col("text").isNull(), "null").otherwise(F.sha2("text", 256)).alias("digest"))
+    placed = sharding.assign(rows, size="size", group=F.col("digest"), order=F.col("doc_id"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return rules.verdict(rules.ledger(docs, drop=("text",)), "v2").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    model = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model, drop=("text",))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select(
@@ -25,9 +49,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op6_sharding": op6_sharding,
+    "op8_rules": op8_rules,
+    "op9_langid": op9_langid,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
+    "op8_rules": rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
