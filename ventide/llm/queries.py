@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide.llm import bpe, langid, mixing, rules, sharding
+from ventide.llm import bpe, forest, langid, mixing, rotation, rules, sharding
 from ventide.llm.tables import ready, table
 
 
+def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.classify(table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -28,6 +32,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.classify(table(ready(spark), sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     return rules.verdict(rules.ledger(docs, drop=("text",)), "v2").select(
@@ -48,8 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_rotation_codes": op3_rotation_codes,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_lsh_forest": op7_lsh_forest,
     "op8_rules": op8_rules,
     "op9_langid": op9_langid,
     "op10_mixing": op10_mixing,
