@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide.llm import bpe, forest, langid, mixing, rotation, rules, sharding
+from ventide.llm import bpe, forest, langid, mixing, rotation, rules, sharding, suffix
 from ventide.llm.tables import ready, table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    spans = F.transform("removed", lambda r: (r["high"] - r["low"]).cast("long"))
+    return suffix.cut(docs, drop=("text",)).select(
+        "doc_id", "n_bytes", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation.classify(table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
 
@@ -56,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op3_rotation_codes": op3_rotation_codes,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
