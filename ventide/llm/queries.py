@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide.llm import bpe, forest, langid, mixing, rotation, rules, sharding, suffix
+from ventide.llm import bpe, forest, langid, mixing, pages, rotation, rules, sharding, suffix
 from ventide.llm.tables import ready, table
 
 
@@ -22,6 +22,12 @@ def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation.classify(table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
 
 
+def op4_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(ready(spark), sf_dir, "pages").select("page_id", "url", "html")
+    found = pages.main_text(rows, pages.train(rows), drop=("html",))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -66,6 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op3_rotation_codes": op3_rotation_codes,
+    "op4_page_tree": op4_page_tree,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_lsh_forest": op7_lsh_forest,
