@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide.llm import bpe, forest, langid, mixing, pages, rotation, rules, sharding, suffix
+from ventide.llm import bpe, forest, langid, mixing, pages, rotation, rules, sharding, suffix, toolcalls
 from ventide.llm.tables import ready, table
 
 
@@ -18,6 +18,13 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op2_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(ready(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    calls, results = toolcalls.from_conversations(turns)
+    rows = toolcalls.format_calls(calls, results, toolcalls.schema_table(spark))
+    return rows.withColumn("errors", F.concat_ws(",", "errors"))
+
+
 def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation.classify(table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
 
@@ -71,6 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_toolcalls": op2_toolcalls,
     "op3_rotation_codes": op3_rotation_codes,
     "op4_page_tree": op4_page_tree,
     "op5_bpe": op5_bpe,
@@ -82,6 +90,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_toolcalls": toolcalls.ORACLE,
     "op8_rules": rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
