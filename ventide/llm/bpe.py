@@ -202,10 +202,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "ids", text
     return tokens.mapInArrow(run, schema)
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 from `ids` and `decoded`."""
+def digests(tokens: DataFrame, *more: str) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 from `ids` and `decoded`, and the columns in `more`."""
     return tokens.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -20,12 +20,13 @@ component and is kept; an empty table gives an empty result; clashing columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ventide.llm import arrays as A
 from ventide.llm.components import components
@@ -77,8 +78,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.T.copy()
 
 
-def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, a 128-bit fingerprint of the set and the signature."""
+def _signed(docs: DataFrame, key: str, text: str, carry: Sequence[str]) -> DataFrame:
+    """key, n_shingles, a 128-bit fingerprint of the set, the signature and what is carried."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in A.portions(batches, text):
             sets = shingle_sets(data, offsets)
@@ -88,11 +89,15 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 [rows.column(rows.schema.get_field_index(key)),
                  pa.array([len(s) for s in sets], pa.int64()),
                  *(pa.array(prints[:, i].copy().view(np.int64)) for i in (0, 1)),
-                 pa.array([m.tobytes() for m in marks], pa.binary())],
-                names=["_id", "n_shingles", "_f1", "_f2", "_signature"])
+                 pa.array([m.tobytes() for m in marks], pa.binary()),
+                 *(rows.column(rows.schema.get_field_index(c)) for c in carry)],
+                names=[*fields, *carry])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
-        run, "_id long, n_shingles long, _f1 long, _f2 long, _signature binary")
+    kinds = {"_id": T.LongType(), "n_shingles": T.LongType(), "_f1": T.LongType(), "_f2": T.LongType(),
+             "_signature": T.BinaryType()}
+    fields = list(kinds)
+    schema = T.StructType([*(T.StructField(n, k) for n, k in kinds.items()), *(docs.schema[c] for c in carry)])
+    return docs.select(F.col(key).cast("long").alias(key), text, *carry).mapInArrow(run, schema)
 
 
 def _next_to(rows: list[np.ndarray], fresh: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +232,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE)
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: the key, n_shingles, component_id and kept."""
-    signed = stored(_signed(docs, key, text), "signed")
+def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of `docs`: the key, n_shingles, component_id, kept and the columns in `carry`."""
+    signed = stored(_signed(docs, key, text, carry), "signed")
     known = signed.where("n_shingles > 0 AND _id IS NOT NULL")
     first = F.min(F.struct("_id", "_signature")).alias("_first")
     classes = stored(
@@ -258,7 +263,7 @@ def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     return (
         signed.join(groups, ["_f1", "_f2"], "left")
         .select(
-            F.col("_id").alias(key), "n_shingles",
+            F.col("_id").alias(key), "n_shingles", *carry,
             F.when(F.col("n_shingles") > 0, F.when(F.col("_id").isNotNull(), F.col("_component")))
             .otherwise(F.col("_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

@@ -42,7 +42,8 @@ def shares(sized: DataFrame, source: str, weights: Sequence[int] = WEIGHTS, most
     Weights go round over the sources in code-point order. Targets share the total of all sizes
     and stop at `most` times a source's size; what is over goes to the others by weight. That is
     the level at which min(cap, level x weight) adds up to the total, found by ordering the sources
-    by cap over weight: the first whose cap is above the level of those that are left.
+    by cap over weight: the first whose cap is above the level of those that are left. From there
+    on levels only fall, so it is the largest level that is not above its own source's ratio.
     """
     total = sized.groupBy(F.col(source).alias("_source")).agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
@@ -57,7 +58,7 @@ def shares(sized: DataFrame, source: str, weights: Sequence[int] = WEIGHTS, most
         .withColumn("_cap", F.col("source_size") * most)
         .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
         .withColumn("_level", (F.sum("source_size").over(everything) - before) / left)
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
         .select(
             "_source", "source_size",
             F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_weight")).alias("target"),
@@ -104,7 +105,7 @@ open AS (  -- a source is at its cap if the level of those with no smaller ratio
          WHERE 3 * b.source_size / b.w < 3 * a.source_size / a.w) AS rest,
     (SELECT sum(b.w) FROM ranked b WHERE 3 * b.source_size / b.w >= 3 * a.source_size / a.w) AS weight
   FROM ranked a),
-lvl AS (SELECT min(rest::DOUBLE / weight) AS level FROM open
+lvl AS (SELECT max(rest::DOUBLE / weight) AS level FROM open
           WHERE rest::DOUBLE / weight <= 3 * source_size::DOUBLE / w),
 targets AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, level * w) AS target FROM open, lvl),

@@ -313,9 +313,20 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut(docs: DataFrame, *, key: str = "doc_id", text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+def characters(raw: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """The part of a span that holds whole UTF-8 characters."""
+    while low < high and raw[low] & 0xC0 == 0x80:
+        low += 1
+    while low < high < len(raw) and raw[high] & 0xC0 == 0x80:
+        high -= 1
+    return low, high
+
+
+def cut(docs: DataFrame, *, key: str = "doc_id", text: str = "text", drop: tuple[str, ...] = (),
+        whole_characters: bool = False) -> DataFrame:
     """The documents (without the columns in `drop`) with n_bytes, removed (maximal runs as low and
-    high bytes) and kept_bytes."""
+    high bytes) and kept_bytes. With `whole_characters` a run that begins or ends within a character
+    leaves that character in place, so that what is kept stays UTF-8."""
     gone = {"n_bytes", "removed", "kept_bytes", *(d.lower() for d in drop)}
     inner = {c: free_name(docs, f"x{i}_") for i, c in enumerate(docs.columns) if c in ("_key", "_copy", "_text", "spans")}
     named = _named(docs.withColumnsRenamed(inner), inner.get(key, key), inner.get(text, text))
@@ -333,6 +344,8 @@ def cut(docs: DataFrame, *, key: str = "doc_id", text: str = "text", drop: tuple
             for i, found in enumerate(_column(rows, "spans").to_pylist()):
                 raw = data[offsets[i]:offsets[i + 1]]
                 out = joined_spans([(f["low"], f["high"]) for f in found or ()])
+                if whole_characters:
+                    out = [s for s in (characters(raw, *s) for s in out) if s[0] < s[1]]
                 stay = np.ones(len(raw), bool)
                 for low, high in out:
                     stay[low:high] = False
