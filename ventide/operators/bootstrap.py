@@ -7,6 +7,9 @@ then a weighted aggregate, so no resampled copy of the rows ever exists.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,9 @@ from ventide.functions.quantile import cumulate, quantiles
 from ventide.operators.split import draw_fraction
 from ventide.session import materialize
 
-# Cumulative probabilities of a Poisson variable with mean 1, at 0 to 9.
-POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-               0.9999988747974021, 0.9999998885745216)
+# Cumulative probabilities of a Poisson variable with mean 1, as far as they can be told from 1.
+POISSON_CDF = tuple(itertools.takewhile(
+    lambda p: p < 1.0, itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(40))))
 
 
 def multiplicity(u: Column) -> Column:

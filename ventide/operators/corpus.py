@@ -7,12 +7,8 @@ per-page results first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ventide import config as C
 from ventide.functions import textfn as T
@@ -83,24 +79,27 @@ def resolve_breaks(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def repair_breaks(lines: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """Apply the resolved glue to every line; a break without two halves becomes a hyphen."""
-    piece = f"[A-Za-z]+{T.SOFT_BREAK}\\s*[A-Za-z]+|{T.SOFT_BREAK}|[^{T.SOFT_BREAK}]"
+    """Apply the resolved glue to every line; a break without two halves becomes a hyphen.
+
+    Only the distinct pairs of a line travel: they are joined with their glue and come back as
+    one small map per line, by which the line is rebuilt in place.
+    """
+    halves = f"([A-Za-z]+){T.SOFT_BREAK}\\s*([A-Za-z]+)"
     broken = lines.where(F.col("text").contains(T.SOFT_BREAK))
     whole = lines.where(~F.col("text").contains(T.SOFT_BREAK) | F.col("text").isNull())
-    halves = f"^([A-Za-z]+){T.SOFT_BREAK}\\s*([A-Za-z]+)$"
-    pieces = broken.select(
-        *keys, F.posexplode(F.regexp_extract_all("text", F.lit(piece), F.lit(0))).alias("i", "s"))
-    pieces = pieces.withColumns({
-        "left": F.regexp_extract("s", halves, 1), "right": F.regexp_extract("s", halves, 2)})
-    glued = pieces.join(resolved.select("left", "right", "glue"), ["left", "right"], "left")
-    fixed = F.when(F.length("left") > 0, F.concat("left", F.coalesce("glue", F.lit("")), "right")
-                   ).otherwise(F.replace("s", F.lit(T.SOFT_BREAK), F.lit("-")))
-    mended = glued.groupBy(*keys).agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("i", fixed.alias("t")))), lambda x: x["t"]), "")
-        .alias("_fixed"))
+    found = lambda group: F.regexp_extract_all("text", F.lit(halves), F.lit(group))
+    pairs = broken.select(*keys, F.explode(F.array_distinct(F.arrays_zip(
+        found(0).alias("seen"), found(1).alias("left"), found(2).alias("right")))).alias("_p"))
+    glued = pairs.select(*keys, "_p.*").join(resolved.select("left", "right", "glue"), ["left", "right"], "left")
+    maps = glued.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
+        "seen", F.concat("left", F.coalesce("glue", F.lit("")), "right").alias("fixed")))).alias("_fixes"))
+    # The text between the pairs, and the pairs, take turns.
+    between = F.split("text", halves, -1)
+    mended = F.array_join(F.zip_with(between, found(0), lambda text, pair: F.concat(
+        F.replace(text, F.lit(T.SOFT_BREAK), F.lit("-")),
+        F.coalesce(F.try_element_at("_fixes", pair), F.lit("")))), "")
     rest = [c for c in lines.columns if c != "text"]
-    out = broken.join(mended, keys).select(*rest, F.col("_fixed").alias("text"))
+    out = broken.join(maps, keys, "left").select(*rest, mended.alias("text"))
     return whole.select(*rest, "text").unionByName(out)
 
 
@@ -124,8 +123,6 @@ def strip_boilerplate(lines: DataFrame) -> DataFrame:
     """Lines without running headers, footers and bare page numbers."""
     stripped = F.trim("text")
     bare = (F.length(stripped) > 0) & (T.word_count(stripped) <= 3) & ~stripped.rlike(r"\p{L}")
-    pages = lines.select("doc_key", "page").distinct().groupBy("doc_key").agg(
-        F.count(F.lit(1)).alias("_pages"))
     found = boilerplate_keys(lines).select("doc_key", "key")
     affected = found.select("doc_key").distinct().withColumn("_affected", F.lit(True))
     keyed = lines.withColumn("key", T.line_key(T.mask_digits(F.col("text"))))
@@ -186,20 +183,19 @@ def heading_paths(tagged: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ chunks
-@F.pandas_udf(ArrayType(IntegerType()))
-def _greedy_parts(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _greedy_parts(counts: Column) -> Column:
     """Part number per line: a part closes once it holds the maximum number of words."""
-    def one(counts) -> list[int]:
-        out, part, total = [], 0, 0
-        for n in counts:
-            out.append(part)
-            total += n
-            if total >= C.CHUNK_MAX_WORDS:
-                part, total = part + 1, 0
-        return out
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("part"), F.lit(0).alias("total"))
+
+    def put(state: Column, n: Column) -> Column:
+        total = state["total"] + n
+        full = total >= C.CHUNK_MAX_WORDS
+        return F.struct(
+            F.concat(state["out"], F.array(state["part"])).alias("out"),
+            F.when(full, state["part"] + 1).otherwise(state["part"]).alias("part"),
+            F.when(full, 0).otherwise(total).alias("total"))
 
-    for batch in sizes:
-        yield batch.map(one)
+    return F.aggregate(counts, start, put)["out"]
 
 
 def chunk_lines(lines: DataFrame) -> DataFrame:
@@ -307,9 +303,26 @@ def corpus_report(chunks: DataFrame) -> DataFrame:
 
 
 def manifest_hash(hashes: DataFrame, key: str = "doc_key", digest: str = "sha256") -> DataFrame:
-    """One hash over the sorted document hashes."""
-    joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", key, digest))), "\n")
-    return hashes.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("manifest_hash"))
+    """One hash over all hashes: those of each bucket, named by the first three digits of the key's
+    hash, make one, and the 4096 buckets at most make the whole. Order is by key and digest, so
+    that every hash counts and none meets more than its bucket in one task."""
+    line = F.concat_ws(":", key, digest)
+    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3)
+    lower = hashes.groupBy(bucket.alias("_bucket")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("_hash"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "_bucket", "_hash"))), "\n")
+    return lower.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("manifest_hash"))
+
+
+def source_hashes(pages: DataFrame, source: str, page: str, text: str) -> DataFrame:
+    """One digest per source over the digests of all its pages. A source may hold most pages: they
+    are first put together by their page number's thousand, in order."""
+    one = F.concat_ws(":", F.col(page).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    part = F.floor(F.col(page) / 1000)
+    lower = pages.groupBy(F.col(source).alias("doc_key"), part.alias("_part")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("_hash"))
+    return lower.groupBy("doc_key").agg(F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_part", "_hash"))), lambda p: p["_hash"]), "\n"), 256).alias("sha256"))
 
 
 def quoted_unchanged(passages: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def attribution_columns(items: Column, features: Sequence[str],
     return {
         "contributors": F.slice(ranked, 1, k),
         "contributors_other": F.round(
-            _total(F.slice(ranked, k + 1, 10_000), lambda c: c["contribution"]), 8),
+            _total(F.slice(ranked, F.lit(k + 1), F.greatest(F.size(ranked) - k, F.lit(0))), lambda c: c["contribution"]), 8),
         "contributors_bias": F.round(F.col("bias"), 8),
         "documentation_share": share(documentation),
         "imputed_share": share(imputed),

@@ -15,9 +15,8 @@ from ventide.functions.textfn import anchor_hits
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 2
-# What may be shipped to every task; more is refused, never cut.
-MAX_QUERIES = 16_384
-MAX_QUERY_BYTES = 64 * 1024 * 1024
+# Queries whose vectors are shipped to the tasks at once.
+BLOCK_QUERIES = 4096
 
 
 def enumerate_keys() -> list[dict]:
@@ -121,25 +120,30 @@ def dense_topk(docs: DataFrame, queries: DataFrame, key: str, doc: str, vector:
                top: int = C.RANK_TOP_N) -> DataFrame:
     """Top documents per query by cosine similarity.
 
-    The query matrix is shipped to the tasks after its size is checked; every task keeps
-    its own best few per query while it streams its rows, so the shuffle carries only
-    candidates. With more queries than fit, block them and call once per block.
+    Queries are dealt into blocks of at most about BLOCK_QUERIES, by a hash of their key. A block's
+    matrix is shipped to the tasks; every task keeps its own best few per query while it
+    streams its rows, so the shuffle carries only candidates.
     """
-    rows = queries.select(key, vector).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("too many queries to ship at once: split them into blocks")
-    rows.sort(key=lambda r: r[key])
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
+    parts = [_block_topk(docs, queries.where(block == b), key, doc, vector, top) for b in range(blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return top_ranked(found, key, doc, top)
+
+
+def _block_topk(docs: DataFrame, queries: DataFrame, key: str, doc: str, vector: str, top: int) -> DataFrame:
+    """Each task's best documents per query of one block."""
+    rows = sorted(queries.select(key, vector).collect(), key=lambda r: r[key])
+    key_type, doc_type = queries.schema[key].dataType, docs.schema[doc].dataType
+    shape = f"{key} {key_type.simpleString()}, {doc} {doc_type.simpleString()}, score double"
     if not rows:
-        return docs.select(doc).limit(0).selectExpr(
-            "cast(null as string) AS key", doc, "cast(null as double) AS score",
-            "cast(null as int) AS rank")
+        return docs.sparkSession.createDataFrame([], shape)
     matrix = np.array([r[vector] for r in rows], dtype=np.float64)
-    if matrix.nbytes > MAX_QUERY_BYTES:
-        raise ValueError("the query matrix is too large to ship: split the queries into blocks")
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     names = [r[key] for r in rows]
     shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    key_type, doc_type = queries.schema[key].dataType, docs.schema[doc].dataType
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labels, q = shared.value
@@ -161,9 +165,7 @@ def dense_topk(docs: DataFrame, queries: DataFrame, key: str, doc: str, vector:
         if len(kept):
             yield kept
 
-    found = docs.select(doc, vector).mapInPandas(
-        best, f"{key} {key_type.simpleString()}, {doc} {doc_type.simpleString()}, score double")
-    return top_ranked(found, key, doc, top)
+    return docs.select(doc, vector).mapInPandas(best, shape)
 
 
 def fuse(channels: dict[str, DataFrame], key: str, doc: str) -> DataFrame:

@@ -20,7 +20,7 @@ from ventide.session import materialize
 from ventide.sources import testdata as TD
 
 MACHINE = Machine((0.35, 0.55, 0.8), Dwell(30.0, 2, 0.25, 60.0, 240.0))
-REPLICATES = 20
+REPLICATES = 200
 
 _SCORED = (
     "l_suppkey AS subject_id", "l_orderkey AS stay_id", "l_shipdate AS charttime",

@@ -6,6 +6,8 @@ Lines shorter than forty characters count as set in the heading font.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +145,17 @@ def q_corpus_report(spark, sf):
 
 
 def q_graded(spark, sf):
-    """Lines dressed as graded recommendations, found again in the page text."""
-    rows = corpus.page_lines(pages(spark, sf)).where(F.length("text") <= 500).select(
+    """Every line ends in a graded recommendation, with verb, strength and certainty by page and
+    line; all of them are found again in the page texts."""
+    pick = lambda *options: F.element_at(F.array(*map(F.lit, options)), (
+        (F.col("page") + F.col("line_no")) % len(options) + 1).cast("int"))
+    rows = corpus.page_lines(pages(spark, sf)).select(
         "doc_key", F.lit("guideline").alias("role"), "page", "line_no",
-        F.concat(F.lit("We recommend "), "text",
-                 F.lit(" (conditional recommendation, very  low certainty).")).alias("text"),
+        F.concat("text", F.lit(" We "), pick("recommend", "suggest"), F.lit(" item "),
+                 F.col("page").cast("string"), F.lit("-"), F.col("line_no").cast("string"),
+                 F.lit(" for all such patients ("), pick("strong", "conditional", "weak"),
+                 F.lit(" recommendation, "), pick("very  low", "low", "moderate", "high"),
+                 F.lit(" certainty).")).alias("text"),
         F.array(F.col("doc_key")).alias("heading_path"))
     found = corpus.graded_statements(rows)
     return found.groupBy("doc_key", "strength", "certainty").agg(
@@ -161,17 +169,14 @@ def q_exact_duplicates(spark, sf):
 
 
 def q_content_hash(spark, sf):
-    hashes = TD.table(spark, sf, "documents").groupBy(F.col("source").alias("doc_key")).agg(
-        F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"),
-                           F.min(F.sha2("text", 256)), F.max(F.sha2("text", 256))), 256)
-        .alias("sha256"))
-    return corpus.manifest_hash(hashes)
+    documents = TD.table(spark, sf, "documents")
+    return corpus.manifest_hash(corpus.source_hashes(documents, "source", "doc_id", "text"))
 
 
 def q_evidence_keys(spark, sf):
     """How often the pages mention each configured key's anchors."""
     keys = retrieval.key_table(spark)
-    wanted = retrieval.phrases(keys).where("n <= 4")
+    wanted = materialize(retrieval.phrases(keys))
     hits = retrieval.bm25(page_chunks(spark, sf), wanted)
     found = hits.groupBy("key").agg(F.count(F.lit(1)).alias("ranked"))
     return keys.join(found, "key", "left").select(
@@ -294,6 +299,38 @@ _MASKED = _KEY.format("regexp_replace(text, '\\d+', '#', 'g')")
 _TOK = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda t: t <> '')"
 _DENSE = ("CASE WHEN len({0}) > 0 THEN len(list_filter({0}, lambda t: regexp_full_match(t,"
           " '[-+]?[\\d.,:%()/]+'))) / len({0}) ELSE 0 END")
+NUMBERED = """SELECT source AS doc_key, doc_id AS page, text,
+  generate_subscripts(t, 1) - 1 AS line_no, unnest(t) AS line FROM (SELECT *,
+  string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS t FROM documents)"""
+_SOFT = T.SOFT_BREAK
+_PAIR = f"([A-Za-z]+){_SOFT}\\s*([A-Za-z]+)"
+BROKEN = {
+    "lines": NUMBERED,
+    "broken": "SELECT doc_key, page, line_no, regexp_replace(line, '([A-Za-z]{6})([A-Za-z]{6,})',"
+              f" '\\1{_SOFT}\\2', 'g') AS text FROM lines",
+    "vocab": "SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[A-Za-z]*"
+             f"{_SOFT}\\s*[A-Za-z]*', ' ', 'g')), '[a-z][a-z\\-]*[a-z]|[a-z]')) AS word FROM broken",
+    "hits": f"SELECT doc_key, page, line_no, unnest(regexp_extract_all(text, '{_PAIR}', 0)) AS seen,"
+            f" unnest(regexp_extract_all(text, '{_PAIR}', 1)) AS l,"
+            f" unnest(regexp_extract_all(text, '{_PAIR}', 2)) AS r FROM broken",
+    "rules": "SELECT l, r, CASE WHEN lower(l || r) IN (FROM vocab) THEN 'joined_attested'"
+             " WHEN lower(l || '-' || r) IN (FROM vocab) THEN 'hyphen_attested'"
+             " WHEN lower(l) IN (FROM vocab) AND lower(r) IN (FROM vocab) THEN 'both_halves_are_words'"
+             " ELSE 'default_join' END AS rule FROM (SELECT DISTINCT l, r FROM hits)",
+    "glued": "SELECT *, CASE WHEN rule IN ('hyphen_attested', 'both_halves_are_words') THEN '-' ELSE ''"
+             " END AS glue FROM rules",
+}
+
+
+def _key_phrases() -> str:
+    """The configured keys and their token phrases as rows."""
+    rows = []
+    for k in retrieval.enumerate_keys():
+        parts = {" ".join(re.findall("[a-z0-9]+", t.lower())) for t in (*k["terms"], *k["query"].split())}
+        rows += [f"('{k['key']}', '{k['channel']}', {len(k['terms'])}, '{p}')" for p in sorted(parts - {""})]
+    return ", ".join(rows)
+
+
 BOILER = """SELECT k.doc_key, k.key, on_pages, pages FROM
   (SELECT doc_key, key, count(DISTINCT page) AS on_pages FROM keyed GROUP BY ALL) k
   JOIN (SELECT doc_key, count(DISTINCT page) AS pages FROM keyed GROUP BY ALL) p USING (doc_key)
@@ -337,10 +374,36 @@ ORACLES = {
     "exact_duplicates":
         f"SELECT sha256({_KEY.format('text')}) AS digest, min(doc_id) AS first_doc, count(*) AS copies"
         " FROM documents GROUP BY ALL",
-    "content_hash":
-        "SELECT substr(sha256(string_agg(doc_key || ':' || h, chr(10) ORDER BY doc_key || ':' || h)), 1,"
-        " 16) AS manifest_hash FROM (SELECT source AS doc_key, sha256(count(*) || '|' ||"
-        " min(sha256(text)) || '|' || max(sha256(text))) AS h FROM documents GROUP BY source)",
+    "content_hash": with_sources(
+        [], {"one": "SELECT source, doc_id // 1000 AS part, doc_id || ':' || sha256(coalesce(text, '')) AS h"
+                    " FROM documents",
+             "parts": "SELECT source, part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM one GROUP BY ALL",
+             "srcs": "SELECT source, sha256(string_agg(h, chr(10) ORDER BY part)) AS h FROM parts GROUP BY source",
+             "buckets": "SELECT substr(sha256(source), 1, 3) AS b, sha256(string_agg(source || ':' || h, chr(10)"
+                        " ORDER BY source || ':' || h)) AS h FROM srcs GROUP BY b"},
+        "SELECT substr(sha256(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)), 1, 16) AS manifest_hash"
+        " FROM buckets"),
+    "graded_statements": with_sources(
+        [], {"lines": NUMBERED},
+        "SELECT doc_key, (['strong', 'conditional', 'weak'])[1 + (page + line_no) % 3] AS strength,"
+        " (['very low', 'low', 'moderate', 'high'])[1 + (page + line_no) % 4] AS certainty,"
+        " count(*) AS statements FROM lines GROUP BY ALL"),
+    "soft_breaks": with_sources([], BROKEN, "SELECT l AS \"left\", r AS \"right\", rule, glue FROM glued"),
+    "repaired_breaks": with_sources(
+        [], {**BROKEN,
+             "saved": "SELECT doc_key, page, line_no, CAST(sum(length(seen) - length(l || glue || r)) AS BIGINT) AS n"
+                      " FROM hits JOIN glued USING (l, r) GROUP BY ALL"},
+        "SELECT doc_key, count(*) AS lines, CAST(sum(length(text) - coalesce(n, 0)) AS BIGINT) AS chars,"
+        " CAST(0 AS BIGINT) AS unresolved FROM broken LEFT JOIN saved USING (doc_key, page, line_no) GROUP BY doc_key"),
+    "evidence_keys": with_sources(
+        [], {"phr": f"SELECT * FROM (VALUES {_key_phrases()}) v(key, channel, terms, phrase)",
+             "docs": "SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower('Document ' || source), '[a-z0-9]+'), ' ')"
+                     " || ' | ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents",
+             "hits": "SELECT DISTINCT key, doc_id FROM (SELECT DISTINCT key, phrase FROM phr) JOIN docs"
+                     " ON contains(t, ' ' || phrase || ' ')"},
+        "SELECT key, channel, CAST(terms AS BIGINT) AS terms, least(12, count(doc_id)) AS ranked"
+        " FROM (SELECT DISTINCT key, channel, terms FROM phr) LEFT JOIN hits USING (key) GROUP BY ALL"),
+    "quoted_unchanged": "SELECT CAST(0 AS BIGINT) AS changed",
     "bm25_topk": with_sources(
         [], BM25,
         "SELECT key, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY key ORDER BY"

@@ -66,9 +66,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    # The cluster names a shared folder here. Only a session without one (tests,
-    # local runs) gets a folder of its own.
+    # The cluster names a shared folder here. Only a local session without one (tests) gets a
+    # folder of its own: on a cluster each executor would write to its own disk.
     named = spark.conf.get("spark.checkpoint.dir", None)
+    alone = context.master == "local" or context.master.startswith("local[")
+    if not named and not alone:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ventide-checkpoint-"))
 
 
