@@ -182,8 +182,11 @@ def q_charting_gaps(spark, sf):
 
 
 def q_promotion_profile(spark, sf):
-    cuts = {f"c{int(100 * q)}": q for q in (0.1, 0.3, 0.5, 0.7, 0.9)}
-    out = bands.rate_profile(materialize(readings(spark, sf)), cuts, 0.0, MACHINE.dwell)
+    """Promotions at seven quantiles of the score: the rate rises and falls along it."""
+    base = materialize(readings(spark, sf))
+    marks = quantiles(base, [], "p", list(C.RATE_QUANTILES)).collect()  # seven rows
+    cuts = {f"c{round(100 * m['fraction'])}": round(m["quantile"], 4) for m in marks}
+    out = bands.rate_profile(base, cuts, 0.0, MACHINE.dwell)
     return out.select("latch", r("promotions_per_day", 6))
 
 
@@ -407,16 +410,17 @@ _EVAL = """SELECT round((SELECT count(*) FROM lagged WHERE before <> shown) / (S
 
 
 def _profile_sql() -> str:
-    cuts = (0.1, 0.3, 0.5, 0.7, 0.9)
     d = MACHINE.dwell
-    rules = ", ".join(f"({int(100 * c)}, {c}, {c - d.demote_margin * c})" for c in cuts)
     steps = _latch_steps()
     known = ", ".join(f"({k}, {c}, {f})" for k, (c, f) in
                       enumerate(zip(MACHINE.cuts, MACHINE.floors, strict=True)))
-    steps["latch"] = steps["latch"].replace(known, rules)
+    steps["latch"] = steps["latch"].replace(f"(VALUES {known}) v(k, cut, flr)", "marks v")
     steps.pop("banded")
+    marks = " UNION ALL ".join(
+        f"SELECT {round(100 * q)} AS k, round(quantile_cont(p, {q}), 4) AS cut FROM readings" for q in C.RATE_QUANTILES)
     text = with_sources(["ev"], {
-        "readings": READINGS, **steps, "days": _EVAL_STEPS["days"],
+        "readings": READINGS, "marks": f"SELECT k, cut, cut - {d.demote_margin} * cut AS flr FROM ({marks})",
+        **steps, "days": _EVAL_STEPS["days"],
         "edges": "SELECT k, lit, lag(lit) OVER (PARTITION BY stay_id, k ORDER BY rn) AS before"
                  " FROM latch"},
         "SELECT 'c' || k AS latch, round(count(*) FILTER (WHERE lit AND NOT before)"

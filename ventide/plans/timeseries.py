@@ -186,13 +186,11 @@ def q_intervention_prevalence(spark, sf):
 
 
 def q_mode_values(spark, sf):
-    """How many readings know a mode, and the first six mode names."""
-    known = interventions.modes(ts_long(spark, sf))
-    return known.agg(
-        F.count(F.lit(1)).alias("mode_events"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("ventilator_mode")), 1, 6), ",")
-        .alias("examples"),
-    )
+    """Readings per ventilator mode known to them; an empty mode stands for none."""
+    readings = materialize(wide(spark, sf).select("stay_id", "charttime"))
+    known = interventions.mode_state(readings, interventions.modes(ts_long(spark, sf)))
+    return known.groupBy(F.coalesce("ventilator_mode", F.lit("")).alias("mode")).agg(
+        F.count(F.lit(1)).alias("readings"))
 
 
 def _label_output(df: DataFrame) -> DataFrame:
@@ -718,11 +716,11 @@ ORACLES = {
         " UNION ALL ".join(f"SELECT '{g}' AS grp, round(100.0 * avg({g}_running), 4) AS pct_running"
                            " FROM drugs" for g in C.DRUG_GROUPS)),
     "mode_values": with_sources(
-        ["chartevents"], {"modes": "SELECT DISTINCT ON (stay_id, charttime) value FROM chartevents"
-                          " WHERE itemid = 223849 AND value IS NOT NULL"
-                          " ORDER BY stay_id, charttime, value DESC"},
-        "SELECT count(*) AS mode_events, array_to_string(list_sort(list(DISTINCT value))[1:6], ',')"
-        " AS examples FROM modes"),
+        _SRC, {**BASE_WIDE, "modes":
+               "SELECT stay_id, charttime AS mt, max(value) AS m FROM long"
+               " WHERE itemid = 223849 AND value IS NOT NULL GROUP BY ALL"},
+        "SELECT coalesce(m.m, '') AS mode, count(*) AS readings FROM wide w ASOF LEFT JOIN modes m"
+        " ON w.stay_id = m.stay_id AND w.charttime > m.mt GROUP BY ALL"),
     "forward_labels": _label_sql(),
     "label_prevalence": _prevalence_sql(),
     "vac_days": with_sources(
