@@ -140,31 +140,37 @@ def triggers(readings: DataFrame, latches: dict[str, tuple[float, float, Dwell]]
     return spread.withColumns(out).where("_own").select(*readings.columns, *latches)
 
 
-def displayed(readings: DataFrame, machine: Machine, width_s: int = DAY_SECONDS) -> DataFrame:
-    """Instant and displayed band of every reading (stay_id, charttime, p)."""
+def displayed(readings: DataFrame, machine: Machine, width_s: int = DAY_SECONDS,
+              history: bool = False) -> DataFrame:
+    """Instant and displayed band of every reading (stay_id, charttime, p).
+
+    With `history` also `_rn`, the number of the reading in its stay, and `_before`, the band
+    displayed at the reading before it: the latches as they stood then, from the same pass.
+    """
     latches = {f"_k{i}": (c, f, machine.dwell)
                for i, (c, f) in enumerate(zip(machine.cuts, machine.floors, strict=True))}
     marked = materialize(triggers(readings, latches, width_s))
-    latched = scan(
-        marked, ["stay_id"], "charttime",
-        {f"_on{i}": Running("last", F.col(k)) for i, k in enumerate(latches)}, width_s=width_s,
-    )
-    on = sum((F.coalesce(f"_on{i}", F.lit(0)) for i in range(len(latches))), F.lit(0))
+    running = {f"_on{i}": Running("last", F.col(k)) for i, k in enumerate(latches)}
+    if history:
+        running |= {f"_was{i}": Running("last", F.col(k), strict=True) for i, k in enumerate(latches)}
+        running["_rn"] = Running("sum", F.lit(1).cast("long"))
+    latched = scan(marked, ["stay_id"], "charttime", running, width_s=width_s)
+
+    def lit(name: str) -> Column:
+        return sum((F.coalesce(f"{name}{i}", F.lit(0)) for i in range(len(latches))), F.lit(0))
+
+    more = [F.when(F.col("_rn") > 1, lit("_was")).alias("_before"), F.col("_rn")] if history else []
     return latched.select(
         *readings.columns,
         instant_band(machine, F.col("p")).alias("instant_index"),
-        on.alias("displayed_index"),
+        lit("_on").alias("displayed_index"),
+        *more,
     )
 
 
 def band_views(readings: DataFrame, machine: Machine, width_s: int = DAY_SECONDS) -> DataFrame:
     """The full view: names, confirmation state and readings since the band last changed."""
-    banded = materialize(displayed(readings, machine, width_s))
-    lagged = materialize(
-        scan(banded, ["stay_id"], "charttime",
-             {"_before": Running("last", F.col("displayed_index"), strict=True),
-              "_rn": Running("sum", F.lit(1).cast("long"))}, width_s=width_s)
-    )
+    lagged = materialize(displayed(readings, machine, width_s, history=True))
     changed = F.col("_before").isNull() | (F.col("_before") != F.col("displayed_index"))
     since = scan(lagged, ["stay_id"], "charttime",
                  {"_since": Running("last", F.when(changed, F.col("_rn")))}, width_s=width_s)

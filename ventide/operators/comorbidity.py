@@ -106,17 +106,15 @@ def category_flags(diagnoses: DataFrame, strip_dots: bool = False) -> DataFrame:
     lengths = sorted({len(p) for _, p, _ in prefixes()})
     code = clean_code(F.col("icd_code"), strip_dots)
     cut = F.array(*[F.when(F.length(code) >= n, F.left(code, F.lit(n))) for n in lengths])
+    # The table has a few hundred rows, fixed by configuration. Codes that match nothing keep
+    # their admission, with zeros.
     pieces = diagnoses.select(
-        "hadm_id", "icd_version", F.explode(F.array_compact(cut)).alias("prefix")
+        "hadm_id", "icd_version", F.explode_outer(F.array_compact(cut)).alias("prefix")
     )
-    matched = pieces.join(F.broadcast(table), ["icd_version", "prefix"])
-    hits = matched.groupBy("hadm_id").agg(
+    matched = pieces.join(F.broadcast(table), ["icd_version", "prefix"], "left")
+    return matched.groupBy("hadm_id").agg(
         *[F.max(F.when(F.col("category") == n, 1).otherwise(0)).alias(f"cci_{n}") for n in NAMES]
     )
-    every = diagnoses.select("hadm_id").distinct()
-    return every.join(hits, "hadm_id", "left").select(
-        "hadm_id", *[F.coalesce(f"cci_{n}", F.lit(0)).alias(f"cci_{n}") for n in NAMES]
-    )
 
 
 def score(hierarchy: bool = True) -> Column:

@@ -72,26 +72,34 @@ def _total(items: Column, value) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, c: acc + value(c))
 
 
-def attribution_columns(items: Column, features: Sequence[str],
-                        k: int = C.CONTRIBUTOR_TOP_K) -> dict[str, Column]:
+def attribution_columns(items: Column, features: Sequence[str], kinds: dict[str, tuple[str, str]],
+                        k: int = C.CONTRIBUTOR_TOP_K, array: str = "contributions") -> dict[str, Column]:
     """Top contributors, the signed tail, and three shares of one denominator.
 
     The documentation and the imputed share cover disjoint features, so they add up to at
-    most one. The age is weighted by attribution, not the oldest value in use.
+    most one. The age is weighted by attribution, not the oldest value in use. Features have
+    fixed places in the array, so sums are plain sums of their sizes.
     """
-    size = lambda c: F.abs(c["contribution"])
-    total = _total(items, size)
+    place = {f: i for i, f in enumerate(features)}
+
+    def size_of(names: Sequence[str]) -> Column:
+        out = F.lit(0.0)
+        for name in names:
+            out = out + F.abs(F.get(F.col(array), place[name]))
+        return out
+
+    total = size_of(features)
     ranked = _by_size(items)
-    documentation = _total(items, lambda c: F.when(c["kind"] == "documentation", size(c)).otherwise(0.0))
+    documentation = size_of([f for f in features if kinds[f][0] == "documentation"])
     imputed, aged, weighed = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for p in C.PARAMS:
         names = [f"{p}_final", f"{p}_locf"]
         if p == "tidal_volume_observed":
             names.append("tidal_volume_ml_per_kg_pbw")
-        if not set(names) & set(features):
+        names = [f for f in features if f in names]
+        if not names:
             continue
-        weight = _total(items, lambda c, n=tuple(names): F.when(c["feature"].isin(*n), size(c))
-                        .otherwise(0.0))
+        weight = size_of(names)
         imputed = imputed + F.when(F.col(f"{p}_locf").isNull(), weight).otherwise(0.0)
         age = F.col(f"{p}_delta_t_min")
         aged = aged + F.when(age.isNotNull(), weight * age).otherwise(0.0)
@@ -133,7 +141,7 @@ def build_records(df: DataFrame, features: Sequence[str], kinds: dict[str, tuple
         telemetry().alias("telemetry"),
         F.array(F.struct(F.lit("MODEL_BAND").alias("code"), F.col("displayed").alias("band")))
         .alias("reasons"),
-        *[c.alias(n) for n, c in attribution_columns(F.col("_items"), features).items()],
+        *[c.alias(n) for n, c in attribution_columns(F.col("_items"), features, kinds).items()],
     )
 
 

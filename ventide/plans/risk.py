@@ -108,18 +108,23 @@ def scored(spark, sf) -> DataFrame:
 
 
 def record_set(spark, sf) -> DataFrame:
+    """The records, written once for those who read them more than once."""
+    return materialize(built_records(spark, sf))
+
+
+def built_records(spark, sf) -> DataFrame:
     df = scored(spark, sf)
     meta = df.groupBy("displayed").agg(F.avg("warning").alias("observed_rate")).select(
         "displayed", F.round("observed_rate", 4).alias("observed_rate"),
         F.round(F.greatest(F.col("observed_rate") - 0.02, F.lit(0.0)), 4).alias("lo"),
         F.round(F.least(F.col("observed_rate") + 0.02, F.lit(1.0)), 4).alias("hi"))
     base = df.agg(F.avg("warning")).first()[0]
-    return materialize(records.build_records(
-        df, FEATURES, KINDS, meta, max(round(float(base), 4), 1e-4), PROVENANCE))
+    return records.build_records(
+        df, FEATURES, KINDS, meta, max(round(float(base), 4), 1e-4), PROVENANCE)
 
 
 def q_record_shares(spark, sf):
-    out = record_set(spark, sf)
+    out = built_records(spark, sf)
     return out.select(
         F.col("stay_id").cast("long").alias("stay_id"), minute(),
         F.col("contributors")[0]["feature"].alias("top_feature"), "documentation_share",
@@ -127,7 +132,7 @@ def q_record_shares(spark, sf):
 
 
 def q_records(spark, sf):
-    out = record_set(spark, sf)
+    out = built_records(spark, sf)
     body = F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"})
     return out.select(F.col("stay_id").cast("long").alias("stay_id"), minute(), body.alias("record"))
 
