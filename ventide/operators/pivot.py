@@ -9,9 +9,14 @@ from ventide import config as C
 from ventide.operators.clean import drop_all_null, plausible_value
 
 
-def _median_of(param: str, item: int) -> Column:
-    hit = F.col("itemid") == item
-    return F.median(F.when(hit, plausible_value(param, item, F.col("valuenum"))))
+def _plausible() -> Column:
+    """The value of an event by the rules of its item's parameter."""
+    rules = [(item, plausible_value(param, item, F.col("valuenum")))
+             for param, items in C.PARAM_ITEMS.items() for item in items]
+    out = F.when(F.col("itemid") == rules[0][0], rules[0][1])
+    for item, value in rules[1:]:
+        out = out.when(F.col("itemid") == item, value)
+    return out
 
 
 def events_in_window(events: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -32,16 +37,22 @@ def events_in_window(events: DataFrame, cohort: DataFrame) -> DataFrame:
 def events_to_wide(events: DataFrame, cohort: DataFrame) -> DataFrame:
     """Median per parameter and instant with range, unit and source-preference rules.
 
-    Grouping is by (stay, instant), so a stay with many readings spreads over all tasks,
-    and Spark combines before the shuffle.
+    Medians are taken in long form, one small buffer per (stay, instant, item), and then set side
+    by side. Both groupings share one shuffle by (stay, instant), so a stay with many readings
+    spreads over all tasks.
     """
-    values = [
-        F.coalesce(*[_median_of(param, item) for item in items]).alias(param)
-        for param, items in C.PARAM_ITEMS.items()
-    ]
-    wide = events_in_window(events, cohort).groupBy("stay_id", "charttime").agg(
+    dealt = (
+        events_in_window(events, cohort)
+        .select("stay_id", "charttime", "itemid", "subject_id", "warning", _plausible().alias("_v"))
+        .repartition("stay_id", "charttime")
+    )
+    medians = dealt.groupBy("stay_id", "charttime", "itemid").agg(
+        F.median("_v").alias("_m"), F.min("subject_id").alias("subject_id"),
+        F.max("warning").alias("warning"))
+    of = lambda item: F.max(F.when(F.col("itemid") == item, F.col("_m")))
+    wide = medians.groupBy("stay_id", "charttime").agg(
         F.min("subject_id").alias("subject_id"),
-        *values,
+        *[F.coalesce(*map(of, items)).alias(param) for param, items in C.PARAM_ITEMS.items()],
         F.max("warning").cast("byte").alias("warning"),
     )
     return drop_all_null(wide, C.PARAMS).select(

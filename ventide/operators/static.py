@@ -46,13 +46,14 @@ def predicted_body_weight(height_cm: Column, gender: Column) -> Column:
 
 def visit_numbers(cohort: DataFrame, width_s: int = 30 * DAY_SECONDS) -> DataFrame:
     """Earlier stays of the same patient in the cohort; stays without a date come last."""
-    dated = materialize(cohort.withColumn(
-        "_visit", F.coalesce("intime", F.lit("9999-12-31").cast("timestamp"))))
+    dated = materialize(cohort.select("subject_id", "stay_id", F.coalesce(
+        "intime", F.lit("9999-12-31").cast("timestamp")).alias("_visit")))
     counted = scan(
         dated, ["subject_id"], "_visit", {"_n": Running("sum", F.lit(1).cast("long"), strict=True)},
         tie=["stay_id"], width_s=width_s,
     )
-    return counted.withColumn("prior_icu_stays", F.coalesce("_n", F.lit(0))).drop("_visit", "_n")
+    return cohort.join(
+        counted.select("stay_id", F.coalesce("_n", F.lit(0)).alias("prior_icu_stays")), "stay_id")
 
 
 def static_table(
