@@ -331,6 +331,10 @@ def _key_phrases() -> str:
     return ", ".join(rows)
 
 
+# SHORT_TOKENS with word boundaries spelled out, because here they would know ASCII letters only.
+_W = "\\p{L}\\p{N}_"
+_SHORT = (f"(?:(?:^|[^{_W}])[{_W}](?:\\S{{0,2}}[{_W}])?|[{_W}][^{_W}\\s]\\S{{0,2}}[{_W}])[ ]+"
+          "(?:\\S{1,4}[ ]+){3,}")
 BOILER = """SELECT k.doc_key, k.key, on_pages, pages FROM
   (SELECT doc_key, key, count(DISTINCT page) AS on_pages FROM keyed GROUP BY ALL) k
   JOIN (SELECT doc_key, count(DISTINCT page) AS pages FROM keyed GROUP BY ALL) p USING (doc_key)
@@ -388,6 +392,26 @@ ORACLES = {
         "SELECT doc_key, (['strong', 'conditional', 'weak'])[1 + (page + line_no) % 3] AS strength,"
         " (['very low', 'low', 'moderate', 'high'])[1 + (page + line_no) % 4] AS certainty,"
         " count(*) AS statements FROM lines GROUP BY ALL"),
+    "line_shapes": with_sources(
+        [], {"lines": "SELECT doc_key, trim(line, ' ') AS text FROM (" + NUMBERED + ")",
+             "toks": "SELECT *, " + _TOK.format("text") + " AS tok FROM lines",
+             "shaped": "SELECT *, len(tok) AS w, " + _DENSE.format("tok") + " AS dense FROM toks",
+             "tabled": "SELECT *, w >= 3 AND (dense >= 0.4 OR regexp_matches(text, '" + _SHORT + "')) AS t FROM shaped"},
+        "SELECT doc_key, count(*) AS lines, count(*) FILTER (WHERE t) AS table_like,"
+        " count(*) FILTER (WHERE length(text) > 0 AND w <= 14 AND NOT regexp_matches(text, '[.;,]$')"
+        " AND NOT regexp_matches(text, '" + T.CONTENTS + "') AND regexp_matches(text, '^[\\p{Lu}\\p{Nd}]')"
+        " AND length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 3 AND NOT t"
+        " AND NOT regexp_matches(text, '" + T.REFERENCE + "')) AS heading_like,"
+        " count(*) FILTER (WHERE dense >= 0.25) AS numeric_dense,"
+        " count(*) FILTER (WHERE regexp_matches(text, '" + T.ROMAN + "')) AS roman,"
+        " count(*) FILTER (WHERE regexp_matches(text, '" + T.OUTLINE + "')) AS outline,"
+        " CAST(sum(w) AS BIGINT) AS words, count(DISTINCT " + _MASKED + ") AS line_keys FROM tabled GROUP BY doc_key"),
+    "glyph_repair": with_sources(
+        [], {"styled": "SELECT doc_id, regexp_replace(replace(text, 'e', '\u00bc'), '\\bthe\\b|\\bth\u00bc\\b',"
+                       " 'xy', 'g') AS t FROM documents",
+             "fixed": "SELECT doc_id, replace(t, '\u00bc', '=') AS t FROM styled"},
+        "SELECT doc_id, length(t) AS chars, length(t) - length(replace(t, '=', '')) AS equals,"
+        " len(string_split(t, 'xy')) - 1 AS folded FROM fixed"),
     "soft_breaks": with_sources([], BROKEN, "SELECT l AS \"left\", r AS \"right\", rule, glue FROM glued"),
     "repaired_breaks": with_sources(
         [], {**BROKEN,
