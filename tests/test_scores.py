@@ -191,3 +191,17 @@ def test_choice_of_hysteresis():
     slow = dict(dwell=Dwell(60.0, 2, 0.5, 120.0), flips_per_day=0.5, sensitivity_high=0.9, lost_lead_median_min=45.0)
     assert bands.choose([plain, good, slow]) is good
     assert len(bands.sweep_dwells()) == 27
+
+
+def test_choice_breaks_ties_and_keeps_detection():
+    def row(dwell, sens, flips, lost):
+        return {"dwell": dwell, "sensitivity_high": sens, "flips_per_day": flips, "lost_lead_median_min": lost}
+
+    plain = row(bands.Dwell(0.0, 1, 0.0, 0.0), 0.5, 4.0, 0.0)
+    calm = row(bands.Dwell(30.0, 2, 0.25, 60.0), 0.6, 2.0, 20.0)
+    busy = row(bands.Dwell(15.0, 2, 0.25, 60.0), 0.6, 3.0, 5.0)
+    quick = row(bands.Dwell(30.0, 2, 0.5, 60.0), 0.6, 2.0, 10.0)
+    assert bands.choose([plain, busy, calm, quick]) is quick
+    worse = row(bands.Dwell(30.0, 2, 0.25, 60.0), 0.4, 1.0, 0.0)
+    with pytest.raises(ValueError):
+        bands.choose([{**plain, "lost_lead_median_min": 99.0}, worse])

@@ -2,7 +2,8 @@
 
 Values are counted first, so ties cost nothing. The distinct values are then cut into
 slices at approximate percentiles; slices are ordered independently and a slice's offset
-comes from the slice totals, of which there are at most SLICES + 1 per group.
+comes from the slice totals. The number of slices follows the counted values, from SLICES up to
+MOST_SLICES per group.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 
 from ventide.session import materialize
 
-SLICES = 256
+SLICES, MOST_SLICES, SLICE_ROWS = 256, 10_000, 1_000_000
+
+
+def slices_for(rows: int) -> int:
+    """As many slices as keep each at about SLICE_ROWS distinct values."""
+    return min(MOST_SLICES, max(SLICES, rows // SLICE_ROWS))
 
 
 def slice_of(edges: Column, value: Column, size: int = SLICES) -> Column:
@@ -42,15 +48,17 @@ def cumulate(
     value: str,
     sums: Mapping[str, str],
     descending: bool = False,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Running totals in order of `value` inside each group, the row included.
 
-    counted: one row per (groups, value), written once because edges, offsets and slices
+    counted: one row per (groups, value, tie), written once because edges, offsets and slices
     all read it. sums: output name -> column to add up.
     """
     groups = list(groups)
     counted = materialize(counted)
-    grid = [i / SLICES for i in range(1, SLICES)]
+    slices = slices_for(counted.count())
+    grid = [i / slices for i in range(1, slices)]
     edge = F.percentile_approx(F.col(value), [float(g) for g in grid], 10_000).alias("_edges")
     base = counted.withColumn("_one", F.lit(1)) if not groups else counted
     by = groups or ["_one"]
@@ -59,7 +67,7 @@ def cumulate(
     else:
         # One array for everything: a scalar, not a join on a constant.
         edged = base.withColumn("_edges", base.agg(edge).scalar())
-    sliced = edged.withColumn("_slice", slice_of(F.col("_edges"), F.col(value)))
+    sliced = edged.withColumn("_slice", slice_of(F.col("_edges"), F.col(value), slices))
     sliced = sliced.drop("_edges")
     position = F.col("_slice").desc() if descending else F.col("_slice").asc()
     before = (
@@ -75,7 +83,7 @@ def cumulate(
     )
     inside = (
         Window.partitionBy(*by, "_slice")
-        .orderBy(F.col(value).desc() if descending else F.col(value).asc())
+        .orderBy(F.col(value).desc() if descending else F.col(value).asc(), *tie)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     running = sliced.join(offsets, [*by, "_slice"])

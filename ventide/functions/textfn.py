@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ventide import config as C
 
@@ -76,22 +74,18 @@ def heading_like(c: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        return "".join(
-            unicodedata.normalize("NFKC", ch) if "\U0001d400" <= ch <= "\U0001d7ff" else ch
-            for ch in text
-        )
+# Styled mathematical letters and digits, and the plain ones that compatibility folding gives.
+_STYLED = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x1D400, 0x1D800)}
+_STYLED = {styled: plain for styled, plain in _STYLED.items() if plain != styled}
 
-    return texts.map(one)
+
+def _fold(c: Column) -> Column:
+    return F.translate(c, "".join(_STYLED), "".join(_STYLED.values()))
 
 
 def repair_glyphs(c: Column, folds: bool = True) -> Column:
     """Undo known extraction defects: a wrong equals sign, dead formulas, styled letters,
-    control characters. Only rows with styled letters visit Python."""
+    control characters."""
     fixed = F.replace(c, F.lit(BAD_EQUALS), F.lit("="))
     run = f"{MATH_ITALIC}{{{C.MATH_ITALIC_MAX_RUN + 1},}}"
     fixed = F.regexp_replace(fixed, run, FORMULA_NOTE.replace("[", r"\[").replace("]", r"\]"))

@@ -378,8 +378,9 @@ def ratchet(banded: DataFrame, machine: Machine) -> DataFrame:
 
 
 def choose(results: list[dict], max_lost_min: float = 30.0, max_flip_increase: float = 0.25) -> dict:
-    """Most sensitive setting that loses little warning and flips little more than the
-    setting without hysteresis."""
+    """Most sensitive setting that loses little warning and flips little more than the setting
+    without hysteresis. Equal ones: fewer flips, then less delay. One that detects less than no
+    hysteresis at all is refused."""
     reference = next(r for r in results if r["dwell"].promote_min == 0.0
                      and r["dwell"].demote_margin == 0.0 and r["dwell"].demote_min == 0.0)
     limit = reference["flips_per_day"] * (1 + max_flip_increase)
@@ -387,7 +388,10 @@ def choose(results: list[dict], max_lost_min: float = 30.0, max_flip_increase: f
             if r["lost_lead_median_min"] <= max_lost_min and r["flips_per_day"] <= limit]
     if not fits:
         raise ValueError("no hysteresis setting satisfies the limits")
-    return max(fits, key=lambda r: r["sensitivity_high"])
+    best = min(fits, key=lambda r: (-r["sensitivity_high"], r["flips_per_day"], r["lost_lead_median_min"]))
+    if best["sensitivity_high"] < reference["sensitivity_high"]:
+        raise ValueError("every setting within the limits detects less than no hysteresis does")
+    return best
 
 
 def artifact(machine: Machine, table: list[dict], envelopes: list[dict], base_rate: float,

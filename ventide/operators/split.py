@@ -55,7 +55,7 @@ def patient_split(wide: DataFrame, seed: int = C.SEED) -> DataFrame:
 def place(people: DataFrame, seed: int = C.SEED) -> DataFrame:
     ranked = cumulate(
         people.withColumn("_u", draw_fraction(seed, "subject_id")).withColumn("_n", F.lit(1)),
-        ["strat"], "_u", {"_rank": "_n"},
+        ["strat"], "_u", {"_rank": "_n"}, tie=["subject_id"],
     )
     sizes = people.groupBy("strat").agg(F.count(F.lit(1)).alias("_size"))
     test_n = F.ceil(F.col("_size") * C.TEST_FRACTION)

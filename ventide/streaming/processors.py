@@ -172,8 +172,10 @@ def band_stream(stream: DataFrame, machine: bands.Machine) -> DataFrame:
     return _stateful(stream, BandProcessor(machine), BAND_SCHEMA)
 
 
-def read_stream(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
-    return spark.readStream.schema(layout).parquet(path)
+def read_stream(spark: SparkSession, path: str, layout: T.StructType, files: int = 64) -> DataFrame:
+    """New files as a stream, at most `files` of them in one micro-batch, so that a backlog is not
+    one batch."""
+    return spark.readStream.schema(layout).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run_available(result: DataFrame, output: str, checkpoint: str) -> None:
