@@ -7,9 +7,11 @@ values where few do, and in a crowded region the NEAREST ones, which share more.
 counts follows the region's density, no region is ever enumerated in pairs, and the sorted order is
 cut into ranges that Spark balances, however large one region is.
 
-Candidates whose whole signatures disagree by more than MARGIN standard deviations from the
-threshold are dropped. The rest are confirmed on the full sets: first each class's best candidate,
-then those that still lie in different components. A pair at the threshold shares LEAST values in
+The search runs twice. First only direct neighbours count, and each class's best one is confirmed on
+the full sets; that joins groups of copies into components. Then neighbours within NEAREST count
+whose components differ, so that a large group costs no pairs of its own, and all of these are
+confirmed. In between, candidates are dropped whose whole signatures disagree by more than MARGIN
+standard deviations from the threshold. A pair at the threshold shares LEAST values in
 some tree but for a chance of (1 - 0.75 ** 2) ** 16, two in a million.
 
 Defined cases: texts without words have an empty set and link with nothing; a text with fewer words
@@ -100,18 +102,19 @@ def _signed(docs: DataFrame, key: str, text: str, carry: Sequence[str]) -> DataF
     return docs.select(F.col(key).cast("long").alias(key), text, *carry).mapInArrow(run, schema)
 
 
-def _next_to(rows: list[np.ndarray], fresh: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most NEAREST apart in sorted order, in one tree, that share LEAST values at
-    least. `fresh` is the number of leading rows whose pairs among themselves are known."""
-    tree, path, key, part = rows
+def _next_to(rows: list[np.ndarray], fresh: int, across: bool, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows at most `nearest` apart in sorted order, in one tree, of different components,
+    that share LEAST values at least. `fresh` is the number of leading rows whose pairs among
+    themselves are known."""
+    tree, path, key, part, label = rows
     a, b = [], []
-    for step in range(1, NEAREST + 1):
+    for step in range(1, nearest + 1):
         low = max(0, fresh - step)
         if len(key) - step <= low:
             continue
         i = np.arange(low, len(key) - step)
         j = i + step
-        same = (tree[i] == tree[j]) & (path[i, :LEAST] == path[j, :LEAST]).all(axis=1)
+        same = (tree[i] == tree[j]) & (path[i, :LEAST] == path[j, :LEAST]).all(axis=1) & (label[i] != label[j])
         if across:
             same &= part[i] != part[j]
         a.append(key[i[same]])
@@ -121,12 +124,12 @@ def _next_to(rows: list[np.ndarray], fresh: int, across: bool) -> tuple[np.ndarr
     return np.concatenate(a), np.concatenate(b)
 
 
-def _neighbours(across: bool):
+def _neighbours(across: bool, nearest: int):
     """Stream sorted rows; give pairs (edge false), and rows near the partition's ends (edge true)
     whose neighbours may lie in another partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, head, count = None, [], 0
-        fields = ("tree", "path", "id", "part")
+        fields = ("tree", "path", "id", "part", "label")
 
         def told(edge, tree, path, a, b, part):
             n = len(a)
@@ -138,26 +141,27 @@ def _neighbours(across: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, path, key, part = (batch.column(batch.schema.get_field_index(f)) for f in fields)
+            tree, path, key, part, label = (batch.column(batch.schema.get_field_index(f)) for f in fields)
             values = np.frombuffer(b"".join(path.to_pylist()), np.uint16).reshape(-1, DEPTH)
-            rows = [np.asarray(tree), values, np.asarray(key), np.asarray(part)]
-            if not across and len(head) < NEAREST:
-                head += [tuple(r[i] for r in rows) for i in range(min(NEAREST - len(head), len(rows[0])))]
+            rows = [np.asarray(tree), values, np.asarray(key), np.asarray(part), np.asarray(label)]
+            if not across and len(head) < nearest:
+                head += [tuple(r[i] for r in rows) for i in range(min(nearest - len(head), len(rows[0])))]
             fresh = 0
             if carry is not None:
                 fresh = len(carry[0])
                 rows = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
-            a, b = _next_to(rows, fresh, across)
+            a, b = _next_to(rows, fresh, across, nearest)
             if len(a):
                 none = [None] * len(a)
                 yield told(False, none, none, np.minimum(a, b), np.maximum(a, b), none)
-            carry = [r[-NEAREST:] for r in rows]
+            carry = [r[-nearest:] for r in rows]
             count += batch.num_rows
         if carry is not None and not across:
-            tail = [tuple(c[i] for c in carry) for i in range(len(carry[0]))][-max(0, min(NEAREST, count - len(head))):]
-            ends = head + (tail if count > len(head) else [])
+            more = min(nearest, count - len(head))
+            tail = [tuple(c[i] for c in carry) for i in range(len(carry[0]) - more, len(carry[0]))]
+            ends = head + tail
             yield told(True, [int(e[0]) for e in ends], [e[1].tobytes() for e in ends], [int(e[2]) for e in ends],
-                       [int(e[2]) for e in ends], [int(e[3]) for e in ends])
+                       [int(e[4]) for e in ends], [int(e[3]) for e in ends])
 
     return run
 
@@ -165,21 +169,22 @@ def _neighbours(across: bool):
 _FOUND = "edge boolean, tree int, path binary, a long, b long, part long"
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of classes (id, signature) that are neighbours in some tree's order."""
+def candidates(classes: DataFrame, nearest: int) -> DataFrame:
+    """Pairs a < b of classes (id, signature, label) with different labels that are at most
+    `nearest` apart in some tree's order."""
     size = 2 * DEPTH
-    paths = classes.select("id", F.explode(F.transform(
+    paths = classes.select("id", "label", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.cast("int").alias("tree"),
                            F.substring("signature", t * size + 1, F.lit(size)).alias("path")))).alias("x"))
     ordered = (
-        paths.select("x.tree", "x.path", "id").repartitionByRange("tree", "path", "id")
+        paths.select("x.tree", "x.path", "id", "label").repartitionByRange("tree", "path", "id")
         .sortWithinPartitions("tree", "path", "id").withColumn("part", F.spark_partition_id().cast("long"))
     )
-    found = stored(ordered.mapInArrow(_neighbours(False), _FOUND), "neighbours")
-    # What lies at the ends of the ranges: 2 x NEAREST rows per partition, whatever the input.
-    ends = found.where("edge").select("tree", "path", F.col("a").alias("id"), "part").coalesce(1)
-    over = ends.sortWithinPartitions("tree", "path", "id").mapInArrow(_neighbours(True), _FOUND)
+    found = stored(ordered.mapInArrow(_neighbours(False, nearest), _FOUND), "neighbours")
+    # What lies at the ends of the ranges: 2 x nearest rows per partition, whatever the input.
+    ends = found.where("edge").select("tree", "path", F.col("a").alias("id"), "part", F.col("b").alias("label")).coalesce(1)
+    over = ends.sortWithinPartitions("tree", "path", "id").mapInArrow(_neighbours(True, nearest), _FOUND)
     return found.where("not edge").select("a", "b").unionByName(over.select("a", "b")).where("a < b").distinct()
 
 
@@ -214,6 +219,18 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
+def _sets_of(docs: DataFrame, key: str, text: str, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The shingle sets of the documents in `pairs`, without the known ones.
+
+    The keys grow with the documents, so both sides are always shuffled, never shipped whole.
+    """
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if known is not None:
+        ends = ends.join(known, "id", "left_anti")
+    texts = docs.select(F.col(key).cast("long").alias("id"), text).join(ends.hint("merge"), "id", "left_semi")
+    return _sets(texts, "id", text).dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The pairs whose full sets are alike enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,21 +257,22 @@ def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry:
     classes = stored(
         known.groupBy("_f1", "_f2").agg(first)
         .select("_f1", "_f2", F.col("_first._id").alias("id"), F.col("_first._signature").alias("signature")), "classes")
-    near = stored(estimated(candidates(classes), classes, SHARE[0] / SHARE[1]), "alike")
-    ends = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), text).join(ends, "id", "left_semi")
-    sets = stored(_sets(texts, "id", text).dropDuplicates(["id"]), "sets")
-    # Each class's best candidate first: within a group of copies that leaves little to confirm.
+    share = SHARE[0] / SHARE[1]
+    # First what is next to each other in some order: each class's best candidate is confirmed, and
+    # a group of copies becomes one component.
+    alone = classes.withColumn("label", F.col("id"))
+    near = stored(estimated(candidates(alone, 1), classes, share), "alike")
     best = near.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("x"))
-    links = stored(confirmed(best.select((-F.col("x.a")).alias("a"), "b"), sets), "links-best")
-    joined = stored(components(links), "components-best")
-    left, right = (joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    rest = (
-        near.join(left, "a", "left").join(right, "b", "left")
-        .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        .join(best.select((-F.col("x.a")).alias("a"), "b"), ["a", "b"], "left_anti")
-    )
-    more = stored(confirmed(rest, sets), "links-rest")
+    best = stored(best.select((-F.col("x.a")).alias("a"), "b"), "best")
+    sets = stored(_sets_of(docs, key, text, best), "sets")
+    links = stored(confirmed(best, sets), "links-best")
+    # Then what lies further apart, where it is not in one component already.
+    joined = components(links).withColumnRenamed("component", "label")
+    labelled = classes.join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    wider = stored(estimated(candidates(labelled, NEAREST), classes, share), "alike-wider")
+    known = sets.select("id")
+    more_sets = stored(_sets_of(docs, key, text, wider, known), "sets-wider")
+    more = stored(confirmed(wider, sets.unionByName(more_sets)), "links-wider")
     whole = stored(components(links.unionByName(more)), "components")
     groups = (
         classes.join(whole, "id", "left")
