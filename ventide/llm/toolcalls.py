@@ -3,10 +3,12 @@
 * `link` joins calls and results by conversation and identifier. Per identifier the first call and the
   first result (by turn, then by content) are the pair; the rest are told as duplicates. The firsts
   are minima, so a hot identifier is combined before it is shuffled.
-* `order` gives each call its level in the graph of references: calls without open references are
-  level 0, and so on, round by round; rounds follow the longest chain of references. Sorting by
-  conversation, level, turn and identifier is a topological order, and needs no window over a
-  conversation. Calls in or behind a cycle have no level.
+* `order` gives each call a level: the most references to a later call that a chain of references
+  behind it has. Sorting by conversation, level, turn and identifier is a topological order: a
+  reference to an earlier call never needs a higher level, one to a later call always does. So a
+  conversation of any length in which calls refer back is in order at once, without a window over
+  it; only conversations with a reference to a later call take rounds, as many as the longest chain
+  behind one has. Calls in or behind a cycle have no level.
 * `validate` checks the arguments against the tool's schema.
 * `serialise` writes canonical JSON: keys in order, no blanks, numbers in their shortest exact form.
 
@@ -95,37 +97,39 @@ def references(arguments: Column) -> Column:
 
 def order(linked: DataFrame) -> DataFrame:
     """Adds `level` to the calls that are linked, and `unknown`, the references to no call."""
-    nodes = linked.where("status IN ('ok', 'no_result')").select("conv", "id", "arguments")
-    wanted = nodes.select("conv", "id", F.explode(references(F.col("arguments"))).alias("needs"))
-    known = nodes.select(F.col("conv").alias("_conv"), F.col("id").alias("_id"))
+    nodes = linked.where("status IN ('ok', 'no_result')").select("conv", "id", "turn", "arguments")
+    wanted = nodes.select("conv", "id", "turn", F.explode(references(F.col("arguments"))).alias("needs"))
+    known = nodes.select(F.col("conv").alias("_conv"), F.col("id").alias("_id"), F.col("turn").alias("_turn"))
     met = wanted.join(known, (F.col("conv") == F.col("_conv")) & (F.col("needs") == F.col("_id")), "left")
-    met = stored(met.select("conv", "id", "needs", F.col("_id").isNotNull().alias("found")), "references")
-    edges = met.where("found").select("conv", "id", "needs")
+    ahead = F.struct(F.col("_turn").alias("turn"), F.col("_id").alias("id")) >= F.struct("turn", "id")
+    met = stored(met.select("conv", "id", "needs", F.col("_id").isNotNull().alias("found"),
+                            F.coalesce(ahead, F.lit(False)).cast("int").alias("ahead")), "references")
     unknown = met.where("not found").groupBy("conv", "id").agg(F.sort_array(F.collect_list("needs")).alias("unknown"))
-    open_edges, levels, level = stored(edges, "open-edges"), None, 0
-    # Round by round: a call whose references all have levels gets the next one. What is left when
-    # a round finds nothing lies in a cycle or behind one.
-    while not open_edges.isEmpty():
-        waiting = open_edges.select("conv", "id").distinct()
-        ready = open_edges.select("conv", F.col("needs").alias("id")).distinct().join(waiting, ["conv", "id"], "left_anti")
-        rest = stored(open_edges.join(ready.withColumnRenamed("id", "needs"), ["conv", "needs"], "left_anti")
-                      .select("conv", "id", "needs"), "open-edges")
-        level += 1
-        still = rest.select("conv", "id").distinct()
-        done = stored(waiting.join(still, ["conv", "id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        if done.isEmpty():
-            done = stored(waiting.withColumn("level", F.lit(None).cast("int")), "levels")
-            rest = rest.limit(0)
-        levels = done if levels is None else levels.unionByName(done)
-        open_edges = rest
     out = linked.join(unknown, ["conv", "id"], "left")
     is_call = F.col("status").isin("ok", "no_result")
-    if levels is None:
-        return out.withColumn("level", F.when(is_call, F.lit(0)))
-    levels = levels.select("conv", "id", "level", F.lit(True).alias("_told"))
+    crossed = met.where("found AND ahead = 1").groupBy("conv").agg(F.count("*").alias("most"))
+    edges = stored(met.where("found").join(crossed, "conv").select("conv", "id", "needs", "ahead", "most"), "ahead")
+    level, before = None, -1
+    while True:
+        if level is None:
+            reached = edges.withColumn("level", F.col("ahead").cast("long"))
+        else:
+            parent = level.select("conv", F.col("id").alias("needs"), F.col("level").alias("_of"))
+            reached = edges.join(parent, ["conv", "needs"], "left").withColumn(
+                "level", F.coalesce("_of", F.lit(0)) + F.col("ahead"))
+        # Only a cycle takes a chain over all references ahead of its conversation.
+        level = stored(reached.groupBy("conv", "id").agg(
+            F.least(F.max("level"), F.max("most") + 1).alias("level"), F.max("most").alias("most")), "levels")
+        total = level.agg(F.sum("level")).first()[0] or 0
+        if total == before:
+            break
+        before = total
+    told = level.select("conv", "id", F.when(F.col("level") <= F.col("most"), F.col("level")).alias("level"),
+                        F.lit(True).alias("_told"))
     return (
-        out.join(levels, ["conv", "id"], "left")
-        .withColumn("level", F.when(is_call, F.when(F.col("_told"), F.col("level")).otherwise(F.lit(0)))).drop("_told")
+        out.join(told, ["conv", "id"], "left")
+        .withColumn("level", F.when(is_call, F.when(F.col("_told"), F.col("level")).otherwise(F.lit(0))).cast("int"))
+        .drop("_told")
     )
 
 
@@ -189,12 +193,17 @@ def format_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The conversations read as tool use: a user's turn calls a tool, the assistant's turn after it
-    is the result. A call refers to the one two turns before; every fifth turn writes its limit as
-    text, and languages are given in every second conversation, so that checks find something."""
+    is the result. A call refers to the one two turns before; in every seventh conversation one of
+    four waits for the call after it instead, which then refers to none. Every fifth turn writes its
+    limit as text, and languages are given in every second conversation, so that checks find
+    something."""
     name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"))
     tool = F.element_at(F.array(F.lit("search"), F.lit("translate"), F.lit("lookup")),
                         (F.floor(F.col("turn") / 2) % 3 + 1).cast("int"))
-    after = F.when(F.col("turn") >= 2, F.concat(F.lit("${"), name, (F.col("turn") - 2).cast("string"), F.lit("}")))
+    swapped, eighth = F.col("conv_id") % 7 == 3, F.floor(F.col("turn") % 8 / 2)
+    other = F.when(swapped & (eighth == 1), F.col("turn") + 2).when(
+        ~swapped | (eighth != 2), F.when(F.col("turn") >= 2, F.col("turn") - 2))
+    after = F.concat(F.lit("${"), name, other.cast("string"), F.lit("}"))
     lang = F.when(F.col("conv_id") % 2 == 0, F.lit("en"))
     common = [F.col("text").alias("query"), after.alias("after"), lang.alias("lang")]
     arguments = F.when(F.col("turn") % 5 == 4, F.to_json(F.struct(F.col("turn").cast("string").alias("limit"), *common))
@@ -210,22 +219,20 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: The same rows in another engine's SQL.
 ORACLE = r"""
-WITH RECURSIVE
-calls AS (
+WITH calls AS (
   SELECT conv_id AS conv, 'c' || conv_id || '-' || turn AS id, turn, text,
-    (['search', 'translate', 'lookup'])[1 + (turn // 2) % 3] AS name, 'c' || conv_id || '-' || (turn - 2) AS needs
+    (['search', 'translate', 'lookup'])[1 + (turn // 2) % 3] AS name,
+    'c' || conv_id || '-' || CASE
+      WHEN conv_id % 7 = 3 AND turn % 8 IN (2, 3) THEN turn + 2
+      WHEN conv_id % 7 = 3 AND turn % 8 IN (4, 5) THEN NULL
+      WHEN turn >= 2 THEN turn - 2 END AS needs
   FROM conversations WHERE role = 'user'),
 results AS (
   SELECT conv_id AS conv, 'c' || conv_id || '-' || (turn - 1) AS id, turn, text
   FROM conversations WHERE role = 'assistant'),
-levels AS (
-  SELECT c.conv, c.id, 0 AS level FROM calls c
-  WHERE c.turn < 2 OR NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv = c.conv AND p.id = c.needs)
-  UNION ALL
-  SELECT c.conv, c.id, l.level + 1 FROM calls c JOIN levels l ON l.conv = c.conv AND l.id = c.needs AND c.turn >= 2),
 known AS (
-  SELECT c.*, l.level, c.turn >= 2 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv = c.conv AND p.id = c.needs) AS lost
-  FROM calls c JOIN levels l USING (conv, id)),
+  SELECT c.*, c.needs IS NOT NULL AND p.id IS NULL AS lost, CASE WHEN p.turn > c.turn THEN 1 ELSE 0 END AS level
+  FROM calls c LEFT JOIN calls p ON p.conv = c.conv AND p.id = c.needs),
 pairs AS (
   SELECT coalesce(c.conv, r.conv) AS conv, coalesce(c.id, r.id) AS id, coalesce(c.turn, r.turn) AS turn, c.name, c.level,
     CASE WHEN c.id IS NULL THEN 'orphan_result' WHEN r.id IS NULL THEN 'no_result' ELSE 'ok' END AS status,
@@ -241,7 +248,7 @@ SELECT conv, level, turn, id, name, status,
     CASE WHEN name = 'lookup' THEN 'unknown_tool' END) END AS errors,
   result_turn,
   '{"arguments":' || CASE WHEN NOT is_call THEN 'null' ELSE '{' || concat_ws(',',
-      CASE WHEN turn >= 2 THEN '"after":"${' || needs || '}"' END,
+      CASE WHEN needs IS NOT NULL THEN '"after":"${' || needs || '}"' END,
       CASE WHEN conv % 2 = 0 THEN '"lang":"en"' END,
       '"limit":' || CASE WHEN turn % 5 = 4 THEN '"' || turn || '"' ELSE turn::VARCHAR END,
       '"query":' || to_json(query)::VARCHAR) || '}' END
