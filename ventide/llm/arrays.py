@@ -32,7 +32,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19
              ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut record batches into runs of rows with at most `most` bytes of text, or one row.
 
@@ -62,7 +62,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n; kept for the next call up to a few million."""
+    """base^i and base^-i modulo 2^64 for i < n; kept for the next call up to a million."""
     known = _POWERS.get(base)
     if known is None or len(known[0]) < n:
         size = max(n, 1 << 16)
@@ -72,7 +72,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         known = (out[0], out[1])
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _POWERS[base] = known
     return known[0][:n], known[1][:n]
 

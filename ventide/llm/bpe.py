@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Chunks whose tokens a worker keeps; a longer list is dropped and begun anew.
-KEPT = 400_000
+KEPT = 150_000
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _MORE_SPACE = re.compile(r" \s|\s ")
 
@@ -67,7 +67,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class Codec:
-    """A tokenizers encoder for one rank file, and the byte table to decode with.
+    """A tokenizers encoder for one rank file.
 
     The split pattern is matched first, and the library encodes each distinct match once; what it
     gave for a chunk is kept, up to KEPT chunks.
@@ -86,8 +86,6 @@ class Codec:
             cache_capacity=0,
         ))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        back = {c: b for b, c in enumerate(table)}
-        self.bytes = {i: bytes(back[c] for c in s) for s, i in self.tokenizer.get_vocab().items()}
         self.pattern = regex.compile(pattern)
         # Numbers (and begins and ends) as int32 bytes: small, and nothing for the garbage collector.
         self.known: dict[str, bytes] = {}
@@ -130,8 +128,18 @@ class Codec:
         rows[:, 1:] += np.repeat(begins, [len(f) // 12 for f in found])[:, None].astype(np.int32)
         return rows
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+
+@functools.lru_cache(2)
+def decoder(path: str) -> list[bytes]:
+    """The bytes of each number: the byte table, reversed over the tokens' spellings."""
+    table = byte_table()
+    back = {c: b for b, c in enumerate(table)}
+    spelled = {rank: "".join(table[b] for b in token) for token, rank in read_ranks(path).items()}
+    return [bytes(back[c] for c in spelled.get(i, "")) for i in range(max(spelled) + 1)]
+
+
+def decode_ids(path: str, ids: list[int]) -> bytes:
+    return b"".join(map(decoder(path).__getitem__, ids))
 
 
 def chunked(text: str) -> list[str]:
@@ -181,7 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offs
     return docs.mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "ids", text: bool = True) -> DataFrame:
+def decode(tokens: DataFrame, path: str, *, ids: str = "ids", text: bool = True) -> DataFrame:
     """Adds `decoded` (binary) and, with `text`, `decoded_text` with broken bytes replaced."""
     fields = [T.StructField("decoded", T.BinaryType())]
     if text:
@@ -189,10 +197,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "ids", text
     keep, schema = _added(tokens, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            raw = [bpe.decode(t or []) for t in column.to_pylist()]
+            column = batch.column(batch.schema.get_field_index(ids)).fill_null([])
+            values, ends = np.asarray(column.flatten()), np.cumsum(column.value_lengths().to_numpy())
+            # One row's numbers at a time: as Python objects they take many times their size.
+            raw = [decode_ids(path, values[low:high].tolist()) for low, high in zip([0, *ends], ends)]
             arrays = [pa.array(raw, pa.binary())]
             if text:
                 arrays.append(pa.array([r.decode("utf-8", "replace") for r in raw], pa.string()))

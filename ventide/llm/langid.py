@@ -33,7 +33,7 @@ ORDERS = (1, 2, 3)
 SAMPLE = 3000  # learning rows that the model is fitted on, about
 SCALE = 30.0
 UNKNOWN = "und"
-_STEP = 1 << 20
+_STEP = 1 << 18
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 

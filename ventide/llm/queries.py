@@ -39,7 +39,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     tokens = bpe.encode(docs, path, pattern, offsets=False, drop=("text",))
-    return bpe.digests(bpe.decode(tokens, path, pattern, text=False))
+    return bpe.digests(bpe.decode(tokens, path, text=False))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ventide.sources.testdata import table  # noqa: F401
 
 # Arrow batches are bounded by bytes as well as rows: one batch of long texts must not fill a
 # worker's memory.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
