@@ -67,7 +67,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "source", "text"), path, pattern, offsets=False, drop=("text",))
-    return bpe.digests(bpe.decode(encoded, path, pattern, text=False), "source", "ids")
+    return bpe.digests(bpe.decode(encoded, path, text=False), "source", "ids")
 
 
 STAGES = [
