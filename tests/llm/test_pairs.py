@@ -95,6 +95,24 @@ def test_forest_joins_a_large_group_through_neighbours(spark):
     assert {r["component_id"] for r in got} == {r[2] for r in alike([r[:2] for r in rows])} == {0}
 
 
+@pytest.mark.parametrize("block", [1024, 100])
+def test_forest_finds_the_centre_of_a_crowded_star(spark, monkeypatch, block):
+    """Thousands of copies that link with their original and not with each other."""
+    monkeypatch.setattr(forest, "BLOCK", block)
+    rng, words = random.Random(6), [f"s{i}" for i in range(150)]
+    rows = [(5000, " ".join(words), "en", "s", 1)]
+    for i in range(2000):
+        copy = list(words)
+        for n, at in enumerate(rng.sample(range(4, 146), 4)):
+            copy[at] = f"x{i}_{n}"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    sets = [shingles(r[1]) for r in rows]
+    linked = [100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets[1:]]
+    assert sum(linked) == 2000
+    got = forest.classify(cases.frame(ready(spark), rows)).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (7, None)]
     random.Random(1).shuffle(links)

@@ -2,17 +2,20 @@
 
 A text's set holds its distinct word shingles; texts with the same set are one class from the start.
 Each class has TREES signature paths of DEPTH min-hashes. Per tree the classes are sorted by path,
-and a class's candidates are the classes next to it in that order: all that share at least LEAST
-values where few do, and in a crowded region the NEAREST ones, which share more. So the depth that
-counts follows the region's density, no region is ever enumerated in pairs, and the sorted order is
-cut into ranges that Spark balances, however large one region is.
+and the classes that share the first LEAST values are a region. All pairs of a region whose
+components differ are looked at, in three steps. The sorted order is cut into ranges that Spark
+balances, however large one region is.
 
-The search runs twice. First only direct neighbours count, and each class's best one is confirmed on
+First only direct neighbours count, and each class's best one is confirmed on
 the full sets; that joins groups of copies into components. Then neighbours within NEAREST count
 whose components differ, so that a large group costs no pairs of its own, and all of these are
-confirmed. In between, candidates are dropped whose whole signatures disagree by more than MARGIN
-standard deviations from the threshold. A pair at the threshold shares LEAST values in
-some tree but for a chance of (1 - 0.75 ** 2) ** 16, two in a million.
+confirmed. A region of more classes that is not one component by then is crowded: its classes are
+dealt into blocks, and every block meets every other one in a task of its own (`crowded`), but for
+the members of the region's largest component among themselves. Such a task tells which
+components meet, not which pairs, so that rows do not grow with pairs. In all steps candidates are
+dropped whose whole signatures disagree by more than MARGIN standard deviations from the threshold.
+A pair at the threshold shares LEAST values in some tree but for a chance of
+(1 - 0.75 ** 2) ** 16, two in a million.
 
 Defined cases: texts without words have an empty set and link with nothing; a text with fewer words
 than a shingle has its whole sequence as its only shingle; repeated rows are members of one class,
@@ -37,6 +40,7 @@ from ventide.llm.tables import stored
 WIDTH = 5
 SHARE = (75, 100)  # links: SHARE[1] * intersection >= SHARE[0] * union
 TREES, DEPTH, LEAST, NEAREST, MARGIN = 16, 10, 2, 12, 5.0
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # of a crowded region: what one task holds twice
 
 _draws = np.random.default_rng(20_240_601)
 _XOR = _draws.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -188,9 +192,14 @@ def candidates(classes: DataFrame, nearest: int) -> DataFrame:
     return found.where("not edge").select("a", "b").unionByName(over.select("a", "b")).where("a < b").distinct()
 
 
+def _doubtful(share: float) -> float:
+    """The share of equal min-hashes that is MARGIN standard deviations below the threshold."""
+    return share - MARGIN * float(np.sqrt(share * (1 - share) / (TREES * DEPTH)))
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     """The pairs with the share of equal min-hashes, where the threshold is within MARGIN."""
-    least = share - MARGIN * float(np.sqrt(share * (1 - share) / (TREES * DEPTH)))
+    least = _doubtful(share)
     left = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
 
@@ -219,12 +228,15 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
-def _sets_of(docs: DataFrame, key: str, text: str, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The shingle sets of the documents in `pairs`, without the known ones.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _sets_of(docs: DataFrame, key: str, text: str, ends: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The shingle sets of the documents in `ends` (distinct ids), without the known ones.
 
     The keys grow with the documents, so both sides are always shuffled, never shipped whole.
     """
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if known is not None:
         ends = ends.join(known, "id", "left_anti")
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(ends.hint("merge"), "id", "left_semi")
@@ -249,14 +261,167 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE)
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def _regions(classes: DataFrame) -> DataFrame:
+    """One row per class and tree with the region the class lies in."""
+    size = 2 * DEPTH
+    heads = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.struct(t.cast("int").alias("tree"),
+                           F.substring("signature", t * size + 1, F.lit(2 * LEAST)).alias("head")))
+    return classes.select("id", "label", "n_shingles", F.explode(heads).alias("x")).select(
+        "x.tree", "x.head", "id", "label", "n_shingles")
+
+
+def _mixed(members: DataFrame, more_than: int) -> DataFrame:
+    """The regions of more than `more_than` classes in several components: their largest component,
+    and by the classes' weights how many blocks it (n_most) and the others (n_rest) take."""
+    total = F.sum("weight").alias("weight")
+    labels = members.groupBy("tree", "head", "label").agg(F.count("*").alias("n"), total)
+    top = F.max(F.struct("n", "label", "weight")).alias("top")
+    regions = labels.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), total, top)
+    blocks = lambda weight: F.greatest(F.ceil(weight), F.lit(1)).cast("int")
+    return regions.where((F.col("n") > more_than) & (F.col("labels") > 1)).select(
+        "tree", "head", F.col("top.label").alias("most"), blocks(F.col("top.weight")).alias("n_most"),
+        blocks(F.col("weight") - F.col("top.weight")).alias("n_rest"))
+
+
+def _dealt(members: DataFrame, regions: DataFrame, *values: str) -> DataFrame:
+    """Every class once per task it belongs to. A task (tree, head, kind, i, j) compares block i with
+    block j: of the rest with itself (kind 0), or of the largest component with the rest (kind 1).
+    `second` tells the side; in a block compared with itself all rows are on the first one."""
+    rows = members.join(regions, ["tree", "head"])
+    big = F.col("label") == F.col("most")
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.when(big, F.col("n_most")).otherwise(F.col("n_rest"))).cast("int")
+    rows = rows.withColumn("_own", own)
+    own = F.col("_own")
+
+    def task(kind: int, i, j, second):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), second.alias("second"))
+
+    rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
+    with_most = F.transform(rest, lambda j: task(1, own, j, F.lit(False)))
+    with_rest = F.transform(rest, lambda j: task(0, F.least(own, j), F.greatest(own, j), own > j))
+    to_most = F.transform(F.sequence(F.lit(0), F.col("n_most") - 1), lambda i: task(1, i, own, F.lit(True)))
+    tasks = F.when(big, with_most).otherwise(F.concat(with_rest, to_most))
+    return rows.withColumn("x", F.explode(tasks)).select(
+        "tree", "head", "x.kind", "x.i", "x.j", "x.second", "id", "label", "n_shingles", *values)
+
+
+_TASK = ("tree", "head", "kind", "i", "j")
+
+
+def _comparable(rows: pa.Table, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of both sides of a task, and which pairs differ in component and may link by size."""
+    second = np.asarray(rows["second"].to_numpy(zero_copy_only=False), bool)
+    left, right = np.flatnonzero(~second), np.flatnonzero(second)
+    alone = rows["kind"][0].as_py() == 0 and rows["i"][0] == rows["j"][0]
+    right = left if alone else right
+    label, size = rows["label"].to_numpy(), rows["n_shingles"].to_numpy()
+    x, y = size[left][:, None], size[right][None, :]
+    open_ = (label[left][:, None] != label[right][None, :]) & (
+        share[1] * np.minimum(x, y) >= share[0] * np.maximum(x, y))
+    return left, right, np.triu(open_, 1) if alone else open_
+
+
+def _promising(least: float, share: tuple[int, int]):
+    """Of a task's classes those with a partner that the signatures do not rule out. A pair counts
+    in the first of the trees where it shares a region only."""
+    def run(rows: pa.Table) -> pa.Table:
+        left, right, pairs = _comparable(rows, share)
+        tree = rows["tree"][0].as_py()
+        marks = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
+        for t in range(tree):
+            if not pairs.any():
+                break
+            head = [marks[:, t * DEPTH + d] for d in range(LEAST)]
+            pairs &= ~np.logical_and.reduce([h[left][:, None] == h[right][None, :] for h in head])
+        a, b = np.nonzero(pairs)
+        found = np.zeros(len(marks), bool)
+        for low in range(0, len(a), 1 << 14):
+            x, y = left[a[low:low + (1 << 14)]], right[b[low:low + (1 << 14)]]
+            near = (marks[x] == marks[y]).mean(axis=1) >= least
+            found[x[near]] = True
+            found[y[near]] = True
+        return rows.select(["tree", "head", "id"]).filter(pa.array(found))
+
+    return run
+
+
+def _meeting(share: tuple[int, int]):
+    """Of a task's classes those that links of their full sets lead to, with the smallest id so led to."""
+    def run(rows: pa.Table) -> pa.Table:
+        left, right, pairs = _comparable(rows, share)
+        sets = [np.frombuffer(s, A.U) for s in rows["shingles"].to_pylist()]
+        size = np.array([len(s) for s in sets])
+        common = np.zeros(pairs.shape, np.float32)
+        x, y = (np.concatenate([sets[i] for i in side]) if len(side) else np.zeros(0, A.U) for side in (left, right))
+        shared = np.intersect1d(x, y)
+        sides = []
+        for side, values in ((left, x), (right, y)):
+            at = np.searchsorted(shared, values)
+            kept = at < len(shared)
+            kept[kept] = shared[at[kept]] == values[kept]
+            owner = np.repeat(np.arange(len(side)), size[side])[kept]
+            order = np.argsort(at[kept], kind="stable")
+            sides.append((owner[order], at[kept][order]))
+        step = 2048
+        for low in range(0, len(shared), step):
+            held = []
+            for side, (owner, at) in zip((left, right), sides):
+                a, b = np.searchsorted(at, [low, low + step])
+                part = np.zeros((len(side), min(step, len(shared) - low)), np.float32)
+                part[owner[a:b], at[a:b] - low] = 1
+                held.append(part)
+            common += held[0] @ held[1].T
+        whole = size[left][:, None] + size[right][None, :]
+        count = np.rint(common).astype(np.int64)
+        a, b = np.nonzero(pairs & (share[1] * count >= share[0] * (whole - count)))
+        a, b, ids = left[a], right[b], rows["id"].to_numpy()
+        least, before = ids.copy(), None
+        while before is None or (least != before).any():
+            before = least.copy()
+            np.minimum.at(least, a, before[b])
+            np.minimum.at(least, b, before[a])
+        led = least != ids
+        return pa.table({"a": pa.array(least[led], pa.int64()), "b": pa.array(ids[led], pa.int64())})
+
+    return run
+
+
+def crowded(classes: DataFrame, docs: DataFrame, key: str, text: str, sets: DataFrame,
+            share: tuple[int, int] = SHARE) -> DataFrame | None:
+    """Links a, b between the components (label) of the regions that NEAREST does not exhaust, or None
+    if there are none. `sets` has the known shingle sets."""
+    members = _regions(classes).withColumn("weight", F.lit(1 / BLOCK))
+    regions = stored(_mixed(members, NEAREST + 1), "crowded")
+    if regions.isEmpty():
+        return None
+    signed = classes.select("id", "signature")
+    inside = members.join(regions.select("tree", "head"), ["tree", "head"], "left_semi").join(signed, "id")
+    tasks = _dealt(inside, regions, "signature")
+    promising = tasks.groupBy(*_TASK).applyInArrow(
+        _promising(_doubtful(share[0] / share[1]), share), "tree int, head binary, id long")
+    promising = stored(promising.distinct(), "promising")
+    weight = F.lit(1 / BLOCK) + F.col("n_shingles") / BLOCK_SHINGLES
+    members = promising.join(classes.select("id", "label", "n_shingles"), "id").withColumn("weight", weight)
+    regions = stored(_mixed(members, 1), "promising-regions")
+    if regions.isEmpty():
+        return None
+    ends = promising.select("id").distinct()
+    more = stored(_sets_of(docs, key, text, ends, sets.select("id")), "sets-crowded")
+    tasks = _dealt(members.join(sets.unionByName(more), "id"), regions, "shingles")
+    return stored(tasks.groupBy(*_TASK).applyInArrow(_meeting(share), "a long, b long").distinct(), "links-crowded")
+
+
 def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of `docs`: the key, n_shingles, component_id, kept and the columns in `carry`."""
     signed = stored(_signed(docs, key, text, carry), "signed")
     known = signed.where("n_shingles > 0 AND _id IS NOT NULL")
-    first = F.min(F.struct("_id", "_signature")).alias("_first")
+    first = F.min(F.struct("_id", "_signature", "n_shingles")).alias("_first")
     classes = stored(
         known.groupBy("_f1", "_f2").agg(first)
-        .select("_f1", "_f2", F.col("_first._id").alias("id"), F.col("_first._signature").alias("signature")), "classes")
+        .select("_f1", "_f2", F.col("_first._id").alias("id"), F.col("_first._signature").alias("signature"),
+                F.col("_first.n_shingles").alias("n_shingles")), "classes")
     share = SHARE[0] / SHARE[1]
     # First what is next to each other in some order: each class's best candidate is confirmed, and
     # a group of copies becomes one component.
@@ -264,16 +429,23 @@ def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry:
     near = stored(estimated(candidates(alone, 1), classes, share), "alike")
     best = near.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("x"))
     best = stored(best.select((-F.col("x.a")).alias("a"), "b"), "best")
-    sets = stored(_sets_of(docs, key, text, best), "sets")
+    sets = stored(_sets_of(docs, key, text, _ends(best)), "sets")
     links = stored(confirmed(best, sets), "links-best")
     # Then what lies further apart, where it is not in one component already.
     joined = components(links).withColumnRenamed("component", "label")
     labelled = classes.join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
     wider = stored(estimated(candidates(labelled, NEAREST), classes, share), "alike-wider")
     known = sets.select("id")
-    more_sets = stored(_sets_of(docs, key, text, wider, known), "sets-wider")
-    more = stored(confirmed(wider, sets.unionByName(more_sets)), "links-wider")
+    sets = sets.unionByName(stored(_sets_of(docs, key, text, _ends(wider), known), "sets-wider"))
+    more = stored(confirmed(wider, sets), "links-wider")
     whole = stored(components(links.unionByName(more)), "components")
+    # Then what is left of the regions that hold more than these neighbours.
+    labelled = classes.join(whole.withColumnRenamed("component", "label"), "id", "left")
+    labelled = stored(labelled.withColumn("label", F.coalesce("label", "id")), "labelled")
+    rest = crowded(labelled, docs, key, text, sets)
+    if rest is not None and not rest.isEmpty():
+        joined = whole.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        whole = stored(components(joined.unionByName(rest)), "components")
     groups = (
         classes.join(whole, "id", "left")
         .select("_f1", "_f2", F.coalesce("component", "id").alias("_component"))
