@@ -204,6 +204,16 @@ def test_parser_repairs_markup():
     assert pages.parse("")[1] == [] and pages.parse("<" * 50)[1] == [(0, "<" * 50)]
 
 
+@pytest.mark.parametrize("html", [
+    *(f"<p>a</p>{hides}<p>b</p>" for hides in (
+        '<svg class="i"/>', "<math/>", "<template/>", '<object data="x" />', "<script src=x />", "<script src=x /></script>",
+        "<script src=/x/>var c</script>", "<svg><path/>c</svg>", "<title/>")),
+    "<html><head><title>c</title><body><p>a</p><p>b</p></body></html>", "<head><meta x><link y><p>a</p><p>b</p>",
+    "<head><style>c</style><script/>c</script>a <img>b", "<head><title>c</title></head><p>a</p>b"])
+def test_parser_hides_no_more_than_what_is_hidden(html):
+    assert " ".join("".join(f" {t}" for _, t in pages.parse(html)[1]).split()) == "a b"
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     rows = [(1, "u", "<html><body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>" + cases.prose(5, 60)
              + ".</p></article></body></html>"), (2, None, None), (3, "", ""), (None, None, "<p>"), (1, "u", "")]

@@ -11,7 +11,8 @@ put together from these blocks in many layouts (`compose`), whose labels are kno
 layout is. Every page is then extracted with the trained model; landmarks are evidence, not rules.
 
 Defined cases: a null or empty page has an empty text; markup that is never closed ends with its
-parent or with the page; scripts, styles, the head and comments are no text; rows are independent,
+parent or with the page, and the head with the first thing that cannot be in it; <svg/> and its like
+hold nothing, and so does <script/> if no </script> follows; scripts, styles, the head and comments are no text; rows are independent,
 so repeated rows and keys stay; an empty table gives an empty result; clashing columns are replaced.
 With no page to learn from, the layouts are filled with a few words of their own.
 """
@@ -41,6 +42,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas audio video".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
                      "footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # What a start tag ends if it is open below the given limits.
@@ -105,6 +107,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         del stack[index:]
 
     def write(raw: str) -> None:
+        if stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if hidden or not raw:
             return
         block = stack[-1][1]
@@ -131,6 +135,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if stack[i][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html", "div"):
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             write("\n")
             continue
@@ -156,9 +162,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         block = stack[-1][1]
         if tag == "body" and (own := re.search(r'data-y="(\d)"', rest)):
             nodes[0].label = int(own.group(1))
-        hidden += tag in HIDDEN
+        stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at) if tag in RAW else None
+        opened = not rest.endswith("/") or tag in INLINE or stop is not None
+        hidden += opened and tag in HIDDEN
         links += tag == "a"
-        if tag not in INLINE and not hidden and tag not in ("html", "body"):
+        if tag not in INLINE and tag not in HIDDEN and not hidden and tag not in ("html", "body"):
             names, label = [], None
             for name, *values in _ATTRIBUTE.findall(rest):
                 value = next((v for v in values if v), "")
@@ -171,10 +179,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 label = nodes[block].label
             nodes.append(Node(block, tag, tuple(dict.fromkeys(names)), nodes[block].depth + 1, label))
             block = len(nodes) - 1
-        if not rest.endswith("/") or tag in INLINE:
+        if opened:
             stack.append((tag, block))
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+        if tag in RAW and opened:
             if tag == "textarea":
                 write(html[at:stop.start() if stop else len(html)])
             at = stop.start() if stop else len(html)
