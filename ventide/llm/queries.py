@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventide.llm import bpe, forest, langid, mixing, pages, rotation, rules, sharding, suffix, toolcalls
+from ventide.llm import (bpe, forest, langid, lines, mixing, pages, periods, rotation, rules, sharding, spelling, suffix,
+                         toolcalls)
 from ventide.llm.tables import ready, table
 
 
@@ -76,6 +77,49 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    kept = lines.dedup(docs, least=10, least_chars=1, drop=("text",))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def _id_text(key: str = "doc_id") -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
+def op12_gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a missing letter wherever 97 divides the hash of document and word."""
+    text = F.translate(F.coalesce("text", F.lit("")), spelling.UPPER, spelling.LOWER)
+    runs = table(ready(spark), sf_dir, "documents").select(
+        _id_text().alias("id"), F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z\\u00C0-\\u00FF]+"), F.lit(0))).alias("run"))
+    hashed = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
+    without = F.expr("concat(substr(run, 1, int(h % char_length(run))), substr(run, int(h % char_length(run)) + 2))")
+    words = hashed.select(F.when(F.col("h") % 97 == 0, without).otherwise(F.col("run")).alias("word"))
+    found = spelling.group(spelling.vocabulary(words, least_length=5, least_count=3), ratio=2)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document in ten repeats a passage from some word on; every document's runs are found."""
+    docs = table(ready(spark), sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("own"), F.crc32(_id_text().cast("binary")).alias("h"))
+    tenth = docs.select("doc_id", "own", F.expr("h DIV 10").alias("g"), (F.col("h") % 10 == 0).alias("hit"))
+    listed = tenth.withColumn(
+        "words", F.when(F.col("hit"), F.regexp_extract_all(F.coalesce("own", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    placed = listed.withColumn("n", F.coalesce(F.size("words"), F.lit(0)).cast("long")).withColumn(
+        "a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    again = F.expr("""array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat(
+        slice(words, int(a) + 1, int(p)), int((n - a + p - 1) DIV p))), 1, int(n - a))), ' ')""")
+    texts = placed.select("doc_id", F.when(F.col("hit") & (F.col("n") > 0), again).otherwise(F.col("own")).alias("text"))
+    found = periods.find(texts, least=24, cube=3, drop=("text",))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"), F.expr("(1000 * top.length) DIV top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(told, lambda t: F.concat(t, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_toolcalls": op2_toolcalls,
@@ -87,10 +131,14 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_langid": op9_langid,
     "op10_mixing": op10_mixing,
+    "op11_line_bitmaps": op11_line_bitmaps,
+    "op12_gram_index": op12_gram_index,
+    "op13_periods": op13_periods,
 }
 
 ORACLES = {
     "op2_toolcalls": toolcalls.ORACLE,
     "op8_rules": rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_line_bitmaps": lines.ORACLE,
 }
