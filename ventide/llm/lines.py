@@ -254,7 +254,8 @@ def apply(docs: DataFrame, maps: DataFrame, *, key: str = "doc_id", text: str =
     schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
     left = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(key).alias("own"), F.col(text).alias("text"),
                        F.xxhash64(text).alias("own_mark"))
-    joined = left.join(maps, left["own"].eqNullSafe(maps["doc"]) & (left["own_mark"] == maps["mark"]), "left")
+    # Bitmaps grow with the input: the same join at every size, not a broadcast while they are few.
+    joined = left.join(maps.hint("merge"), left["own"].eqNullSafe(maps["doc"]) & (left["own_mark"] == maps["mark"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in (x for b in batches for x in A.portions(iter([b]), "text")):
