@@ -121,7 +121,8 @@ BODY = """SELECT stay_id, max(CASE WHEN m = 'h' THEN x END) AS height_cm,
   WHERE rn = 1 GROUP BY stay_id"""
 STATIC = f"""SELECT *, {_score(True)} AS s, {_AGE} AS a FROM (
   SELECT c.stay_id, p.gender, p.anchor_age + year(c.intime) - p.anchor_year AS age_at_icu,
-    a.admission_type, a.admission_location, a.insurance, a.race, c.first_careunit,
+    a.admission_type, a.admission_location, a.insurance, a.language, a.marital_status, a.race,
+    c.first_careunit,
     date_diff('hour', a.admittime, c.intime) AS hours_admit_to_icu,
     date_diff('minute', a.edregtime, a.edouttime) AS ed_minutes,
     row_number() OVER (PARTITION BY c.subject_id ORDER BY c.intime, c.stay_id) - 1

@@ -262,24 +262,11 @@ def q_stay_weights(spark, sf):
     return split.stay_weights(readings).select("stay_id", "charttime", r("weight", 6))
 
 
-def q_matrix_guards(spark, sf):
-    readings = materialize(wide(spark, sf))
-    mapping = infusion_rows(spark, sf, readings)
-    matrix = materialize(matrix_of(spark, sf, readings, mapping))
-    return assemble.guards(matrix, readings)
-
-
-def matrix_of(spark, sf, readings, mapping) -> DataFrame:
-    carried = materialize(imputed_of(readings))
-    drugs = interventions.interventions(
-        readings, mapping, interventions.modes(ts_long(spark, sf))
-    )
-    stays = final_cohort(spark, sf)
-    table = static.static_table(
+def static_of(spark: SparkSession, sf: str, stays: DataFrame) -> DataFrame:
+    return static.static_table(
         stays, TD.patients(spark, sf), TD.admissions(spark, sf), TD.diagnoses(spark, sf),
         static.body_metrics(ts_long(spark, sf)),
     )
-    return assemble.assemble(carried, drugs, table, split.patient_split(readings))
 
 
 def q_column_health(spark, sf):
@@ -396,7 +383,6 @@ QUERIES = {
     "patient_split": q_patient_split,
     "sampled_stays": q_sampled_stays,
     "stay_weights": q_stay_weights,
-    "matrix_guards": q_matrix_guards,
     "column_health": q_column_health,
     "accounting": q_accounting,
     "missing_items": q_missing_items,
@@ -480,7 +466,7 @@ SPLIT = """SELECT subject_id, n_rows, n_pos, n_stays, strat,
 SPLIT_STEPS = {**BASE_WIDE, "people": PEOPLE, "split": SPLIT}
 
 
-def _locf_sql(causal: bool) -> str:
+def _locf_step(causal: bool, time: str = "charttime") -> str:
     frame = "OVER (PARTITION BY stay_id ORDER BY charttime ROWS UNBOUNDED PRECEDING)"
     scope = frame if causal else "OVER (PARTITION BY stay_id)"
     inner, outer = [], []
@@ -501,11 +487,11 @@ def _locf_sql(causal: bool) -> str:
             f"round(coalesce({locf}, (SELECT median(w.{p}) FROM wide w JOIN split USING (subject_id)"
             f" WHERE split = 'train')), 4) AS {p}_final",
         ]
-    return with_sources(
-        _SRC, SPLIT_STEPS,
-        f"SELECT stay_id, {_min('charttime')}, {', '.join(outer)} "
-        f"FROM (SELECT *, {', '.join(inner)} FROM wide)",
-    )
+    return f"SELECT stay_id, {time}, {', '.join(outer)} FROM (SELECT *, {', '.join(inner)} FROM wide)"
+
+
+def _locf_sql(causal: bool) -> str:
+    return with_sources(_SRC, SPLIT_STEPS, _locf_step(causal, _min("charttime")))
 
 
 DRUG_MAP = " UNION ALL ".join(
@@ -534,6 +520,8 @@ DRUGS = f"""SELECT w.stay_id, w.charttime, {_drug_columns()}
   FROM wide w LEFT JOIN infusions f ON f.stay_id = w.stay_id AND f.starttime < w.charttime
     AND coalesce(f.endtime, f.starttime) > w.charttime
   GROUP BY w.stay_id, w.charttime"""
+MODES = ("SELECT stay_id, charttime AS mt, max(value) AS ventilator_mode FROM long"
+         " WHERE itemid = 223849 AND value IS NOT NULL GROUP BY ALL")
 DRUG_STEPS = {**BASE_WIDE, "drug_map": DRUG_MAP, "infusions": INFUSIONS, "drugs": DRUGS}
 
 
@@ -704,9 +692,7 @@ ORACLES = {
         _SRC_DRUG, DRUG_STEPS,
         f"SELECT stay_id, {_min('charttime')}, * EXCLUDE (stay_id, charttime) FROM drugs"),
     "asof_mode": with_sources(
-        _SRC, {**BASE_WIDE, "modes":
-               "SELECT stay_id, charttime AS mt, max(value) AS ventilator_mode FROM long"
-               " WHERE itemid = 223849 AND value IS NOT NULL GROUP BY ALL"},
+        _SRC, {**BASE_WIDE, "modes": MODES},
         f"SELECT w.stay_id, {_min('w.charttime')}, m.ventilator_mode,"
         " CAST(coalesce(date_diff('minute', m.mt, w.charttime), -1) AS DOUBLE)"
         " AS ventilator_mode_age_min"

@@ -8,7 +8,9 @@ rewriting history: it is emitted with a reason instead of features.
 
 from __future__ import annotations
 
+import copy
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +35,10 @@ FEATURE_SCHEMA = schema(
         f"{p}_observed tinyint, {p}_delta_t_min double, {p}_locf double,"
         f" {p}_structurally_missing_in_stay tinyint, {p}_final double" for p in C.PARAMS)
     + ", ventilator_mode string, ventilator_mode_age_min double, vent_hours double")
+# The same with the drug chart: an infusion is charted at its start, with its end and rate.
+CHART_SCHEMA = T.StructType([*READING_SCHEMA, *schema("grp string, endtime timestamp, rate double")])
+ROW_SCHEMA = T.StructType([*FEATURE_SCHEMA, *schema(", ".join(
+    f"{g}_running tinyint, {g}_rate double, {g}_minutes_since_start double" for g in C.DRUG_GROUPS))])
 SCORE_SCHEMA = schema("stay_id int, charttime timestamp, p double")
 BAND_SCHEMA = schema(
     "stay_id int, charttime timestamp, rejected string, instant string, displayed string,"
@@ -58,7 +64,7 @@ class _Snapshot(StatefulProcessor):
         batch = pd.concat(list(rows))
         order = ["charttime", *(["is_reading"] if "is_reading" in batch else [])]
         batch = batch.sort_values(order, ascending=[True, False][: len(order)], kind="stable")
-        state = json.loads(self._store.get()[0]) if self._store.exists() else dict(self.fresh)
+        state = json.loads(self._store.get()[0]) if self._store.exists() else copy.deepcopy(self.fresh)
         out = [self.step(state, row) for row in batch.to_dict("records")]
         self._store.update((json.dumps(state),))
         emitted = [row for row in out if row is not None]
@@ -73,6 +79,7 @@ class FeatureProcessor(_Snapshot):
     """Carry-forward companions and ventilator mode, one reading at a time."""
 
     fresh = {"value": {}, "seen": {}, "mode": None, "mode_at": None, "pending": [], "last": None}
+    output = FEATURE_SCHEMA
 
     def __init__(self, reference: dict[str, float | None]) -> None:
         self._reference = reference
@@ -86,13 +93,13 @@ class FeatureProcessor(_Snapshot):
             latest = state["pending"][-1][0] if state["pending"] else state["mode_at"]
             if latest is not None and now < latest:
                 return self._reject(base, "mode out of order")
-            state["pending"] = [*state["pending"], [now, mode]]
+            state["pending"].append([now, mode])
             return None
         if state["last"] is not None and now < state["last"]:
             return self._reject(base, "reading out of order")
         if not pd.isna(row["vent_start"]) and row["charttime"] < row["vent_start"]:
             return self._reject(base, "before ventilation")
-        values, seen = dict(state["value"]), dict(state["seen"])
+        values, seen = state["value"], state["seen"]
         for p in C.PARAMS:
             observed = not pd.isna(row[p])
             if observed:
@@ -105,9 +112,12 @@ class FeatureProcessor(_Snapshot):
                 f"{p}_final": self._reference.get(p) if locf is None else locf,
             }
         # A mode counts from the first reading after its own instant.
-        while state["pending"] and state["pending"][0][0] < now:
-            state["mode_at"], state["mode"] = state["pending"][0]
-            state["pending"] = state["pending"][1:]
+        pending, due = state["pending"], 0
+        while due < len(pending) and pending[due][0] < now:
+            due += 1
+        if due:
+            state["mode_at"], state["mode"] = pending[due - 1]
+            del pending[:due]
         known = state["mode_at"] is not None
         began = row["vent_start"]
         base |= {
@@ -115,15 +125,46 @@ class FeatureProcessor(_Snapshot):
             "ventilator_mode_age_min": now - state["mode_at"] if known else -1.0,
             "vent_hours": None if pd.isna(began) else (now - _minutes(began)) // 60.0,
         }
-        state |= {"value": values, "seen": seen, "last": now}
+        state["last"] = now
         return base
 
-    @staticmethod
-    def _reject(base: dict, reason: str) -> dict:
-        empty = dict.fromkeys(FEATURE_SCHEMA.fieldNames())
+    def _reject(self, base: dict, reason: str) -> dict:
+        empty = dict.fromkeys(self.output.fieldNames())
         return empty | base | {"rejected": reason}
 
 
+class RowProcessor(FeatureProcessor):
+    """Features with the drug state: intervals that may still run are part of the stay's state.
+
+    An interval counts for readings strictly after its start and strictly before its end. One that
+    has ended at a reading can count for no later one and is forgotten there, so the state holds
+    what is open and not what was ever given. Without an end an interval is never open.
+    """
+
+    fresh = FeatureProcessor.fresh | {"open": []}
+    output = ROW_SCHEMA
+
+    def step(self, state: dict, row: dict) -> dict | None:
+        if isinstance(row["grp"], str):
+            start, end = row["charttime"], row["endtime"]
+            if not pd.isna(end) and end > start:
+                rate = 0.0 if pd.isna(row["rate"]) else float(row["rate"])
+                state["open"].append([row["grp"], _minutes(start), _minutes(end), rate])
+            return None
+        base = super().step(state, row)
+        if base is None or base["rejected"] is not None:
+            return base
+        now = state["last"]
+        state["open"] = [x for x in state["open"] if x[2] > now]
+        running = {g: [x for x in state["open"] if x[0] == g and x[1] < now] for g in C.DRUG_GROUPS}
+        for g, active in running.items():
+            base |= {
+                f"{g}_running": int(bool(active)), f"{g}_rate": math.fsum(x[3] for x in active),
+                f"{g}_minutes_since_start": now // 1 - min(x[1] for x in active) // 1 if active else -1.0,
+            }
+        return base
+
+
 class BandProcessor(_Snapshot):
     """Displayed band of each scored reading."""
 
@@ -167,6 +208,11 @@ def feature_stream(stream: DataFrame, reference: dict[str, float | None]) -> Dat
     return _stateful(stream, FeatureProcessor(reference), FEATURE_SCHEMA)
 
 
+def row_stream(stream: DataFrame, reference: dict[str, float | None]) -> DataFrame:
+    """Feature rows with drug state of a stream with CHART_SCHEMA."""
+    return _stateful(stream, RowProcessor(reference), ROW_SCHEMA)
+
+
 def band_stream(stream: DataFrame, machine: bands.Machine) -> DataFrame:
     """Band views of a stream with SCORE_SCHEMA."""
     return _stateful(stream, BandProcessor(machine), BAND_SCHEMA)
