@@ -102,10 +102,26 @@ def q_score_quantiles(spark, sf):
 
 
 def q_ap_bootstrap(spark, sf):
-    rows = bootstrap._ap_per_replicate(scored(spark, sf), "p", "subject_id", REPLICATES, C.SEED)
+    rows = bootstrap.ordered_metrics(scored(spark, sf), "p", "subject_id", REPLICATES)
     return rows.select(F.col("rep").cast("long").alias("rep"), r("ap", 6))
 
 
+def q_metric_bootstrap(spark, sf):
+    """AP, AUC, Brier score and ECE of every replicate, from one ordered pass."""
+    rows = bootstrap.ordered_metrics(scored(spark, sf), "p", "subject_id", REPLICATES)
+    return rows.select(F.col("rep").cast("long").alias("rep"), *[r(m, 6) for m in bootstrap.METRICS])
+
+
+def q_metric_intervals(spark, sf):
+    out = bootstrap.metric_intervals(scored(spark, sf), "q", "subject_id", REPLICATES)
+    return out.select("metric", r("mean", 6), r("lo", 6), r("hi", 6), "resamples")
+
+
+def q_metric_differences(spark, sf):
+    out = bootstrap.metric_differences(scored(spark, sf), "p", "q", "subject_id", REPLICATES)
+    return out.select("metric", r("mean", 6), r("lo", 6), r("hi", 6), "resamples", r("p_worse", 6))
+
+
 def q_ap_difference(spark, sf):
     out = bootstrap.ap_difference(scored(spark, sf), "p", "q", "subject_id", REPLICATES)
     return out.select(r("mean", 6), r("lo", 6), r("hi", 6), "resamples", r("p_worse", 6))
@@ -228,6 +244,9 @@ QUERIES = {
     "label_coverage": q_coverage,
     "score_quantiles": q_score_quantiles,
     "ap_bootstrap": q_ap_bootstrap,
+    "metric_bootstrap": q_metric_bootstrap,
+    "metric_intervals": q_metric_intervals,
+    "metric_differences": q_metric_differences,
     "ap_difference": q_ap_difference,
     "brier_difference": q_brier_difference,
     "balanced_sample": q_balanced_sample,
@@ -351,6 +370,24 @@ def _weights(n: int, key: str, table: str) -> str:
             f" (SELECT unnest(range({n})) AS rep)")
 
 
+def _metric_reps(score: str) -> dict[str, str]:
+    """Rank metrics from sums per score; bins of each resample from the resampled rows themselves."""
+    grid = ", ".join(f"{i}.0 / 15" for i in range(1, 15))
+    return {
+        f"c_{score}": f"SELECT rep, {score} AS p, sum(wt) AS n, sum(wt * y) AS pos FROM scored"
+                      " JOIN weights USING (subject_id) WHERE wt > 0 GROUP BY ALL",
+        f"r_{score}": f"SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS tp FROM c_{score}"
+                      " WINDOW w AS (PARTITION BY rep ORDER BY p DESC)",
+        f"e_{score}": f"SELECT rep, quantile_cont(p, [{grid}]) AS e FROM c_{score}, unnest(range(CAST(n AS BIGINT))) GROUP BY rep",
+        f"b_{score}": f"SELECT rep, sum(abs(gap)) AS gaps FROM (SELECT rep, len(list_filter(e, lambda x: x <= p)) AS bin,"
+                      f" sum(n * p - pos) AS gap FROM c_{score} JOIN e_{score} USING (rep) GROUP BY ALL) GROUP BY rep",
+        f"m_{score}": "SELECT rep, sum(pos * tp / seen) / sum(pos) AS ap, sum((n - pos) * (tp - pos / 2.0)) / (sum(pos) *"
+                      " sum(n - pos)) AS auc, sum(pos * (1 - p) ** 2 + (n - pos) * p ** 2) / sum(n) AS brier,"
+                      f" any_value(gaps) / sum(n) AS ece FROM r_{score} JOIN b_{score} USING (rep) GROUP BY rep",
+        f"l_{score}": f"UNPIVOT m_{score} ON ap, auc, brier, ece INTO NAME metric VALUE v",
+    }
+
+
 _CI = ("round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.025), 6) AS lo,"
        " round(quantile_cont({v}, 0.975), 6) AS hi, count(*) AS resamples")
 
@@ -458,6 +495,18 @@ ORACLES = {
         " GROUP BY y" for f in (0.05, 0.25, 0.5, 0.75, 0.95))),
     "ap_bootstrap": _s({"weights": _weights(REPLICATES, "subject_id", "scored")},
                        f"SELECT rep, round(ap, 6) AS ap FROM ({_ap_reps('p')})"),
+    "metric_bootstrap": _s(
+        {"weights": _weights(REPLICATES, "subject_id", "scored"), **_metric_reps("p")},
+        "SELECT rep, round(ap, 6) AS ap, round(auc, 6) AS auc, round(brier, 6) AS brier, round(ece, 6) AS ece FROM m_p"),
+    "metric_intervals": _s(
+        {"weights": _weights(REPLICATES, "subject_id", "scored"), **_metric_reps("q")},
+        f"SELECT metric, {_CI.format(v='v')} FROM l_q GROUP BY metric"),
+    "metric_differences": _s(
+        {"weights": _weights(REPLICATES, "subject_id", "scored"), **_metric_reps("p"), **_metric_reps("q"),
+         "d": "SELECT metric, CASE WHEN metric IN ('ap', 'auc') THEN a.v - b.v ELSE b.v - a.v END AS x"
+              " FROM l_p a JOIN l_q b USING (rep, metric)"},
+        f"SELECT metric, {_CI.format(v='x')}, round(avg(CASE WHEN x <= 0 THEN 1 ELSE 0 END), 6) AS p_worse"
+        " FROM d GROUP BY metric"),
     "ap_difference": _s(
         {"weights": _weights(REPLICATES, "subject_id", "scored"), "a": _ap_reps("p"),
          "b": _ap_reps("q"), "d": "SELECT a.ap - b.ap AS x FROM a JOIN b USING (rep)"},
