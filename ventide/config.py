@@ -107,6 +107,8 @@ DESATURATION_BELOW = 88.0
 
 RELIABILITY_BINS = 15
 BUDGET_GRID_POINTS = 400
+BUDGET_GRID_SPAN = (0.05, 0.99999)
+BUDGET_COARSE_POINTS = 25
 LOGIT_EPS = 1e-12
 ALERT_BUDGETS = (1.0, 2.0, 4.0)
 
@@ -115,6 +117,8 @@ BAND_BUDGETS = (0.70, 0.45, 0.20)
 SWEEP_PROMOTE_DWELL_MIN = (0.0, 30.0, 60.0)
 SWEEP_DEMOTE_MARGIN = (0.0, 0.25, 0.5)
 SWEEP_DEMOTE_DWELL_MIN = (0.0, 60.0, 120.0)
+MAX_LOST_LEAD_MIN = 30.0
+MAX_FLIP_INCREASE = 0.25
 RATE_QUANTILES = (0.02, 0.10, 0.25, 0.50, 0.75, 0.90, 0.98)
 BAND_RATE_TOLERANCE = 0.02
 

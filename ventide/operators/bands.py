@@ -237,71 +237,10 @@ def rate_profile(readings: DataFrame, cuts: dict[str, float], floor_below: float
 
 
 def score_grid(readings: DataFrame, points: int = C.BUDGET_GRID_POINTS) -> list[float]:
-    """Evenly spaced quantiles of the score: `points` numbers."""
-    steps = [i / (points - 1) for i in range(points)]
-    rows = quantiles(readings, [], "p", steps).orderBy("fraction").collect()
-    return [row["quantile"] for row in rows]
-
-
-def solve_cut(readings: DataFrame, grid: list[float], budget: float, floor_below: float,
-              dwell: Dwell, days: float, coarse: int = 25) -> dict:
-    """Lowest cut within the promotion budget on the high side of the hump.
-
-    The rate is not monotone: a very low cut also promotes rarely because it never lets
-    go. The scan therefore goes from the top down to the first cut over budget, then
-    narrows between the last good and that cut. Each round is one job over all its cuts.
-    """
-    last = len(grid) - 1
-
-    def rates(points: list[int]) -> dict[int, float]:
-        latches = {}
-        for i in points:
-            floor = grid[i] - dwell.demote_margin * (grid[i] - floor_below)
-            latches[f"c{i}"] = (grid[i], floor, dwell)
-        rows = promotions(readings, latches).collect()
-        return {int(r["latch"][1:]): r["promotions"] / days for r in rows}
-
-    points = sorted({round(i * last / (coarse - 1)) for i in range(coarse)}, reverse=True)
-    seen = rates(points)
-    good = bad = None
-    for i in points:
-        if seen[i] > budget:
-            bad = i
-            break
-        good = i
-    if good is None:
-        raise ValueError(f"budget {budget}/day is exceeded even at the highest cut")
-    if bad is None:
-        raise ValueError(f"budget {budget}/day never binds: peak {max(seen.values()):.3f}/day")
-    while bad + 1 < good:
-        # Bisection, eight ways at a time: fewer jobs than halving.
-        step = max(1, (good - bad) // 8)
-        inner = list(range(bad + step, good, step))
-        more = rates(inner)
-        seen.update(more)
-        low, high = bad, good
-        for i in sorted(inner, reverse=True):
-            if more[i] > budget:
-                low = i
-                break
-            high = i
-        bad, good = low, high
-    return {"cut": grid[good], "promotions_per_day": seen[good], "budget": budget,
-            "cut_just_below": grid[bad], "rate_just_below": seen[bad]}
-
-
-def solve_machine(readings: DataFrame, dwell: Dwell, budgets=C.BAND_BUDGETS,
-                  points: int = C.BUDGET_GRID_POINTS, coarse: int = 25) -> tuple[Machine, list]:
-    """Solve the cuts from the lowest up: a deadband needs the cut below it."""
-    readings = materialize(readings.select("stay_id", "charttime", "p"))
-    grid = score_grid(readings, points)
-    days = patient_days(readings).first()["days"]
-    solved, floor = [], 0.0
-    for budget in budgets:
-        solved.append(solve_cut(readings, grid, budget, floor, dwell, days, coarse))
-        floor = solved[-1]["cut"]
-    names = C.BAND_NAMES[: len(budgets) + 1]
-    return Machine(tuple(s["cut"] for s in solved), dwell, names), solved
+    """Distinct evenly spaced quantiles of the score, ascending: at most `points` numbers."""
+    low, high = C.BUDGET_GRID_SPAN
+    steps = [low + i * (high - low) / (points - 1) for i in range(points)]
+    return sorted({row["quantile"] for row in quantiles(readings, [], "p", steps).collect()})
 
 
 def sweep_dwells() -> list[Dwell]:
@@ -377,12 +316,15 @@ def ratchet(banded: DataFrame, machine: Machine) -> DataFrame:
     )
 
 
-def choose(results: list[dict], max_lost_min: float = 30.0, max_flip_increase: float = 0.25) -> dict:
+def choose(results: list[dict], max_lost_min: float = C.MAX_LOST_LEAD_MIN,
+           max_flip_increase: float = C.MAX_FLIP_INCREASE) -> dict:
     """Most sensitive setting that loses little warning and flips little more than the setting
     without hysteresis. Equal ones: fewer flips, then less delay. One that detects less than no
     hysteresis at all is refused."""
-    reference = next(r for r in results if r["dwell"].promote_min == 0.0
-                     and r["dwell"].demote_margin == 0.0 and r["dwell"].demote_min == 0.0)
+    reference = next((r for r in results if r["dwell"].promote_min == 0.0
+                      and r["dwell"].demote_margin == 0.0 and r["dwell"].demote_min == 0.0), None)
+    if reference is None:
+        raise ValueError("there is no result of the setting without hysteresis")
     limit = reference["flips_per_day"] * (1 + max_flip_increase)
     fits = [r for r in results
             if r["lost_lead_median_min"] <= max_lost_min and r["flips_per_day"] <= limit]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ventide import config as C
 from ventide.functions.quantile import quantiles
 from ventide.functions.timefn import micros
-from ventide.operators import bands, bootstrap, metrics, split
+from ventide.operators import bands, bootstrap, metrics, split, sweep
 from ventide.operators.bands import Dwell, Machine
 from ventide.plans.sources_sql import with_sources
 from ventide.plans.timeseries import minute, r
@@ -206,30 +206,43 @@ def q_promotion_profile(spark, sf):
     return out.select("latch", r("promotions_per_day", 6))
 
 
+SWEPT = Dwell(30.0, 2, 0.25, 60.0)
+# Promotions a day that bind on these readings; the configured budgets belong to another score.
+BUDGETS = (0.9, 0.5, 0.2)
+
+
 def q_solved_cuts(spark, sf):
-    """Cuts solved from the lowest up against promotion budgets (driver loop over jobs)."""
-    machine, solved = bands.solve_machine(
-        readings(spark, sf), Dwell(30.0, 2, 0.25, 60.0), budgets=(0.9, 0.5, 0.2), points=100,
-        coarse=13)
-    days = bands.patient_days(readings(spark, sf)).scalar()
-    rows = [(n, s["cut"], s["promotions_per_day"], s["budget"])
-            for n, s in zip(machine.names[1:], solved, strict=True)]
-    out = spark.createDataFrame(
-        rows, "band string, cut double, promotions_per_day double, budget double")
-    return out.withColumn("patient_days", days)
+    """Cuts of one setting, solved from the lowest up on the whole grid."""
+    base = materialize(readings(spark, sf))
+    result = sweep.solve(sweep.chunked(base, [SWEPT]), bands.score_grid(base), bands.patient_days(base).first()["days"],
+                         [SWEPT], BUDGETS)[0]
+    rows = [(n, *(float(s[c]) for c in ("cut", "promotions_per_day", "budget", "cut_just_below", "rate_just_below")))
+            for n, s in zip(C.BAND_NAMES[1:], result["solved"])]
+    out = spark.createDataFrame(rows, "band string, cut double, promotions_per_day double, budget double,"
+                                      " cut_just_below double, rate_just_below double")
+    return out.select("band", "budget", *[r(c, 6) for c in ("cut", "promotions_per_day", "cut_just_below", "rate_just_below")])
 
 
 def q_band_sweep(spark, sf):
-    """A part of the hysteresis grid at fixed cuts, evaluated side by side."""
+    """Every hysteresis setting at the same cuts: what the machine alone does."""
     base = materialize(readings(spark, sf))
-    out = None
-    for dwell in (Dwell(0.0, 1, 0.0, 0.0), Dwell(30.0, 2, 0.25, 60.0), Dwell(60.0, 2, 0.5, 120.0)):
-        machine = Machine(MACHINE.cuts, dwell)
-        row = bands.evaluate(materialize(bands.displayed(base, machine)), machine).withColumn(
-            "setting", F.lit(dwell.label))
-        out = row if out is None else out.unionByName(row)
-    return out.select("setting", r("flips_per_day", 6), r("sensitivity_high", 6),
-                      r("lost_lead_median_min", 4), r("lost_lead_p90_min", 4))
+    dwells = bands.sweep_dwells()
+    out = sweep.evaluate(base, sweep.chunked(base, dwells), [Machine(MACHINE.cuts, d) for d in dwells])
+    labels = F.array(*[F.lit(d.label) for d in dwells])
+    return out.select(F.get(labels, F.col("setting")).alias("setting"), r("flips_per_day", 6), r("sensitivity_high", 6),
+                      r("lost_lead_median_min", 4), r("lost_lead_p90_min", 4), r("lost_lead_median_min_positive", 4))
+
+
+def q_band_choice(spark, sf):
+    """Every setting with cuts solved for it, and the one chosen."""
+    results = sweep.sweep(readings(spark, sf), bands.sweep_dwells(), BUDGETS)
+    columns = ("flips_per_day", "sensitivity_high", "lost_lead_median_min", "lost_lead_p90_min", "lost_lead_median_min_positive")
+    rows = [(x["dwell"].label, x["rejected"], x.get("chosen", False), [float(s["cut"]) for s in x["solved"]],
+             *(None if x.get(c) is None else float(x[c]) for c in columns)) for x in results]
+    out = spark.createDataFrame(rows, "setting string, rejected string, chosen boolean, cuts array<double>, "
+                                + ", ".join(f"{c} double" for c in columns))
+    return out.select("setting", "rejected", "chosen", F.array_join(F.transform("cuts", lambda c: F.format_number(c, 4)), "/")
+                      .alias("cuts"), *[r(c, 6) for c in columns])
 
 
 QUERIES = {
@@ -262,6 +275,7 @@ QUERIES = {
     "promotion_profile": q_promotion_profile,
     "solved_cuts": q_solved_cuts,
     "band_sweep": q_band_sweep,
+    "band_choice": q_band_choice,
 }
 
 # ------------------------------------------------------------------ oracles
@@ -465,6 +479,94 @@ def _profile_sql() -> str:
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _sweep_sql() -> str:
+    """All settings as rules of one recursive query, one reading at a time."""
+    rules = []
+    for i, d in enumerate(bands.sweep_dwells()):
+        m = Machine(MACHINE.cuts, d)
+        rules += [f"({i}, '{d.label}', {k}, {c}, {f}, {d.promote_min}, {d.promote_readings}, {d.demote_min})"
+                  for k, (c, f) in enumerate(zip(m.cuts, m.floors, strict=True))]
+    gap = MACHINE.dwell.max_gap_min
+    text = with_sources(["ev"], {
+        "readings": READINGS,
+        "rules": f"SELECT * FROM (VALUES {', '.join(rules)}) v(s, setting, k, cut, flr, up, need, down)",
+        "seq": _latch_steps()["seq"],
+        "latch": f"""
+          SELECT stay_id, s, k, CAST(0 AS BIGINT) AS rn, false AS lit, CAST(NULL AS DOUBLE) AS since, 0 AS cnt
+          FROM (SELECT DISTINCT stay_id FROM seq), rules
+          UNION ALL
+          SELECT stay_id, s, k, rn, lit <> fire, CASE WHEN mv AND NOT fire THEN s1 END, CASE WHEN mv AND NOT fire THEN c1 ELSE 0 END
+          FROM (SELECT *, mv AND t - s1 >= CASE WHEN lit THEN down ELSE up END AND (lit OR c1 >= need) AS fire
+                FROM (SELECT l.stay_id, l.s, l.k, q.rn, l.lit, q.t, r.up, r.down, r.need,
+                        CASE WHEN l.lit THEN q.p < r.flr ELSE q.p > r.cut END AS mv,
+                        coalesce(CASE WHEN q.gap > {gap} THEN NULL ELSE l.since END, q.t) AS s1,
+                        CASE WHEN q.gap > {gap} THEN 0 ELSE l.cnt END + 1 AS c1
+                      FROM latch l JOIN seq q ON q.stay_id = l.stay_id AND q.rn = l.rn + 1 JOIN rules r ON r.s = l.s AND r.k = l.k))""",
+        "shown": "SELECT q.stay_id, q.charttime, q.y, l.s, any_value(r.setting) AS setting, sum(CASE WHEN l.lit THEN 1 ELSE 0 END)"
+                 " AS shown, sum(CASE WHEN q.p > r.cut THEN 1 ELSE 0 END) AS inst FROM latch l JOIN seq q USING (stay_id, rn)"
+                 " JOIN rules r ON r.s = l.s AND r.k = l.k GROUP BY ALL",
+        "lagged": "SELECT *, lag(shown) OVER (PARTITION BY s, stay_id ORDER BY charttime) AS before FROM shown",
+        "lost": "SELECT s, max(y) AS hit, date_diff('microsecond', min(charttime) FILTER (WHERE inst >= 2), coalesce("
+                "min(charttime) FILTER (WHERE shown >= 2), max(charttime))) / 60000000.0 AS x FROM shown"
+                " GROUP BY s, stay_id HAVING max(inst) >= 2",
+        "days": _EVAL_STEPS["days"],
+        "l": "SELECT s, quantile_cont(x, 0.5) AS a, quantile_cont(x, 0.9) AS b, quantile_cont(x, 0.5) FILTER (WHERE hit = 1) AS c"
+             " FROM lost GROUP BY s"},
+        "SELECT any_value(setting) AS setting, round(count(*) FILTER (WHERE before <> shown) / (SELECT d FROM days), 6) AS"
+        " flips_per_day, round(count(*) FILTER (WHERE y = 1 AND shown >= 2) / count(*) FILTER (WHERE y = 1), 6) AS"
+        " sensitivity_high, round(coalesce(any_value(a), 0), 4) AS lost_lead_median_min, round(coalesce(any_value(b), 0), 4) AS"
+        " lost_lead_p90_min, round(coalesce(any_value(c), 0), 4) AS lost_lead_median_min_positive"
+        " FROM lagged LEFT JOIN l USING (s) GROUP BY s")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _solved_sql() -> str:
+    """Rates at every cut of the grid by windows over runs, then the search as a recursive query."""
+    d = SWEPT
+    low, high = C.BUDGET_GRID_SPAN
+    grid = ", ".join(repr(low + i * (high - low) / (C.BUDGET_GRID_POINTS - 1)) for i in range(C.BUDGET_GRID_POINTS))
+    steps = {
+        "readings": READINGS, "days": _EVAL_STEPS["days"],
+        "grid": "SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT unnest(quantile_cont(p,"
+                f" [{grid}])) AS x FROM readings)",
+        "seq": _latch_steps()["seq"],
+        "coarse": "SELECT j, CAST(floor((SELECT max(i) FROM grid) * (1 - j / 24.0)) AS BIGINT) AS i FROM"
+                  " (SELECT unnest(range(25)) AS j)",
+    }
+    below = "0.0"
+    for k, budget in enumerate(BUDGETS):
+        side = lambda name, test: (
+            f"sum(CASE WHEN {test} AND NOT coalesce(lag_{name} AND gap <= {d.max_gap_min}, false) THEN 1 ELSE 0 END)"
+            " OVER (PARTITION BY i, stay_id ORDER BY rn)")
+        steps |= {
+            f"f{k}": f"SELECT i, x, x - {d.demote_margin} * (x - {below}) AS flr FROM grid",
+            f"a{k}": f"SELECT g.i, s.stay_id, s.rn, s.t, s.gap, s.p > g.x AS u, s.p < g.flr AS w FROM seq s, f{k} g",
+            f"b{k}": f"SELECT *, lag(u) OVER o AS lag_u, lag(w) OVER o AS lag_w FROM a{k} WINDOW o AS (PARTITION BY i, stay_id"
+                     " ORDER BY rn)",
+            f"c{k}": f"SELECT *, {side('u', 'u')} AS ru, {side('w', 'w')} AS rw FROM b{k} WHERE u OR w OR lag_u OR lag_w",
+            f"d{k}": f"SELECT i, stay_id, rn, CASE WHEN u AND t - min(t) FILTER (WHERE u) OVER (PARTITION BY i, stay_id, ru) >="
+                     f" {d.promote_min} AND rn - min(rn) FILTER (WHERE u) OVER (PARTITION BY i, stay_id, ru) + 1 >="
+                     f" {d.promote_readings} THEN 1 WHEN w AND t - min(t) FILTER (WHERE w) OVER (PARTITION BY i, stay_id, rw) >="
+                     f" {d.demote_min} THEN 0 END AS tr FROM c{k}",
+            f"e{k}": "SELECT i, count(*) FILTER (WHERE tr = 1 AND coalesce(before, 0) = 0) / (SELECT d FROM days) AS rate FROM"
+                     f" (SELECT i, tr, lag(tr) OVER (PARTITION BY i, stay_id ORDER BY rn) AS before FROM d{k} WHERE tr IS NOT NULL)"
+                     " GROUP BY i",
+            f"r{k}": f"SELECT g.i, g.x, coalesce(e.rate, 0) AS rate FROM grid g LEFT JOIN e{k} e USING (i)",
+            f"s{k}": f"SELECT min(j) AS j FROM coarse JOIN r{k} USING (i) WHERE rate > {budget}",
+            f"h{k}": f"SELECT (SELECT i FROM coarse WHERE j = (SELECT j FROM s{k})) AS bad, (SELECT i FROM coarse WHERE j ="
+                     f" (SELECT j FROM s{k}) - 1) AS good UNION ALL SELECT CASE WHEN r.rate <= {budget} THEN bad ELSE r.i END,"
+                     f" CASE WHEN r.rate <= {budget} THEN r.i ELSE good END FROM h{k} JOIN r{k} r ON r.i = (bad + good) // 2"
+                     " WHERE good - bad > 1",
+            f"z{k}": f"SELECT * FROM h{k} WHERE good - bad <= 1",
+        }
+        below = f"(SELECT x FROM r{k} WHERE i = (SELECT good FROM z{k}))"
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS band, CAST({b} AS DOUBLE) AS budget, round(a.x, 6) AS cut, round(a.rate, 6) AS promotions_per_day,"
+        f" round(b.x, 6) AS cut_just_below, round(b.rate, 6) AS rate_just_below FROM z{k} JOIN r{k} a ON a.i = good"
+        f" JOIN r{k} b ON b.i = bad" for k, (n, b) in enumerate(zip(C.BAND_NAMES[1:], BUDGETS)))
+    return with_sources(["ev"], steps, rows).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLES = {
     "rank_metrics": _s({}, _rank_sql("")),
     "rank_metrics_by_group": with_sources(
@@ -580,7 +682,6 @@ ORACLES = {
         "SELECT round(quantile_cont(x, 0.25), 4) AS p25_min, round(quantile_cont(x, 0.5), 4) AS"
         " median_min, round(quantile_cont(x, 0.75), 4) AS p75_min FROM g"),
     "promotion_profile": _profile_sql(),
-    "band_sweep": " UNION ALL BY NAME ".join(
-        f"SELECT '{d.label}' AS setting, * FROM ({_b(_EVAL_STEPS, _EVAL.format(4), Machine(MACHINE.cuts, d))})"
-        for d in (Dwell(0.0, 1, 0.0, 0.0), Dwell(30.0, 2, 0.25, 60.0), Dwell(60.0, 2, 0.5, 120.0))),
+    "band_sweep": _sweep_sql(),
+    "solved_cuts": _solved_sql(),
 }
