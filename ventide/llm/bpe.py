@@ -18,6 +18,7 @@ are replaced.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import itertools
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 
 # Chunks whose tokens a worker keeps; a longer list is dropped and begun anew.
 KEPT = 150_000
+# Numbers that are turned into bytes at once.
+DECODED = 1 << 19
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _MORE_SPACE = re.compile(r" \s|\s ")
 
@@ -91,13 +94,14 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.places: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str], offsets: bool) -> None:
+    def _learn(self, chunks: set[str], offsets: bool) -> None:
         """Encode the chunks that are not known yet; each distinct match in them once."""
         known = self.places if offsets else self.known
-        new = list(set(chunks).difference(known))
-        if len(known) + len(new) > KEPT:
+        new = list(chunks.difference(known))
+        if len(known) + len(new) > KEPT:  # only what is needed now stays
+            kept = {chunk: known[chunk] for chunk in chunks.intersection(known)}
             known.clear()
-            new = list(set(chunks))
+            known.update(kept)
         batch = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
         for low in range(0, len(new), 5000):
             part = new[low:low + 5000]
@@ -105,7 +109,7 @@ class Codec:
             distinct = list(set(itertools.chain.from_iterable(found)))
             got = dict(zip(distinct, batch(distinct, add_special_tokens=False)))
             if not offsets:
-                ids = {piece: np.array(x.ids, np.int32).tobytes() for piece, x in got.items()}
+                ids = {piece: array.array("i", x.ids).tobytes() for piece, x in got.items()}
                 for chunk, matches in zip(part, found):
                     known[chunk] = b"".join(map(ids.__getitem__, matches))
                 continue
@@ -116,17 +120,24 @@ class Codec:
                     at += len(m)
                 known[chunk] = np.array(out, np.int32).tobytes()
 
-    def encode(self, text: str, offsets: bool = False) -> np.ndarray:
-        """Token numbers; with `offsets` one row per token: number, begin and end in code points."""
-        chunks = chunked(text)
-        self._learn(chunks, offsets)
+    def encode_all(self, texts: Sequence[str], offsets: bool = False) -> list[np.ndarray]:
+        """Token numbers of each text; with `offsets` one row per token: number, begin and end in code
+        points. Chunks of all texts are looked up and learned together."""
+        parts = [chunked(text) for text in texts]
+        self._learn(set(itertools.chain.from_iterable(parts)), offsets)
         if not offsets:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
-        found = [self.places[chunk] for chunk in chunks]
-        rows = np.frombuffer(b"".join(found), np.int32).reshape(-1, 3).copy()
-        begins = np.cumsum([0, *map(len, chunks)][:len(chunks)])
-        rows[:, 1:] += np.repeat(begins, [len(f) // 12 for f in found])[:, None].astype(np.int32)
-        return rows
+            return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in parts]
+        out = []
+        for chunks in parts:
+            found = [self.places[chunk] for chunk in chunks]
+            rows = np.frombuffer(b"".join(found), np.int32).reshape(-1, 3).copy()
+            begins = np.cumsum([0, *map(len, chunks)][:len(chunks)])
+            rows[:, 1:] += np.repeat(begins, [len(f) // 12 for f in found])[:, None].astype(np.int32)
+            out.append(rows)
+        return out
+
+    def encode(self, text: str, offsets: bool = False) -> np.ndarray:
+        return self.encode_all([text], offsets)[0]
 
 
 @functools.lru_cache(2)
@@ -138,8 +149,24 @@ def decoder(path: str) -> list[bytes]:
     return [bytes(back[c] for c in spelled.get(i, "")) for i in range(max(spelled) + 1)]
 
 
-def decode_ids(path: str, ids: list[int]) -> bytes:
-    return b"".join(map(decoder(path).__getitem__, ids))
+@functools.lru_cache(2)
+def _byte_ranges(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all numbers one after the other, and where each number's begin (one more at the end)."""
+    tokens = decoder(path)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+
+
+def decode_ids(path: str, ids: Sequence[int]) -> bytes:
+    return decode_all(path, np.asarray(ids, np.int64))[0].tobytes()
+
+
+def decode_all(path: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all these numbers, and how many bytes each gave."""
+    data, places = _byte_ranges(path)
+    begins = places[ids]
+    sizes = places[ids + 1] - begins
+    shift = begins - (np.cumsum(sizes) - sizes)
+    return data[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 def chunked(text: str) -> list[str]:
@@ -158,6 +185,19 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _portions(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts with about `most` characters, or one text: what is taken apart at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _added(df: DataFrame, fields: list[T.StructField], drop: Sequence[str] = ()
            ) -> tuple[list[str], T.StructType]:
     new = {f.name.lower() for f in fields} | {d.lower() for d in drop}
@@ -178,7 +218,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offs
         bpe = codec(path, pattern)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            got = [bpe.encode(t or "", offsets) for t in column.to_pylist()]
+            got = [x for part in _portions(column.to_pylist()) for x in bpe.encode_all(part, offsets)]
             ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
             rows = np.concatenate([np.zeros((0, 3) if offsets else 0, np.int32), *got])
             rows = rows.T if offsets else rows[None]
@@ -200,8 +240,14 @@ def decode(tokens: DataFrame, path: str, *, ids: str = "ids", text: bool = True)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids)).fill_null([])
             values, ends = np.asarray(column.flatten()), np.cumsum(column.value_lengths().to_numpy())
-            # One row's numbers at a time: as Python objects they take many times their size.
-            raw = [decode_ids(path, values[low:high].tolist()) for low, high in zip([0, *ends], ends)]
+            raw, low = [], 0
+            while low < len(ends):  # rows of about DECODED numbers, or one row
+                begin = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, begin + DECODED, side="right")))
+                data, sizes = decode_all(path, values[begin:int(ends[high - 1])])
+                upto, whole = np.concatenate([[0], np.cumsum(sizes)])[np.append(0, ends[low:high] - begin)], data.tobytes()
+                raw += [whole[a:b] for a, b in zip(upto.tolist(), upto[1:].tolist())]
+                low = high
             arrays = [pa.array(raw, pa.binary())]
             if text:
                 arrays.append(pa.array([r.decode("utf-8", "replace") for r in raw], pa.string()))
