@@ -53,7 +53,8 @@ ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "d
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+MARK = re.compile(r'data-y="([01])"')
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Families of names; a name belongs to a family if it begins like one of its stems.
@@ -92,8 +93,12 @@ class Node:
     children: int = 0
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements in page order, and the text pieces with their blocks in page order."""
+def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The block elements in page order, and the text pieces with their blocks in page order.
+
+    Only the trainer's own pages are `labelled`: there the mark of `compose` tells what a block is, and
+    a block without one is what its parent is. In any other page that attribute means nothing.
+    """
     nodes = [Node(-1, "#page", (), 0, None)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with the block they write to
     text: list[tuple[int, str]] = []
@@ -160,23 +165,19 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if lowest is not None:
                 close(lowest)
         block = stack[-1][1]
-        if tag == "body" and (own := re.search(r'data-y="(\d)"', rest)):
+        if labelled and tag == "body" and (own := MARK.search(rest)):
             nodes[0].label = int(own.group(1))
         stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at) if tag in RAW else None
         opened = not rest.endswith("/") or tag in INLINE or stop is not None
         hidden += opened and tag in HIDDEN
         links += tag == "a"
         if tag not in INLINE and tag not in HIDDEN and not hidden and tag not in ("html", "body"):
-            names, label = [], None
-            for name, *values in _ATTRIBUTE.findall(rest):
-                value = next((v for v in values if v), "")
-                if name.lower() == "data-y":
-                    label = int(value)
-                else:
-                    names += [n.lower() for n in _NAMES.findall(value)]
+            names = []
+            for _, *values in _ATTRIBUTE.findall(rest):
+                names += [n.lower() for n in _NAMES.findall(next((v for v in values if v), ""))]
             nodes[block].children += 1
-            if label is None:
-                label = nodes[block].label
+            own = MARK.search(rest) if labelled else None
+            label = int(own.group(1)) if own else nodes[block].label
             nodes.append(Node(block, tag, tuple(dict.fromkeys(names)), nodes[block].depth + 1, label))
             block = len(nodes) - 1
         if opened:
@@ -483,7 +484,7 @@ def train(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE, compose
         rest += [t for t, own in zip(texts, inside) if t and not own]
     articles = articles or [_FILLER]
     rng = np.random.default_rng(97)
-    made = [parse(compose(rng, articles[int(rng.integers(len(articles)))], rest))[0] for _ in range(composed)]
+    made = [parse(compose(rng, articles[int(rng.integers(len(articles)))], rest), labelled=True)[0] for _ in range(composed)]
     return fit(made)
 
 
