@@ -169,9 +169,9 @@ def test_page_model_on_layouts_it_has_not_seen():
     rng = np.random.default_rng(1)
     texts = [[cases.prose(i * 9 + j, n) + "." for j, n in enumerate([6, 40, 25, 60, 12])] for i in range(40)]
     rest = [cases.prose(1000 + i, n) for i, n in enumerate([3, 8, 15, 30] * 10)]
-    made = [pages.parse(pages.compose(rng, texts[i % 40], rest))[0] for i in range(300)]
+    made = [pages.parse(pages.compose(rng, texts[i % 40], rest), labelled=True)[0] for i in range(300)]
     model = pages.fit(made)
-    test = [pages.parse(pages.compose(np.random.default_rng(10_000 + i), texts[i % 40], rest))[0] for i in range(80)]
+    test = [pages.parse(pages.compose(np.random.default_rng(10_000 + i), texts[i % 40], rest), labelled=True)[0] for i in range(80)]
     forest = pages.Forest(test)
     belief, _ = forest.marginals(model.unary, model.edges)
     assert ((belief[:, 1] > np.log(0.5)) == forest.labels).mean() > 0.97
@@ -214,6 +214,38 @@ def test_parser_hides_no_more_than_what_is_hidden(html):
     assert " ".join("".join(f" {t}" for _, t in pages.parse(html)[1]).split()) == "a b"
 
 
+@pytest.mark.parametrize("mark", ['data-y="12px"', 'data-y=""', "data-y=12.5", 'data-y="0"', 'data-y="1"'])
+def test_the_trainers_mark_means_nothing_in_a_page(spark, mark):
+    html = f"<html><body {mark}><nav {mark}><a href=x>Home</a></nav><article {mark}><p>{cases.prose(5, 60)}.</p></article></body></html>"
+    assert {n.label for n in pages.parse(html)[0]} == {None}
+    df = ready(spark).createDataFrame([(1, html)], "page_id long, html string")
+    assert pages.main_text(df, pages.train(df, composed=200)).first()["text"] == cases.prose(5, 60) + "."
+
+
+def test_extraction_equals_enumeration():
+    """`extract` against all labellings of small pages: the blocks whose marginal is above one half."""
+    rng = np.random.default_rng(8)
+    model = pages.Model(rng.standard_normal(len(pages.FLAGS) + pages.HASHED), rng.standard_normal((pages.EDGE_KINDS, 4)))
+    htmls = ["<p>one</p>two<div>three <b>four</b></div>", "a<ul><li>b</li><li>c d</li></ul>e", "<nav>x</nav><p>y &amp; z</p><p></p>q"]
+    for html, got in zip(htmls, pages.extract(model, htmls)):
+        nodes, text = pages.parse(html)
+        forest = pages.Forest([nodes])
+        own = np.bincount(forest.owner, model.unary[forest.feature], len(nodes))
+        total, on = 0.0, np.zeros(len(nodes))
+        for state in np.ndindex(*[2] * len(nodes)):
+            score = sum(own[i] for i in range(len(nodes)) if state[i]) + sum(
+                model.edges[kind, 2 * state[forest.parent[o]] + state[o]]
+                for o, kind in zip(forest.edge_owner, forest.kind) if forest.parent[o] >= 0)
+            total += np.exp(score)
+            on += np.array(state) * np.exp(score)
+        blocks, last = [], None
+        for block, piece in text:
+            if on[block] > total / 2:
+                blocks.append(piece if block != last else blocks.pop() + piece)
+            last = block if piece.strip() or block == last else None
+        assert got == " ".join(" ".join(blocks).split())
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     rows = [(1, "u", "<html><body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>" + cases.prose(5, 60)
              + ".</p></article></body></html>"), (2, None, None), (3, "", ""), (None, None, "<p>"), (1, "u", "")]

@@ -71,7 +71,7 @@ def test_forest_finds_what_all_pairs_find(spark, seed):
 
 
 def test_forest_takes_awkward_rows(spark):
-    rows = [r for r in cases.awkward() if r[0] != 13]
+    rows = cases.awkward()
     got = forest.classify(cases.frame(ready(spark), rows, clash=True)).collect()
     assert len(got) == len(rows)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) \
@@ -79,6 +79,33 @@ def test_forest_takes_awkward_rows(spark):
     assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
+def test_forest_links_every_text_of_a_key(spark):
+    a, b = cases.prose(31, 120).split(), cases.prose(32, 120).split()
+    rows = [(13, " ".join(a), "en", "s", 1), (13, " ".join(b), "en", "s", 1), (20, " ".join(a[:60] + ["x"] + a[61:]), "en", "s", 1),
+            (21, " ".join(b[:60] + ["y"] + b[61:]), "en", "s", 1), (22, cases.prose(33, 90), "en", "s", 1)]
+    got = forest.classify(cases.frame(ready(spark), rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [
+        (13, 13, True), (13, 13, True), (20, 13, False), (21, 13, False), (22, 22, True)]
+
+
+def test_closest_neighbours_are_one_a_class(spark):
+    """By the longest common prefix over all trees, before anything is joined."""
+    rng, words, rows = random.Random(9), cases.prose(78, 150).split(), []
+    for i in range(300):
+        copy = list(words)
+        copy[rng.randrange(150)] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    signed = forest._signed(cases.frame(ready(spark), rows).select("doc_id", "text"), "doc_id", "text", ()).collect()
+    paths = {r["_id"]: np.frombuffer(r["_signature"], np.uint16).reshape(forest.TREES, forest.DEPTH) for r in signed}
+    classes = spark.createDataFrame([(r["_id"], bytes(r["_signature"]), r["_id"]) for r in signed], "id long, signature binary, label long")
+    pairs = {(r["a"], r["b"]): r["prefix"] for r in forest.candidates(classes, 1).collect()}
+    for (a, b), prefix in pairs.items():
+        shared = np.logical_and.accumulate(paths[a] == paths[b], axis=1).sum(1)
+        assert forest.LEAST <= prefix <= shared.max()
+    best = {r["b"]: r["a"] for r in forest.closest(forest.candidates(classes, 1)).collect()}
+    assert len(best) > 280 and all(pairs[a, b] == max(p for (_, y), p in pairs.items() if y == b) for b, a in best.items())
+
+
 def test_forest_of_nothing(spark):
     assert forest.classify(cases.frame(ready(spark), [])).collect() == []
 
@@ -257,7 +284,8 @@ def test_whole_characters_stay_valid():
 def test_previous_factors_against_their_definition():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 300).astype(np.uint8)
-    starts, length = np.arange(0, 280), 12
+    length = 12
+    starts = np.concatenate([np.arange(0, 139), np.arange(150, 289)])  # each suffix has 12 bytes of its own block
     group = (starts >= 150).astype(np.int64)
     base = np.repeat([0, 1], 150)
     got = suffix.previous_factors(data, base, starts, group, length)

@@ -1,21 +1,25 @@
 """MinHash near-duplicates with an LSH forest.
 
 A text's set holds its distinct word shingles; texts with the same set are one class from the start.
-Each class has TREES signature paths of DEPTH min-hashes. Per tree the classes are sorted by path,
-and the classes that share the first LEAST values are a region. All pairs of a region whose
-components differ are looked at, in three steps. The sorted order is cut into ranges that Spark
-balances, however large one region is.
-
-First only direct neighbours count, and each class's best one is confirmed on
-the full sets; that joins groups of copies into components. Then neighbours within NEAREST count
-whose components differ, so that a large group costs no pairs of its own, and all of these are
-confirmed. A region of more classes that is not one component by then is crowded: its classes are
-dealt into blocks, and every block meets every other one in a task of its own (`crowded`), but for
-the members of the region's largest component among themselves. Such a task tells which
-components meet, not which pairs, so that rows do not grow with pairs. In all steps candidates are
-dropped whose whole signatures disagree by more than MARGIN standard deviations from the threshold.
-A pair at the threshold shares LEAST values in some tree but for a chance of
-(1 - 0.75 ** 2) ** 16, two in a million.
+Each class has TREES signature paths of DEPTH min-hashes. Per tree the classes are sorted by path, and
+the neighbours of a class in sorted order are those it shares the longest prefixes with. How deep a
+prefix has to be is left to each region: where many classes share many values only the longest counts.
+Classes that share the first LEAST values are a region; pairs of a region whose components differ are
+looked at. The sorted order is cut into ranges that Spark balances, however large one region is.
+
+First each class takes, over all trees, the one direct neighbour of another component that shares the
+longest prefix with it. These pairs, at most one a class, are confirmed on the full sets and joined into
+components; ROUNDS such rounds turn groups of copies into one component. Then, in regions of at most
+NEAREST + 1 classes, all neighbours within NEAREST count whose components still differ, and all of
+these are confirmed. A region of more classes that is not one component by then is crowded: its classes are dealt into blocks, and every block meets every
+other one in a task of its own (`crowded`), but for the members of the region's largest component among
+themselves. Such a task tells which components meet, not which pairs, so that rows do not grow with
+pairs. Candidates of these two steps are dropped whose whole signatures disagree by more than MARGIN
+standard deviations from the threshold. A pair at the threshold shares LEAST values in some tree but for
+a chance of (1 - 0.75 ** 2) ** 16, two in a million.
+
+Classes have names of their own, given once when they are written. Rows with the same key and different
+texts are therefore different classes; the smallest key of a component is looked up last.
 
 Defined cases: texts without words have an empty set and link with nothing; a text with fewer words
 than a shingle has its whole sequence as its only shingle; repeated rows are members of one class,
@@ -40,6 +44,7 @@ from ventide.llm.tables import stored
 WIDTH = 5
 SHARE = (75, 100)  # links: SHARE[1] * intersection >= SHARE[0] * union
 TREES, DEPTH, LEAST, NEAREST, MARGIN = 16, 10, 2, 12, 5.0
+ROUNDS = 2  # of the one neighbour with the longest common prefix
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # of a crowded region: what one task holds twice
 
 _draws = np.random.default_rng(20_240_601)
@@ -90,11 +95,11 @@ def _signed(docs: DataFrame, key: str, text: str, carry: Sequence[str]) -> DataF
         for rows, data, offsets in A.portions(batches, text):
             sets = shingle_sets(data, offsets)
             marks = signatures(sets)
-            prints = np.array([(A.mix(s).sum(), A.mix(s * A.U(A.WORD_BASE)).sum()) for s in sets], A.U).reshape(-1, 2)
+            prints = _prints(sets)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index(key)),
                  pa.array([len(s) for s in sets], pa.int64()),
-                 *(pa.array(prints[:, i].copy().view(np.int64)) for i in (0, 1)),
+                 *(pa.array(prints[:, i].copy()) for i in (0, 1)),
                  pa.array([m.tobytes() for m in marks], pa.binary()),
                  *(rows.column(rows.schema.get_field_index(c)) for c in carry)],
                 names=[*fields, *carry])
@@ -106,12 +111,12 @@ def _signed(docs: DataFrame, key: str, text: str, carry: Sequence[str]) -> DataF
     return docs.select(F.col(key).cast("long").alias(key), text, *carry).mapInArrow(run, schema)
 
 
-def _next_to(rows: list[np.ndarray], fresh: int, across: bool, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+def _next_to(rows: list[np.ndarray], fresh: int, across: bool, nearest: int) -> tuple[np.ndarray, ...]:
     """Pairs of rows at most `nearest` apart in sorted order, in one tree, of different components,
-    that share LEAST values at least. `fresh` is the number of leading rows whose pairs among
-    themselves are known."""
+    that share LEAST values at least, the values of their common prefix and the first row. `fresh` is the number of
+    leading rows whose pairs among themselves are known."""
     tree, path, key, part, label = rows
-    a, b = [], []
+    found = [np.zeros((4, 0), np.int64)]
     for step in range(1, nearest + 1):
         low = max(0, fresh - step)
         if len(key) - step <= low:
@@ -121,11 +126,10 @@ def _next_to(rows: list[np.ndarray], fresh: int, across: bool, nearest: int) ->
         same = (tree[i] == tree[j]) & (path[i, :LEAST] == path[j, :LEAST]).all(axis=1) & (label[i] != label[j])
         if across:
             same &= part[i] != part[j]
-        a.append(key[i[same]])
-        b.append(key[j[same]])
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(a), np.concatenate(b)
+        i, j = i[same], j[same]
+        prefix = np.logical_and.accumulate(path[i] == path[j], axis=1).sum(axis=1)
+        found.append(np.stack([key[i], key[j], prefix, i]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _neighbours(across: bool, nearest: int):
@@ -135,12 +139,13 @@ def _neighbours(across: bool, nearest: int):
         carry, head, count = None, [], 0
         fields = ("tree", "path", "id", "part", "label")
 
-        def told(edge, tree, path, a, b, part):
+        def told(edge, tree, path, a, b, part, prefix):
             n = len(a)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, edge)), pa.array(tree, pa.int32()),
                  pa.array(path, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                 pa.array(part, pa.int64())], names=["edge", "tree", "path", "a", "b", "part"])
+                 pa.array(part, pa.int64()), pa.array(prefix, pa.int64())],
+                names=["edge", "tree", "path", "a", "b", "part", "prefix"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -154,10 +159,10 @@ def _neighbours(across: bool, nearest: int):
             if carry is not None:
                 fresh = len(carry[0])
                 rows = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
-            a, b = _next_to(rows, fresh, across, nearest)
+            a, b, prefix, at = _next_to(rows, fresh, across, nearest)
             if len(a):
-                none = [None] * len(a)
-                yield told(False, none, none, np.minimum(a, b), np.maximum(a, b), none)
+                yield told(False, rows[0][at], [p.tobytes() for p in rows[1][at, :LEAST]], np.minimum(a, b), np.maximum(a, b),
+                           [None] * len(a), prefix)
             carry = [r[-nearest:] for r in rows]
             count += batch.num_rows
         if carry is not None and not across:
@@ -165,17 +170,18 @@ def _neighbours(across: bool, nearest: int):
             tail = [tuple(c[i] for c in carry) for i in range(len(carry[0]) - more, len(carry[0]))]
             ends = head + tail
             yield told(True, [int(e[0]) for e in ends], [e[1].tobytes() for e in ends], [int(e[2]) for e in ends],
-                       [int(e[4]) for e in ends], [int(e[3]) for e in ends])
+                       [int(e[4]) for e in ends], [int(e[3]) for e in ends], [None] * len(ends))
 
     return run
 
 
-_FOUND = "edge boolean, tree int, path binary, a long, b long, part long"
+_FOUND = "edge boolean, tree int, path binary, a long, b long, part long, prefix long"
 
 
-def candidates(classes: DataFrame, nearest: int) -> DataFrame:
+def candidates(classes: DataFrame, nearest: int, without: DataFrame | None = None) -> DataFrame:
     """Pairs a < b of classes (id, signature, label) with different labels that are at most
-    `nearest` apart in some tree's order."""
+    `nearest` apart in some tree's order, with the longest common prefix over the trees. Pairs of the
+    regions (tree, head) in `without` are left out."""
     size = 2 * DEPTH
     paths = classes.select("id", "label", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
@@ -189,7 +195,16 @@ def candidates(classes: DataFrame, nearest: int) -> DataFrame:
     # What lies at the ends of the ranges: 2 x nearest rows per partition, whatever the input.
     ends = found.where("edge").select("tree", "path", F.col("a").alias("id"), "part", F.col("b").alias("label")).coalesce(1)
     over = ends.sortWithinPartitions("tree", "path", "id").mapInArrow(_neighbours(True, nearest), _FOUND)
-    return found.where("not edge").select("a", "b").unionByName(over.select("a", "b")).where("a < b").distinct()
+    both = found.where("not edge").unionByName(over).select("tree", F.col("path").alias("head"), "a", "b", "prefix")
+    if without is not None:
+        both = both.join(without.select("tree", "head"), ["tree", "head"], "left_anti")
+    return both.where("a < b").groupBy("a", "b").agg(F.max("prefix").alias("prefix"))
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of each class's pairs with smaller ones, that with the longest common prefix."""
+    best = pairs.groupBy("b").agg(F.max(F.struct("prefix", (-F.col("a")).alias("a"))).alias("x"))
+    return best.select((-F.col("x.a")).alias("a"), "b")
 
 
 def _doubtful(share: float) -> float:
@@ -214,33 +229,44 @@ def estimated(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [a.filter(pa.array(near)), b.filter(pa.array(near)), pa.array(alike[near])], names=["a", "b", "alike"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, alike double")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, alike double")
+
+
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit fingerprints of sets."""
+    return np.array([(A.mix(s).sum(), A.mix(s * A.U(A.WORD_BASE)).sum()) for s in sets], A.U).reshape(-1, 2).view(np.int64)
 
 
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in A.portions(batches, text):
             sets = shingle_sets(data, offsets)
+            prints = _prints(sets)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index(key)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "shingles"])
+                [rows.column(rows.schema.get_field_index(key)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "f1", "f2", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "doc long, f1 long, f2 long, shingles binary")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _sets_of(docs: DataFrame, key: str, text: str, ends: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The shingle sets of the documents in `ends` (distinct ids), without the known ones.
+def _sets_of(docs: DataFrame, key: str, text: str, classes: DataFrame, ends: DataFrame, known: DataFrame | None = None
+             ) -> DataFrame:
+    """The shingle sets of the classes in `ends` (distinct ids), without the known ones.
 
-    The keys grow with the documents, so both sides are always shuffled, never shipped whole.
+    A class is found by a key and its fingerprint: other texts under the same key fall out. The keys
+    grow with the documents, so both sides are always shuffled, never shipped whole.
     """
     if known is not None:
         ends = ends.join(known, "id", "left_anti")
-    texts = docs.select(F.col(key).cast("long").alias("id"), text).join(ends.hint("merge"), "id", "left_semi")
-    return _sets(texts, "id", text).dropDuplicates(["id"])
+    wanted = classes.join(ends.hint("merge"), "id", "left_semi").select("id", "doc", F.col("_f1").alias("f1"), F.col("_f2").alias("f2"))
+    texts = docs.select(F.col(key).cast("long").alias("doc"), text).join(
+        wanted.select("doc").distinct().hint("merge"), "doc", "left_semi")
+    found = _sets(texts, "doc", text).dropDuplicates(["doc", "f1", "f2"])
+    return found.join(wanted, ["doc", "f1", "f2"]).select("id", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -408,7 +434,7 @@ def crowded(classes: DataFrame, docs: DataFrame, key: str, text: str, sets: Data
     if regions.isEmpty():
         return None
     ends = promising.select("id").distinct()
-    more = stored(_sets_of(docs, key, text, ends, sets.select("id")), "sets-crowded")
+    more = stored(_sets_of(docs, key, text, classes, ends, sets.select("id")), "sets-crowded")
     tasks = _dealt(members.join(sets.unionByName(more), "id"), regions, "shingles")
     return stored(tasks.groupBy(*_TASK).applyInArrow(_meeting(share), "a long, b long").distinct(), "links-crowded")
 
@@ -418,25 +444,25 @@ def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry:
     signed = stored(_signed(docs, key, text, carry), "signed")
     known = signed.where("n_shingles > 0 AND _id IS NOT NULL")
     first = F.min(F.struct("_id", "_signature", "n_shingles")).alias("_first")
-    classes = stored(
-        known.groupBy("_f1", "_f2").agg(first)
-        .select("_f1", "_f2", F.col("_first._id").alias("id"), F.col("_first._signature").alias("signature"),
-                F.col("_first.n_shingles").alias("n_shingles")), "classes")
-    share = SHARE[0] / SHARE[1]
-    # First what is next to each other in some order: each class's best candidate is confirmed, and
-    # a group of copies becomes one component.
-    alone = classes.withColumn("label", F.col("id"))
-    near = stored(estimated(candidates(alone, 1), classes, share), "alike")
-    best = near.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("x"))
-    best = stored(best.select((-F.col("x.a")).alias("a"), "b"), "best")
-    sets = stored(_sets_of(docs, key, text, _ends(best)), "sets")
-    links = stored(confirmed(best, sets), "links-best")
-    # Then what lies further apart, where it is not in one component already.
-    joined = components(links).withColumnRenamed("component", "label")
-    labelled = classes.join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    wider = stored(estimated(candidates(labelled, NEAREST), classes, share), "alike-wider")
-    known = sets.select("id")
-    sets = sets.unionByName(stored(_sets_of(docs, key, text, _ends(wider), known), "sets-wider"))
+    classes = known.groupBy("_f1", "_f2").agg(first).select(
+        "_f1", "_f2", F.col("_first._id").alias("doc"), F.col("_first._signature").alias("signature"),
+        F.col("_first.n_shingles").alias("n_shingles"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # First each class's closest neighbour: a group of copies becomes one component.
+    labelled, links, sets = classes.withColumn("label", F.col("id")), None, None
+    for _ in range(ROUNDS):
+        best = stored(closest(candidates(labelled, 1)), "closest")
+        new = stored(_sets_of(docs, key, text, classes, _ends(best), None if sets is None else sets.select("id")), "sets")
+        sets = new if sets is None else sets.unionByName(new)
+        found = stored(confirmed(best, sets), "links-closest")
+        links = found if links is None else links.unionByName(found)
+        joined = stored(components(links), "components").withColumnRenamed("component", "label")
+        labelled = classes.join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # Then what lies further apart, where it is not in one component already; crowded regions come last.
+    labelled = stored(labelled, "labelled")
+    full = stored(_mixed(_regions(labelled).withColumn("weight", F.lit(1 / BLOCK)), NEAREST + 1), "full")
+    wider = stored(estimated(candidates(labelled, NEAREST, full), classes, SHARE[0] / SHARE[1]), "alike-wider")
+    sets = sets.unionByName(stored(_sets_of(docs, key, text, classes, _ends(wider), sets.select("id")), "sets-wider"))
     more = stored(confirmed(wider, sets), "links-wider")
     whole = stored(components(links.unionByName(more)), "components")
     # Then what is left of the regions that hold more than these neighbours.
@@ -446,10 +472,9 @@ def classify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry:
     if rest is not None and not rest.isEmpty():
         joined = whole.select(F.col("component").alias("a"), F.col("id").alias("b"))
         whole = stored(components(joined.unionByName(rest)), "components")
-    groups = (
-        classes.join(whole, "id", "left")
-        .select("_f1", "_f2", F.coalesce("component", "id").alias("_component"))
-    )
+    groups = classes.join(whole, "id", "left").select("_f1", "_f2", "doc", F.coalesce("component", "id").alias("component"))
+    least = groups.groupBy("component").agg(F.min("doc").alias("_component"))
+    groups = groups.join(least, "component").select("_f1", "_f2", "_component")
     return (
         signed.join(groups, ["_f1", "_f2"], "left")
         .select(
