@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 # Chunks whose tokens a worker keeps; a longer list is dropped and begun anew.
 KEPT = 150_000
 # Numbers that are turned into bytes at once.
-DECODED = 1 << 19
+DECODED = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _MORE_SPACE = re.compile(r" \s|\s ")
 
