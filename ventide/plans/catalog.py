@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timeseries", "statics", "evaluation", "text", "risk", "streams", "serving")
+MODULES = ("timeseries", "statics", "evaluation", "text", "risk", "streams", "serving", "heads")
 
 
 def _merge(attribute: str) -> dict:
