@@ -117,6 +117,13 @@ def category_flags(diagnoses: DataFrame, strip_dots: bool = False) -> DataFrame:
     )
 
 
+def version_counts(diagnoses: DataFrame) -> DataFrame:
+    """Codes and how many of them follow each version of the classification, one row."""
+    return diagnoses.agg(
+        F.count(F.lit(1)).alias("codes"), F.count_if(F.col("icd_version") == 9).alias("icd9"),
+        F.count_if(F.col("icd_version") == 10).alias("icd10"))
+
+
 def score(hierarchy: bool = True) -> Column:
     """Weighted sum over cci_* columns."""
     total = F.lit(0)

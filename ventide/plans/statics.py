@@ -21,6 +21,10 @@ def q_charlson_flags(spark, sf):
         "score_flat", comorbidity.score(hierarchy=False))
 
 
+def q_icd_versions(spark, sf):
+    return comorbidity.version_counts(TD.diagnoses(spark, sf))
+
+
 def q_static_table(spark, sf):
     from ventide.plans.timeseries import ts_long
 
@@ -72,6 +76,7 @@ def q_visit_statistics(spark, sf):
 
 QUERIES = {
     "charlson_flags": q_charlson_flags,
+    "icd_versions": q_icd_versions,
     "static_table": q_static_table,
     "outcomes": q_outcomes,
     "outcome_rates": q_outcome_rates,
@@ -153,6 +158,9 @@ _OUT_NAMES = ("in_hospital_mortality", "icu_mortality", "mortality_28d", "mortal
 ORACLES = {
     "charlson_flags": with_sources(["diagnoses"], {"flags": FLAGS},
         f"SELECT *, {_score(True)} AS score, {_score(False)} AS score_flat FROM flags"),
+    "icd_versions": with_sources(["diagnoses"], {}, "SELECT count(*) AS codes, CAST(sum(CASE WHEN icd_version = 9 THEN 1"
+                                 " ELSE 0 END) AS BIGINT) AS icd9, CAST(sum(CASE WHEN icd_version = 10 THEN 1 ELSE 0 END)"
+                                 " AS BIGINT) AS icd10 FROM diagnoses"),
     "static_table": with_sources(
         ["icustays", "procedures_of_orders", "patients", "admissions", "diagnoses", "chartevents"],
         {"strict": STRICT, "flags": FLAGS, "body": BODY, "st": STATIC},
