@@ -122,6 +122,8 @@ MAX_FLIP_INCREASE = 0.25
 RATE_QUANTILES = (0.02, 0.10, 0.25, 0.50, 0.75, 0.90, 0.98)
 BAND_RATE_TOLERANCE = 0.02
 
+GATE_SHARE_TOLERANCE = 0.01
+
 MAX_IMPUTED_SHARE = 0.30
 MAX_DOC_SHARE = 0.30
 CONTRIBUTOR_TOP_K = 8

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timeseries", "statics", "evaluation", "text", "risk", "streams", "serving", "heads")
+MODULES = ("timeseries", "statics", "evaluation", "text", "risk", "streams", "serving", "heads", "gate")
 
 
 def _merge(attribute: str) -> dict:

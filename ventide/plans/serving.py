@@ -21,16 +21,31 @@ from ventide.plans import timeseries as TS
 from ventide.plans.sources_sql import with_sources
 from ventide.plans.timeseries import minute, r
 from ventide.session import materialize, shared_folder
+from ventide.sources import testdata as TD
 from ventide.streaming import processors as P
 
 TARGET = C.Settings().target
 
 
 class Matrix:
-    """The parts of the training matrix; each is written once, when it is first asked for."""
+    """The parts of the training matrix under `settings`; each is written once, when it is first asked for."""
 
-    def __init__(self, spark, sf: str):
-        self.spark, self.sf = spark, sf
+    #: Parts that depend on no setting of the label rules and on no flag but `causal` (the last one).
+    COMMON = ("log", "cohort", "readings", "folds", "medians", "modes", "carried")
+
+    def __init__(self, spark, sf: str, settings: C.Settings = C.Settings()):
+        self.spark, self.sf, self.settings = spark, sf, settings
+
+    def variant(self, settings: C.Settings) -> Matrix:
+        """The matrix under other settings; what cannot differ is not computed again."""
+        other = Matrix(self.spark, self.sf, settings)
+        same = settings.flags.causal == self.settings.flags.causal
+        for name in self.COMMON if same else self.COMMON[:-1]:
+            other.__dict__[name] = getattr(self, name)
+        if settings.flags == self.settings.flags:
+            for name in ("infusions", "static", "drugs", "matrix"):
+                other.__dict__[name] = getattr(self, name)
+        return other
 
     @cached_property
     def log(self) -> DataFrame:
@@ -54,7 +69,7 @@ class Matrix:
 
     @cached_property
     def infusions(self) -> DataFrame:
-        return materialize(TS.infusion_rows(self.spark, self.sf, self.readings))
+        return materialize(TS.infusion_rows(self.spark, self.sf, self.readings, self.settings.flags))
 
     @cached_property
     def modes(self) -> DataFrame:
@@ -62,11 +77,15 @@ class Matrix:
 
     @cached_property
     def static(self) -> DataFrame:
-        return materialize(TS.static_of(self.spark, self.sf, self.cohort))
+        stays = self.cohort
+        if not self.settings.flags.final_cohort:  # the static table once was made before the cohort was widened
+            stays = stays.join(TS.cohort.strict_cohort(
+                TS.user_stays(self.spark, self.sf), TD.procedures_of_users(self.spark, self.sf)).select("stay_id"), "stay_id", "left_semi")
+        return materialize(TS.static_of(self.spark, self.sf, stays, self.settings.flags))
 
     @cached_property
     def carried(self) -> DataFrame:
-        return materialize(impute.locf_companions(self.readings, self.medians))
+        return materialize(impute.locf_companions(self.readings, self.medians, self.settings.flags.causal))
 
     @cached_property
     def drugs(self) -> DataFrame:
@@ -74,22 +93,22 @@ class Matrix:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return materialize(assemble.assemble(self.carried, self.drugs, self.static, self.folds))
+        return materialize(assemble.assemble(self.carried, self.drugs, self.static, self.folds, self.settings.flags))
 
     @cached_property
     def manifest(self) -> dict:
-        return assemble.manifest(self.matrix, self.drugs, self.static)
+        return assemble.manifest(self.matrix, self.drugs, self.static, self.settings)
 
     @cached_property
     def labels(self) -> DataFrame:
         pressors = self.drugs.select("stay_id", "charttime", "vasopressor_running")
         base = materialize(self.carried.join(pressors, ["stay_id", "charttime"], "left"))
-        return materialize(labels.forward_labels(base.drop("vasopressor_running"), base, TS.RULES))
+        return materialize(labels.forward_labels(base.drop("vasopressor_running"), base, self.settings.labels))
 
     @cached_property
     def aligned(self) -> DataFrame:
         """The rows a model learns from: features, y, split and fold."""
-        return materialize(assemble.align_labels(self.matrix, self.labels, TARGET))
+        return materialize(assemble.align_labels(self.matrix, self.labels, self.settings.target))
 
 
 def shown(df: DataFrame, features: tuple[str, ...]) -> list[F.Column]:

@@ -60,8 +60,8 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
     return pivot.events_to_wide(log, final_cohort(spark, sf, log))
 
 
-def infusion_rows(spark: SparkSession, sf: str, readings: DataFrame) -> DataFrame:
-    mapping = interventions.drug_map(TD.d_items(spark, sf))
+def infusion_rows(spark: SparkSession, sf: str, readings: DataFrame, flags: C.Flags = C.Flags()) -> DataFrame:
+    mapping = interventions.drug_map(TD.d_items(spark, sf), flags)
     return interventions.infusions(TD.inputevents(spark, sf), mapping, readings)
 
 
@@ -262,10 +262,10 @@ def q_stay_weights(spark, sf):
     return split.stay_weights(readings).select("stay_id", "charttime", r("weight", 6))
 
 
-def static_of(spark: SparkSession, sf: str, stays: DataFrame) -> DataFrame:
+def static_of(spark: SparkSession, sf: str, stays: DataFrame, flags: C.Flags = C.Flags()) -> DataFrame:
     return static.static_table(
         stays, TD.patients(spark, sf), TD.admissions(spark, sf), TD.diagnoses(spark, sf),
-        static.body_metrics(ts_long(spark, sf)),
+        static.body_metrics(ts_long(spark, sf)), flags,
     )
 
 
