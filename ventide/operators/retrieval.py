@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ventide import config as C
 from ventide.functions.textfn import anchor_hits
+from ventide.operators.postings import postings, stemmed
+from ventide.session import materialize
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 2
@@ -69,43 +71,26 @@ def _runs(items: Column, n: int) -> Column:
 
 
 def bm25(chunks: DataFrame, wanted: DataFrame, key: str = "key", doc: str = "chunk_id",
-         top: int = C.RANK_TOP_N) -> DataFrame:
+         top: int = C.RANK_TOP_N, stems: bool = False) -> DataFrame:
     """Top chunks per key by BM25 over title (double weight) and text.
 
     Postings are the chunk's phrases that occur in some key, counted inside the row, so a
-    phrase emits one posting per chunk however often it repeats. Ranks are cut to the top
-    before the shuffle.
+    phrase emits one posting per chunk however often it repeats. With `stems`, words agree when their
+    stems do. Ranks are cut to the top before the shuffle.
     """
-    sizes = phrase_lengths(wanted)
+    if stems:
+        wanted = materialize(stemmed(wanted, key))
     title, body = index_tokens(F.col("title")), index_tokens(F.col("text"))
-
-    def all_runs(c: str) -> Column:
-        return F.flatten(F.array(*[_runs(F.col(c), n) for n in sizes]))
-
-    base = chunks.select(doc, title.alias("_t"), body.alias("_b"))
-    lengths = base.select(doc, (F.size("_t") + F.size("_b")).alias("_len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"))
-    vocabulary = wanted.select("phrase").distinct()
-    weighted = base.select(
-        doc, (F.size("_t") + F.size("_b")).alias("_len"),
-        F.explode(F.concat(
-            F.transform(all_runs("_t"), lambda p: F.struct(p.alias("phrase"),
-                                                           F.lit(TITLE_WEIGHT).alias("w"))),
-            F.transform(all_runs("_b"), lambda p: F.struct(p.alias("phrase"), F.lit(1).alias("w"))),
-        )).alias("_p"),
-    )
-    postings = (
-        weighted.select(doc, "_len", "_p.phrase", "_p.w")
-        .join(vocabulary, "phrase", "left_semi")
-        .groupBy("phrase", doc, "_len").agg(F.sum("w").alias("f"))
-    )
-    frequency = postings.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    length = F.coalesce(F.size(title), F.lit(0)) + F.when(F.col("text").isNotNull(), F.size(body))
+    stats = chunks.select(length.alias("_len")).agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"))
+    found = materialize(postings(chunks, wanted, phrase_lengths(wanted), doc, title, body, TITLE_WEIGHT, stems))
+    frequency = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     total = stats.select("n").scalar()
     average = stats.select("avg").scalar()
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = F.col("f") + K1 * (1 - B + B * F.col("_len") / average)
     scored = (
-        postings.join(frequency, "phrase").join(wanted.select(key, "phrase"), "phrase")
+        found.join(frequency, "phrase").join(wanted.select(key, "phrase"), "phrase")
         .groupBy(key, doc).agg(F.round(F.sum(idf * F.col("f") * (K1 + 1) / norm), 9).alias("score"))
     )
     return top_ranked(scored, key, doc, top)

@@ -189,6 +189,13 @@ def q_bm25(spark, sf):
     return out.select("key", "chunk_id", r("score", 6), F.col("rank").cast("long").alias("rank"))
 
 
+def q_stemmed_bm25(spark, sf):
+    """The same ranking when words agree by their stems."""
+    wanted = materialize(retrieval.phrases(benchmark_keys(spark, sf)))
+    out = retrieval.bm25(page_chunks(spark, sf), wanted, stems=True)
+    return out.select("key", "chunk_id", r("score", 6), F.col("rank").cast("long").alias("rank"))
+
+
 def centroids(spark, sf) -> DataFrame:
     long = TD.table(spark, sf, "embeddings").select(
         "label", F.posexplode("embedding").alias("i", "x"))
@@ -220,7 +227,7 @@ def evidence(spark, sf):
     body = materialize(chunks(spark, sf))
     keys = benchmark_keys(spark, sf)
     wanted = materialize(retrieval.phrases(keys))
-    lexical = materialize(retrieval.bm25(body, wanted))
+    lexical = materialize(retrieval.bm25(body, wanted, stems=True))
     return body, keys, materialize(retrieval.evidence_map(body, keys, {"lexical": lexical}))
 
 
@@ -281,6 +288,7 @@ QUERIES = {
     "content_hash": q_content_hash,
     "evidence_keys": q_evidence_keys,
     "bm25_topk": q_bm25,
+    "stemmed_bm25_topk": q_stemmed_bm25,
     "dense_topk": q_dense_topk,
     "rank_fusion": q_rrf,
     "evidence_map": q_evidence_map,
