@@ -1,6 +1,6 @@
 """Registered queries over the gate: changes of the build tried in order, kept or reverted.
 
-`gate_models` rebuilds and fits every state that is reached. `gate_verdicts` judges stored scores of
+`q_models` rebuilds and fits every state that is reached; it is not registered. `gate_verdicts` judges stored scores of
 `lineitem` (patient: supplier), given per set of changes, so that SQL can restate measures and chain.
 """
 
@@ -88,7 +88,8 @@ def q_verdicts(spark, sf):
     return shown(gate.as_table(spark, gate.run(steps, measured)))
 
 
-QUERIES = {"gate_verdicts": q_verdicts, "gate_models": q_models}
+# `q_models` is not registered: its first state alone did not end within 300 s on sf0.01.
+QUERIES = {"gate_verdicts": q_verdicts}
 
 # ------------------------------------------------------------------ oracles
 _STATES = 1 << len(STORED_STEPS)
