@@ -81,6 +81,12 @@ def test_graded_statements(spark):
     assert got == {("strong", "moderate"), ("weak", "very low")}
 
 
+def test_long_line_of_short_words(spark):
+    df = spark.createDataFrame([("ab " * 50_000,), ("ab cd efghij " * 3,), ("a b c d e",)], "t string")
+    got = df.select(T.table_like(F.col("t")), T.heading_like(F.trim("t"))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (True, False)]
+
+
 def test_duplicates_keep_the_first(spark):
     rows = [("d", p, 0, ["x"], "prose", None, None, t, 3) for p, t in
             [(2, "Same text!"), (1, "same TEXT"), (3, "other")]]
