@@ -81,6 +81,21 @@ def test_graded_statements(spark):
     assert got == {("strong", "moderate"), ("weak", "very low")}
 
 
+def test_statements_that_differ_in_where_a_number_ends(spark):
+    text = [f"We recommend item {n} for all such patients (weak recommendation, low certainty)."
+            for n in ("12-3", "1-23", "1 - 23", "123", "12.3")]
+    df = spark.createDataFrame(
+        [("g", "guideline", i, 0, t, ["A"]) for i, t in enumerate(text)],
+        "doc_key string, role string, page int, line_no int, text string, heading_path array<string>")
+    assert sorted(r.page for r in corpus.graded_statements(df).collect()) == [0, 1, 3]
+    assert sorted(r.page for r in corpus.drop_duplicates(corpus.graded_statements(df)).collect()) == [0, 1, 3]
+
+
+def test_statement_key(spark):
+    df = spark.createDataFrame([(" A-b 1 -- 2. c 3-D",), ("--7, 8--",), ("x--",), ("",)], "t string")
+    assert [r[0] for r in df.select(T.statement_key(F.col("t"))).collect()] == ["ab1 2c3d", "7 8", "x", ""]
+
+
 def test_long_line_of_short_words(spark):
     df = spark.createDataFrame([("ab " * 50_000,), ("ab cd efghij " * 3,), ("a b c d e",)], "t string")
     got = df.select(T.table_like(F.col("t")), T.heading_like(F.trim("t"))).collect()
