@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ventide import config as C
 from ventide.operators.bands import Dwell, Machine
+from ventide.plans.sources_sql import with_sources
 from ventide.sources import io
+from ventide.sources import testdata as TD
 from ventide.sources.schemas import TABLES, schema
 from ventide.streaming import processors as P
 from ventide.session import shared_folder, stage
@@ -31,6 +33,17 @@ def test_csv_with_doubled_quotes(spark, tmp_path):
     assert all(t in str(error.value) for t in TABLES if t != "d_items")
 
 
+def test_charted_values_are_rounded_as_in_the_sql(spark, tmp_path):
+    rows = [(i, T0, i, "click", v, '{"k": 20}') for i, v in enumerate((14.5, 28.5, 56.5, 57.5, 157.5, 50.5, 7.25))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.stay_id: r.valuenum for r in TD.chartevents(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = dict(con.execute(with_sources(["chartevents"], {}, "SELECT stay_id, valuenum FROM chartevents")).fetchall())
+    assert got == want and got[1] == 0.28
+
+
 def test_sorted_parquet_and_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(i % 7, i, None if i % 3 else i) for i in range(50)], "a int, b int, c int")
     io.write_sorted(df, str(tmp_path / "p"), ["a", "b"], 3)
