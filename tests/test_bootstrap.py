@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ventide.operators import bootstrap
@@ -46,6 +47,26 @@ def test_metrics_against_resampled_rows(spark, monkeypatch, tied, batch, slices)
         assert [got[rep][m] for m in bootstrap.METRICS] == pytest.approx(list(want), abs=1e-9)
 
 
+def test_rows_of_a_task_are_added_up_by_score():
+    rng = np.random.default_rng(5)
+    n, size = 7, 30_000
+    p, w = rng.integers(0, 100, size) / 100, rng.integers(0, 4, (size, n)).astype(np.int8)
+    p[:3] = 2.0, 3.0, 4.0
+    count, pos = rng.integers(1, 5, size), rng.integers(0, 2, size)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(p), pa.array(count), pa.array(pos), pa.array([r.tobytes() for r in w], pa.binary())], names=["p", "n", "pos", "w"])
+    parts = [rows.slice(low, 5_000) for low in range(0, size, 5_000)]
+    made = list(bootstrap._tied(n)(iter(parts)))
+    assert sum(b.num_rows for b in made) == 103  # one row a score; batches alone would leave 600
+    got = {}
+    for batch in made:
+        for score, *sums in zip(batch.column("p").to_pylist(), *bootstrap._weighted(batch, n)):
+            got[score] = np.stack(sums)
+    for score in np.unique(p):
+        at = p == score
+        assert np.array_equal(got[score], [count[at] @ w[at], pos[at] @ w[at]])
+
+
 def test_no_positives(spark):
     df = spark.createDataFrame([(i, i / 10, 0) for i in range(8)], "who int, p double, y int")
     rows = bootstrap.ordered_metrics(df, "p", "who", 10).collect()

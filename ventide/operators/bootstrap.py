@@ -12,44 +12,52 @@ A score that very many patients share is summed up in each task first, so it is
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ventide import config as C
 from ventide.functions.quantile import slice_of
-from ventide.session import materialize
+from ventide.session import materialize, spread
 
 # Cumulative probabilities of a Poisson variable with mean 1, as far as they can be told from 1.
 POISSON_CDF = tuple(itertools.takewhile(
     lambda p: p < 1.0, itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(40))))
 
 
-def multiplicity(u: Column) -> Column:
-    """How often a cluster with this uniform draw enters the replicate."""
-    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
-
-
 #: Slices of the ordered pass: from SLICES to MOST_SLICES, so that what the driver holds (slices x
 #: replicates) stays within a few megabytes.
 SLICES, MOST_SLICES, SLICE_ROWS = 64, 1000, 1_000_000
-#: Rows with one score in one batch from which they are added up.
-TIED = 16
+#: Rows of a task that are looked at together, and how many with one score are added up there.
+BUFFER, TIED = 131_072, 4
 BATCH = 4096
 
 
 def weights(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
-    """Each patient once, with an array of its multiplicity in every replicate."""
-    head = lambda rep: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), F.col(cluster).cast("string"))), 1, 12)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                        lambda rep: F.conv(head(rep), 16, 10).cast("double") / F.lit(float(16**12)))
-    return df.select(cluster).distinct().select(cluster, F.transform(draws, lambda u: multiplicity(u).cast("tinyint")).alias("_w"))
+    """Each patient once, with its multiplicity in every replicate: one byte a replicate."""
+    schema = T.StructType([df.schema[cluster], T.StructField("_w", T.BinaryType())])
+    heads = [f"{seed}|{rep}|" for rep in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = []
+            for name in batch.column("_name").to_pylist():
+                digests = b"".join(hashlib.md5((head + name).encode()).digest()[:6] for head in heads)
+                high, low = np.frombuffer(digests, ">u2").reshape(-1, 3).astype(np.float64), 65536.0
+                u = ((high[:, 0] * low + high[:, 1]) * low + high[:, 2]) / 16.0**12
+                drawn.append(np.searchsorted(POISSON_CDF, u, side="right").astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=schema.names)
+
+    known = df.where(F.col(cluster).isNotNull()).select(cluster).distinct()
+    # Hashing is most of the work here, so few patients are dealt to all cores too.
+    return spread(known).select(cluster, F.col(cluster).cast("string").alias("_name")).mapInArrow(run, schema)
 
 
 def interval(draws: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,7 +85,7 @@ def replicate_sums(df: DataFrame, cluster: str, sums: Mapping[str, str], n: int,
             if not batch.num_rows:
                 continue
             group = batch.column("_g").fill_null(-1).to_numpy()
-            w = _matrix(batch.column("_w"), n)
+            w = _draws(batch.column("_w"), n).astype(np.float64)
             values = np.stack([batch.column(c).fill_null(0.0).to_numpy() for c in names])
             for g in np.unique(group):
                 at = group == g
@@ -106,56 +114,83 @@ def band_rates(df: DataFrame, cluster: str, band: str, label: str, n: int = 400,
 
 
 # ------------------------------------------------------------ metrics of ordered scores
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(lists.flatten()).reshape(-1, width).astype(np.float64)
+def _draws(packed: pa.Array, n: int, dtype: type = np.int8) -> np.ndarray:
+    """Packed rows of n numbers as a matrix."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
+    return np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(dtype).reshape(-1, n)
 
 
 def _weighted(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and positives of each row in every replicate, from its draws or from sums made before."""
-    rows, w = batch.num_rows, batch.column("w")
+    w = batch.column("w")
     own = w.is_valid().to_numpy(zero_copy_only=False)
-    out = np.zeros((2, rows, n))
+    out = np.zeros((2, batch.num_rows, n))
     if own.any():
-        draws = _matrix(w.drop_null(), n)
-        out[0, own] = draws * batch.column("n").to_numpy(zero_copy_only=False)[own, None]
-        out[1, own] = draws * batch.column("pos").to_numpy(zero_copy_only=False)[own, None]
+        draws = _draws(w.drop_null(), n)
+        for held, c in zip(out, ("n", "pos")):
+            held[own] = draws * batch.column(c).drop_null().to_numpy()[:, None].astype(np.float64)
     if not own.all():
-        made = _matrix(batch.column("made").drop_null(), 2 * n)
+        made = _draws(batch.column("made").drop_null(), 2 * n, np.int32)
         out[0, ~own], out[1, ~own] = made[:, :n], made[:, n:]
     return out[0], out[1]
 
 
-_ROW = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("pos", T.LongType()),
-                     T.StructField("w", T.ArrayType(T.ByteType())), T.StructField("made", T.ArrayType(T.DoubleType()))])
+_ROW = "p double, n long, pos long, w binary, made binary"
+_ROW_ARROW = pa.schema([("p", pa.float64()), ("n", pa.int64()), ("pos", pa.int64()), ("w", pa.binary()), ("made", pa.binary())])
 
 
-_ROW_ARROW = pa.schema([("p", pa.float64()), ("n", pa.int64()), ("pos", pa.int64()), ("w", pa.list_(pa.int8())),
-                        ("made", pa.list_(pa.float64()))])
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BUFFER:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def _tied(n: int):
-    """Adds up rows of a batch that share their score with many others."""
-    def batch_of(*columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ROW_ARROW)], schema=_ROW_ARROW)
+    """Adds up rows of a buffer that share their score with others. Sums are four bytes a replicate;
+    rows too heavy for that pass as they are."""
+    def summed(score: np.ndarray, counts: np.ndarray, draws: np.ndarray) -> pa.RecordBatch:
+        """Rows in order of their score."""
+        first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        made = np.zeros((len(first), 2 * n), np.int32)
+        for low in range(0, len(score), BATCH):
+            # The scores of a stretch; the first may go on from the stretch before.
+            high = min(low + BATCH, len(score))
+            a, b = np.searchsorted(first, low, "right") - 1, np.searchsorted(first, high, "left")
+            starts = np.maximum(first[a:b], low) - low
+            part = draws[low:high].astype(np.int32)
+            for side in (0, 1):
+                made[a:b, side * n:(side + 1) * n] += np.add.reduceat(part * counts[side, low:high, None], starts, axis=0)
+        none = pa.nulls(len(first), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(score[first]), none, none, pa.nulls(len(first), pa.binary()), pa.array([m.tobytes() for m in made], pa.binary())],
+            schema=_ROW_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            score, of, count = np.unique(p, return_inverse=True, return_counts=True)
-            many = count[of] >= TIED
+        for table in _buffers(batches):
+            p = table.column("p").to_numpy()
+            counts = np.stack([table.column(c).to_numpy() for c in ("n", "pos")])
+            _, of, count = np.unique(p, return_inverse=True, return_counts=True)
+            many = (count[of] >= TIED) & bool(counts[0].sum() < 2**31 // 128)
             if many.any():
-                rows = batch.filter(pa.array(many))
-                hot, at = np.unique(p[many], return_inverse=True)
-                n_of, pos_of = _weighted(rows.append_column("made", pa.nulls(rows.num_rows, pa.list_(pa.float64()))), n)
-                sums = np.zeros((len(hot), 2 * n))
-                np.add.at(sums[:, :n], at, n_of)
-                np.add.at(sums[:, n:], at, pos_of)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hot) + 1) * 2 * n, pa.int32()), pa.array(sums.ravel()))
-                none = pa.nulls(len(hot), pa.int64())
-                yield batch_of(pa.array(hot), none, none, pa.nulls(len(hot), pa.list_(pa.int8())), lists)
-            rest = batch.filter(pa.array(~many))
-            if rest.num_rows:
-                yield batch_of(*(rest.column(c) for c in ("p", "n", "pos", "w")), pa.nulls(rest.num_rows, pa.list_(pa.float64())))
+                order = np.flatnonzero(many)[np.argsort(-p[many], kind="stable")]
+                w = table.column("w").combine_chunks()
+                draws = np.concatenate([_draws(c, n) for c in (w.chunks if isinstance(w, pa.ChunkedArray) else [w])])
+                at = np.flatnonzero(np.concatenate([[True], p[order][1:] != p[order][:-1]])).tolist()
+                step = max(1, len(at) * BATCH * 4 // len(order))  # scores a batch, so that batches stay small
+                for k in range(0, len(at), step):
+                    rows = order[at[k]:at[k + step] if k + step < len(at) else len(order)]
+                    yield summed(p[rows], counts[:, rows].astype(np.int32), draws[rows])
+            for rest in table.filter(pa.array(~many)).to_batches():
+                if rest.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rest.column(c).cast(_ROW_ARROW.field(c).type) for c in ("p", "n", "pos", "w")), pa.nulls(rest.num_rows, pa.binary())],
+                        schema=_ROW_ARROW)
     return run
 
 
@@ -165,7 +200,7 @@ def _slice_totals(sliced: DataFrame, n: int) -> dict[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(low, BATCH) for b in batches for low in range(0, b.num_rows, BATCH)):
             slices = batch.column("slice").to_numpy()
             both = np.stack(_weighted(batch, n))
             for s in np.unique(slices):
@@ -208,14 +243,16 @@ class _Walk:
 
 
 def ordered_metrics(df: DataFrame, score: str, cluster: str, n: int = 200, seed: int = C.SEED,
-                    bins: int = C.RELIABILITY_BINS) -> DataFrame:
+                    bins: int = C.RELIABILITY_BINS, drawn: DataFrame | None = None) -> DataFrame:
     """Average precision, ROC-AUC, Brier score and calibration error (equal-mass bins of the resample) of
-    every replicate: rep, ap, auc, brier, ece. A resample without a positive has nulls for the first two."""
+    every replicate: rep, ap, auc, brier, ece. A resample without a positive has nulls for the first two.
+    `drawn`: the patients' weights, if several scores share them."""
     known = df.where(F.col("y").isNotNull() & F.col(score).isNotNull())
     counts = known.groupBy(cluster, F.col(score).cast("double").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    drawn = counts.join(weights(known, cluster, n, seed), cluster).select("p", "n", "pos", F.col("_w").alias("w"))
-    rows = materialize(drawn.mapInArrow(_tied(n), _ROW))
+    drawn = materialize(weights(known, cluster, n, seed)) if drawn is None else drawn
+    heavy = counts.join(drawn, cluster).select("p", "n", "pos", F.col("_w").alias("w"))
+    rows = materialize(heavy.mapInArrow(_tied(n), _ROW))
     slices = min(MOST_SLICES, max(SLICES, rows.count() // SLICE_ROWS))
     grid = [i / slices for i in range(1, slices)]
     edged = rows.withColumn("_edges", rows.agg(F.percentile_approx("p", grid, 10_000)).scalar())
@@ -285,7 +322,8 @@ def metric_differences(df: DataFrame, a: str, b: str, cluster: str, n: int = 200
     """Interval of metric(a) - metric(b) on the same resampled patients; for losses the difference is
     turned round, so that p_worse is always the chance that a is worse."""
     base = df.where(F.col("y").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
-    left, right = (ordered_metrics(base, c, cluster, n, seed).unpivot(["rep"], list(METRICS), "metric", v)
+    drawn = materialize(weights(base, cluster, n, seed))
+    left, right = (ordered_metrics(base, c, cluster, n, seed, drawn=drawn).unpivot(["rep"], list(METRICS), "metric", v)
                    for c, v in ((a, "_a"), (b, "_b")))
     gain = F.col("_a") - F.col("_b")
     signed = F.when(F.col("metric").isin([m for m, more in METRICS.items() if more]), gain).otherwise(-gain)

@@ -129,10 +129,10 @@ def head_metrics(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def head_replicates(rows: DataFrame, names: Sequence[str], cluster: str, n: int = 200, seed: int = C.SEED) -> DataFrame:
     """head, rep, metric, value: all heads on the same resampled patients, one ordered pass a head."""
-    out = None
+    out, drawn = None, materialize(bootstrap.weights(rows, cluster, n, seed))
     for i, name in enumerate(names):
         one = rows.select(cluster, "y", F.col("scores")[i].alias("p"))
-        found = bootstrap.ordered_metrics(one, "p", cluster, n, seed).unpivot(["rep"], list(bootstrap.METRICS), "metric", "value")
+        found = bootstrap.ordered_metrics(one, "p", cluster, n, seed, drawn=drawn).unpivot(["rep"], list(bootstrap.METRICS), "metric", "value")
         found = found.select(F.lit(name).alias("head"), "rep", "metric", "value")
         out = found if out is None else out.unionByName(found)
     return materialize(out)
