@@ -102,6 +102,22 @@ def test_long_line_of_short_words(spark):
     assert [tuple(r) for r in got] == [(True, False), (False, False), (True, False)]
 
 
+def test_a_document_is_not_gathered_for_its_few_keys(spark):
+    rows = spark.range(20_000).selectExpr(
+        "concat('d', id % 2) AS doc_key", "'guideline' AS role", "id div 40 AS page", "cast(id div 2 % 20 as int) AS line_no",
+        "if(id div 2 % 20 = 0, 'Running Header', sha2(cast(id as string), 256)) AS text", "10.0D AS size", "false AS bold", "'body' AS font")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        kept = corpus.strip_boilerplate(rows)
+        tagged = corpus.tag_headings(kept)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (kept, tagged)]
+        assert kept.count() == 19_000 and tagged.count() == 19_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not any("SortMergeJoin" in plan for plan in plans)
+
+
 def test_duplicates_keep_the_first(spark):
     rows = [("d", p, 0, ["x"], "prose", None, None, t, 3) for p, t in
             [(2, "Same text!"), (1, "same TEXT"), (3, "other")]]
