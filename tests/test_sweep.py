@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ventide.operators import bands, sweep
@@ -110,3 +111,47 @@ def test_sweep_chooses_among_what_can_be_solved(spark, rows):
             assert s["promotions_per_day"] <= s["budget"] < s["rate_just_below"]
     with pytest.raises(ValueError, match="gap"):
         sweep.Latches.of([Dwell(), Dwell(max_gap_min=1.0)], np.array([[0.5]]), np.array([[0.0]]))
+
+
+def test_a_chunk_tells_three_numbers_a_setting_however_many_cuts(spark, rows):
+    for points in (3, 400):
+        latches = sweep.Latches.of(DWELLS, np.linspace(0.01, 0.99, points)[None], np.zeros((len(DWELLS), 1)))
+        edges = sweep._edges(sweep.chunked(frame(spark, rows), DWELLS), latches).where("stay_id IS NOT NULL").collect()
+        assert edges and {len(e["edge"]) for e in edges} == {3 * 4 * len(DWELLS)}
+        assert len({(e["stay_id"], e["chunk"]) for e in edges}) == len(edges)
+
+
+def test_what_a_reading_tells_against_the_definition():
+    rng = random.Random(11)
+    starts, t, p = np.array([0, 40, 41]), [], []
+    for size in (40, 1, 79):
+        now = 28_000_000.0 + rng.random()
+        for _ in range(size):
+            now += rng.choice([1 / 3, 5.0, 30.0, 59.9, 300.0])
+            t.append(now)
+            p.append(rng.choice([rng.random(), 0.5, 0.9, float("nan")] if rng.random() < 0.2 else [0.8, 0.1, rng.random()]))
+    t, p, cuts = np.array(t), np.array(p), np.linspace(0.05, 0.95, 19)[None]
+    latches = sweep.Latches.of(DWELLS, cuts, np.array([[0.0], [0.1], [0.0], [0.3]]))
+    on, off = latches.told(t, p, starts)
+    for i, dwell in enumerate(DWELLS):
+        for j in range(cuts.shape[1]):
+            for k in range(len(t)):
+                begin, ups, up, down = max(s for s in starts if s <= k), 0, None, None
+                for m in range(begin, k + 1):
+                    if m > begin and t[m] - t[m - 1] > latches.max_gap:
+                        ups, up, down = 0, None, None
+                    ups, up = (ups + 1, t[m] if up is None else up) if p[m] > cuts[0, j] else (0, None)
+                    down = (t[m] if down is None else down) if p[m] < latches.floors[i, j] else None
+                switched_on = up is not None and t[k] - up >= dwell.promote_min and ups >= dwell.promote_readings
+                assert (j < on[i, k]) == switched_on
+                assert (j >= off[i, k]) == (down is not None and t[k] - down >= dwell.demote_min)
+
+
+def test_portions_hold_whole_groups(monkeypatch):
+    monkeypatch.setattr(sweep, "PORTION", 7)
+    stay, chunk = [1] * 5 + [1] * 20 + [2] * 2 + [3] * 9, [0] * 5 + [1] * 20 + [1] * 11
+    table = pa.table({"stay_id": stay, "chunk": chunk, "v": list(range(36))})
+    got = list(sweep._portions(iter(table.to_batches(max_chunksize=4)), "stay_id", "chunk"))
+    assert len(got) > 1 and [v for _, rows, _ in got for v in rows["v"].tolist()] == list(range(36))
+    firsts = [int(rows["v"][s]) for starts, rows, _ in got for s in starts]
+    assert firsts == [0, 5, 25, 27]

@@ -1,11 +1,16 @@
 """All hysteresis settings and all cuts of the search in one pass over the readings.
 
 A setting's cuts are solved against promotion budgets on a grid of scores. Each (setting, cut) is a
-latch; thousands of them step side by side as numpy vectors while a task reads the rows of one stay
-and time chunk. A latch is the last trigger seen, and triggers do not depend on it. So a chunk needs
-nothing from the one before but the rows its runs look back on, and tells of every latch: switches
-inside, the first trigger, and the last. Chunks of a stay are then put together in order from these
-few bits, which adds the switches that a chunk's first trigger makes.
+latch, and a setting's latches are nested: a score that has stayed above a cut for long enough has
+stayed above every lower one, and one below a floor is below every higher floor. So a reading tells the
+lowest `on` latches to switch on and those from `off` upwards to switch off, and what is on is always
+the lowest `lit` latches: lit = max(on, min(lit before, off)). Two numbers a reading and setting stand
+for all cuts, and the cuts a reading switches on are one interval.
+
+Triggers do not depend on the latches. So a chunk of a stay needs nothing from the one before but the
+rows its runs look back on, and tells three numbers a setting: how many latches are told on before they
+are told off (`led`), the smallest `off`, and `lit` if nothing was on before. Chunks of a stay are put
+together in order from these, which takes back the switches that had been made before.
 
 Three passes solve three boundaries for every setting (a boundary's floor needs the cut below it).
 One more evaluates every solved machine. Nothing is searched by jobs from the driver.
@@ -29,6 +34,8 @@ from ventide.operators.bands import Dwell, Machine
 from ventide.operators.scan import DAY_SECONDS, with_halo
 from ventide.session import materialize
 
+PORTION = 1 << 14  # rows that a task works on at once, or one chunk if it is longer
+
 
 @dataclass(frozen=True)
 class Latches:
@@ -48,27 +55,103 @@ class Latches:
         if len(gaps) != 1:
             raise ValueError("settings of one sweep share their charting gap")
         column = lambda name: np.array([getattr(d, name) for d in dwells], float)[:, None]
-        return cls(cuts, cuts - column("demote_margin") * (cuts - below), column("promote_min"), column("promote_readings"),
-                   column("demote_min"), gaps.pop())
+        floors = cuts - column("demote_margin") * (cuts - below)
+        if (np.diff(cuts) < 0).any() or (np.diff(floors) < 0).any():
+            raise ValueError("cuts and floors must ascend")
+        return cls(cuts, floors, column("promote_min"), column("promote_readings"), column("demote_min"), gaps.pop())
 
     @property
     def shape(self) -> tuple[int, int]:
         return np.broadcast_shapes(self.cuts.shape, self.floors.shape, self.up_min.shape)
 
-    def triggers(self, t: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each reading in order: latches told to switch on, and off."""
-        up_since, up_count = np.full(self.cuts.shape, np.inf), np.zeros(self.cuts.shape)
-        down_since = np.full(self.floors.shape, np.inf)
-        before = None
-        for now, score in zip(t.tolist(), p.tolist()):
-            if before is not None and now - before > self.max_gap:
-                up_since[...], up_count[...], down_since[...] = np.inf, 0, np.inf
-            above, under = score > self.cuts, score < self.floors
-            up_since = np.where(above, np.minimum(up_since, now), np.inf)
-            up_count = np.where(above, up_count + 1, 0)
-            down_since = np.where(under, np.minimum(down_since, now), np.inf)
-            yield (now - up_since >= self.up_min) & (up_count >= self.up_readings), now - down_since >= self.down_min
-            before = now
+    def told(self, t: np.ndarray, p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Settings x readings: how many of the lowest latches are told to switch on, and from which one
+        up they are told to switch off. `starts`: where each stay and chunk begins."""
+        fresh = np.zeros(len(t), bool)
+        fresh[starts] = True
+        fresh[1:] |= t[1:] - t[:-1] > self.max_gap
+        at = np.arange(len(t))
+        run = np.maximum.accumulate(np.where(fresh, at, 0))  # where the unbroken run of readings began
+        n, settings = self.shape[1], self.shape[0]
+        on, off = np.zeros((settings, len(t)), np.int32), np.full((settings, len(t)), n, np.int32)
+        spans, above, under = {}, {}, {}
+
+        def span(minutes: float, readings: int) -> np.ndarray:
+            """The latest reading a run must reach back to, -1 without one."""
+            if (minutes, readings) not in spans:
+                back = _reach(t, starts, minutes)
+                back = np.minimum(back, at - int(readings) + 1)
+                spans[minutes, readings] = np.where(back >= run, back, -1)
+            return spans[minutes, readings]
+
+        def rows(values: np.ndarray) -> np.ndarray:
+            return np.broadcast_to(values, (settings, values.shape[1]))
+
+        unknown = np.isnan(p)  # neither above a cut nor below a floor
+
+        for i, (cuts, floors) in enumerate(zip(rows(self.cuts), rows(self.floors))):
+            up = (cuts.tobytes(), self.up_min[i, 0], self.up_readings[i, 0])
+            if up not in above:
+                passed = np.where(unknown, 0, np.searchsorted(cuts, p)).astype(np.int32)
+                above[up] = _over_runs(np.minimum, passed, span(*up[1:]), 0)
+            down = (floors.tobytes(), self.down_min[i, 0])
+            if down not in under:
+                under[down] = _over_runs(np.maximum, np.searchsorted(floors, p, side="right").astype(np.int32), span(down[1], 1), n)
+            on[i], off[i] = above[up], under[down]
+        return on, off
+
+
+def _reach(t: np.ndarray, starts: np.ndarray, minutes: float) -> np.ndarray:
+    """Per reading the latest one of its group, itself included, that is at least `minutes` older; -1 without one."""
+    at, begin = np.arange(len(t)), np.repeat(starts, np.diff(np.append(starts, len(t))))
+    since = t - t[begin]
+    clock = since + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t)))) * (since.max(initial=0) + minutes + 1)
+    place = np.minimum(np.searchsorted(clock, clock - minutes, side="right") - 1, at)
+    # The clock of all groups is rounded; the difference decides, as in `bands.step`.
+    while (near := (place < at) & (t - t[np.minimum(np.maximum(place + 1, begin), at)] >= minutes)).any():
+        place[near] = np.maximum(place + 1, begin)[near]
+    while (far := (place >= begin) & (t - t[np.maximum(place, begin)] < minutes)).any():
+        place[far] -= 1
+    return np.where(place >= begin, place, -1)
+
+
+def _over_runs(fold: np.ufunc, values: np.ndarray, back: np.ndarray, none: int) -> np.ndarray:
+    """min or max of the values from `back` to each reading, `none` where there is no such run."""
+    out = np.full(len(values), none, values.dtype)
+    at = np.flatnonzero(back >= 0)
+    low, width, level = back[at], 1, values
+    size = at - low + 1
+    while len(at):
+        now = size < 2 * width  # two overlapping stretches of `width` cover it
+        out[at[now]] = fold(level[low[now]], level[at[now] - width + 1])
+        at, low, size = at[~now], low[~now], size[~now]
+        if len(at):
+            level = fold(level[:-width], level[width:])
+            width *= 2
+    return out
+
+
+def _lit(on: np.ndarray, off: np.ndarray, starts: np.ndarray, lit: np.ndarray) -> np.ndarray:
+    """Latches that are on after every row (columns), from `lit` before each group's first one. Groups
+    step side by side."""
+    out = np.empty_like(on)
+    lengths = np.diff(np.append(starts, on.shape[1]))
+    order = np.argsort(-lengths, kind="stable")
+    first, ascending, lit = starts[order], lengths[order][::-1], lit[:, order]
+    for step in range(int(lengths.max(initial=0))):
+        live = len(ascending) - np.searchsorted(ascending, step, side="right")
+        at = first[:live] + step
+        lit = np.maximum(on[:, at], np.minimum(lit[:, :live], off[:, at]))
+        out[:, at] = lit
+    return out
+
+
+def _before(lit: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Latches that were on at the row before, `first` before a group's first row."""
+    out = np.empty_like(lit)
+    out[:, 1:] = lit[:, :-1]
+    out[:, starts] = first
+    return out
 
 
 def chunked(readings: DataFrame, dwells: Sequence[Dwell], width_s: int = DAY_SECONDS) -> DataFrame:
@@ -86,56 +169,101 @@ def _in_order(chunks: DataFrame) -> DataFrame:
     return chunks.repartition("stay_id", "chunk").sortWithinPartitions("stay_id", "chunk", "t")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    """Rows of one stay and chunk after the other, across batches."""
-    held: list[pa.RecordBatch] = []
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
 
-    def joined() -> tuple[int, int, dict[str, np.ndarray]]:
-        table = pa.Table.from_batches(held)
-        columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("stay_id", "chunk")}
-        return table.column("stay_id")[0].as_py(), table.column("chunk")[0].as_py(), columns
 
+def _portions(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray], pa.Table]]:
+    """About PORTION rows of whole groups at a time: where each group begins, the columns as arrays, the rows."""
+    def opened(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        table = table.combine_chunks()
+        return _changes(*(table.column(k).to_numpy() for k in keys)), table
+
+    def portion(starts: np.ndarray, table: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Table]:
+        plain = [c for c in table.column_names if not pa.types.is_binary(table.schema.field(c).type)]
+        return starts, {c: table.column(c).to_numpy() for c in plain}, table
+
+    held: list[pa.RecordBatch] = []
+    count, enough = 0, PORTION
     for batch in batches:
         if not batch.num_rows:
             continue
-        stay, chunk = batch.column("stay_id").to_numpy(), batch.column("chunk").to_numpy()
-        starts = [0, *(np.flatnonzero((stay[1:] != stay[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(stay)]
-        for low, high in zip(starts, starts[1:]):
-            part = batch.slice(low, high - low)
-            if held and (held[0].column("stay_id")[0], held[0].column("chunk")[0]) != (part.column("stay_id")[0], part.column("chunk")[0]):
-                yield joined()
-                held = []
-            held.append(part)
+        held.append(batch)
+        count += batch.num_rows
+        if count < enough:
+            continue
+        starts, table = opened(pa.Table.from_batches(held))
+        last = int(starts[-1])
+        if last:
+            yield portion(starts[:-1], table.slice(0, last))
+        held = table.slice(last).to_batches()
+        count = table.num_rows - last
+        enough = max(PORTION, 2 * count)  # one long group is not looked through again with every batch
     if held:
-        yield joined()
+        yield portion(*opened(pa.Table.from_batches(held)))
 
 
 _EDGES = "stay_id long, chunk long, edge binary, total array<long>"
+_EDGE_NAMES = [c.split()[0] for c in _EDGES.split(", ")]
+
+
+def _edge_rows(stay: np.ndarray, chunk: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+    """One row per stay and chunk; `edge`: three numbers x settings x chunks."""
+    edge = np.ascontiguousarray(np.moveaxis(edge, -1, 0).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(stay), pa.array(chunk), pa.array([e.tobytes() for e in edge], pa.binary()),
+         pa.nulls(len(stay), pa.list_(pa.int64()))], names=_EDGE_NAMES)
 
 
-def _edge_row(stay: int | None, chunk: int | None, edge: bytes | None, total: np.ndarray | None) -> pa.RecordBatch:
+def _total_row(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([stay], pa.int64()), pa.array([chunk], pa.int64()), pa.array([edge], pa.binary()),
-         pa.array([None if total is None else total.ravel().tolist()], pa.list_(pa.int64()))],
-        names=["stay_id", "chunk", "edge", "total"])
+        [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+         pa.array([total.ravel().tolist()], pa.list_(pa.int64()))], names=_EDGE_NAMES)
+
+
+def _between(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Settings x cuts: how many of a setting's intervals [low, high) hold each cut."""
+    steps = np.zeros((len(low), n + 1), np.int64)
+    some = low < high
+    for step, lows, highs, pick in zip(steps, low, high, some):
+        step += np.bincount(lows[pick], minlength=n + 1) - np.bincount(highs[pick], minlength=n + 1)
+    return steps.cumsum(1)[:, :n]
+
+
+def _own(latches: Latches, starts: np.ndarray, rows: dict[str, np.ndarray]
+         ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the chunks' own rows are told, where these rows are and where each chunk begins among them."""
+    on, off = latches.told(rows["t"], rows["p"], starts)
+    own = np.flatnonzero(rows["own"])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows["t"]))))[own]
+    return on[:, own], off[:, own], own, group
 
 
 def _edges(chunks: DataFrame, latches: Latches) -> DataFrame:
-    """Per chunk three bits a latch (first trigger is on; any trigger; last trigger is on), and per
-    task the switches inside its chunks."""
+    """Per chunk and setting `led`, the smallest `off` and the last `lit`; and per task the switches inside
+    its chunks, counted as if nothing was on before."""
+    n = latches.shape[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(latches.shape, np.int64)
-        for stay, chunk, rows in _groups(batches):
-            first, known, last = (np.zeros(latches.shape, bool) for _ in range(3))
-            for own, (on, off) in zip(rows["own"].tolist(), latches.triggers(rows["t"], rows["p"])):
-                if not own:
-                    continue
-                total += on & known & ~last
-                first |= on & ~known
-                known |= on | off
-                last = (last & ~off) | on
-            yield _edge_row(stay, chunk, np.packbits([first, known, last]).tobytes(), None)
-        yield _edge_row(None, None, None, total)
+        for starts, rows, _ in _portions(batches, "stay_id", "chunk"):
+            on, off, own, group = _own(latches, starts, rows)
+            if not len(own):  # chunks of copies only
+                continue
+            first = _changes(group)
+            none = np.zeros((len(on), len(first)), on.dtype)
+            lit = _lit(on, off, first, none)
+            total += _between(_before(lit, first, none), on, n)
+            # Running minimum of `off` in every chunk: later chunks lie below all values of earlier ones.
+            shift = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own)))) * (n + 1)
+            least = np.minimum.accumulate(off - shift, axis=1) + shift
+            led = np.maximum.reduceat(np.minimum(on, _before(least, first, np.full_like(none, n))), first, axis=1)
+            last = np.append(first[1:], len(own)) - 1
+            yield _edge_rows(rows["stay_id"][own[first]], rows["chunk"][own[first]],
+                             np.stack([led, least[:, last], lit[:, last]]))
+        yield _total_row(total)
 
     return materialize(_in_order(chunks).mapInArrow(run, _EDGES))
 
@@ -145,8 +273,12 @@ def _by_stay(edges: DataFrame) -> DataFrame:
     return told.repartition("stay_id").sortWithinPartitions("stay_id", "chunk")
 
 
-def _bits(edge: bytes, shape: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    return tuple(np.unpackbits(np.frombuffer(edge, np.uint8))[:3 * shape[0] * shape[1]].reshape(3, *shape).astype(bool))
+def _carried(table: pa.Table, starts: np.ndarray, settings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Settings x chunks: what was on before each chunk, and `led`."""
+    edge = np.stack([np.frombuffer(e, np.int32) for e in table.column("edge").to_pylist()], -1)
+    led, least, last = edge.reshape(3, settings, -1)
+    none = np.zeros((settings, len(starts)), led.dtype)
+    return _before(_lit(last, least, starts, none), starts, none), led
 
 
 def promotions(chunks: DataFrame, latches: Latches) -> np.ndarray:
@@ -154,15 +286,11 @@ def promotions(chunks: DataFrame, latches: Latches) -> np.ndarray:
     edges, shape = _edges(chunks, latches), latches.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, stay, on = np.zeros(shape, np.int64), None, None
-        for batch in batches:
-            for here, edge in zip(batch.column("stay_id").to_pylist(), batch.column("edge").to_pylist()):
-                first, known, last = _bits(edge, shape)
-                if here != stay:
-                    stay, on = here, np.zeros(shape, bool)
-                total += first & ~on
-                on = np.where(known, last, on)
-        yield _edge_row(None, None, None, total)
+        total = np.zeros(shape, np.int64)
+        for starts, _, table in _portions(batches, "stay_id"):
+            before, led = _carried(table, starts, shape[0])
+            total -= _between(np.zeros_like(led), np.minimum(before, led), shape[1])  # these were on already
+        yield _total_row(total)
 
     both = edges.where("stay_id IS NULL").unionByName(_by_stay(edges).mapInArrow(run, _EDGES))
     sums = both.select(F.posexplode("total").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # one a latch
@@ -234,18 +362,13 @@ def evaluate(readings: DataFrame, chunks: DataFrame, machines: Sequence[Machine]
     edges = _edges(chunks, latches)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stay, on = None, None
-        for batch in batches:
-            begins, opened = [], []
-            for here, edge in zip(batch.column("stay_id").to_pylist(), batch.column("edge").to_pylist()):
-                opened.append(here != stay)
-                if here != stay:
-                    stay, on = here, np.zeros(shape, bool)
-                begins.append(np.packbits(on).tobytes())
-                _, known, last = _bits(edge, shape)
-                on = np.where(known, last, on)
-            yield pa.RecordBatch.from_arrays([batch.column("stay_id"), batch.column("chunk"), pa.array(begins, pa.binary()),
-                                              pa.array(opened, pa.bool_())], names=["stay_id", "chunk", "begins", "opens"])
+        for starts, rows, table in _portions(batches, "stay_id"):
+            before, _ = _carried(table, starts, shape[0])
+            opens = np.zeros(before.shape[1], bool)
+            opens[starts] = True
+            begins = [b.tobytes() for b in np.ascontiguousarray(before.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["stay_id"]), pa.array(rows["chunk"]), pa.array(begins, pa.binary()),
+                                              pa.array(opens)], names=["stay_id", "chunk", "begins", "opens"])
 
     begun = _by_stay(edges).mapInArrow(carry, "stay_id long, chunk long, begins binary, opens boolean")
     layout = "setting int, stay_id long, raw double, shown double, flips long, positives long, caught long"
@@ -253,31 +376,32 @@ def evaluate(readings: DataFrame, chunks: DataFrame, machines: Sequence[Machine]
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = shape[0]
         flips, caught, positives = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        none = pa.nulls(n, pa.int64())
-        for stay, _, rows in _groups(batches):
-            on = np.unpackbits(np.frombuffer(rows["begins"][0], np.uint8))[:shape[0] * shape[1]].reshape(shape).astype(bool)
-            before = None if rows["opens"][0] else on.sum(1)
-            raw, shown = np.full(n, np.inf), np.full(n, np.inf)
-            steps = latches.triggers(rows["t"], rows["p"])
-            for own, t, p, y, (up, down) in zip(rows["own"].tolist(), rows["t"].tolist(), rows["p"].tolist(), rows["y"].tolist(), steps):
-                if not own:
-                    continue
-                on = (on & ~down) | up
-                level = on.sum(1)
-                if before is not None:
-                    flips += level != before
-                before = level
-                if y == 1:
-                    positives += 1
-                    caught += level >= high
-                raw = np.where((p > cuts).sum(1) >= high, np.minimum(raw, t), raw)
-                shown = np.where(level >= high, np.minimum(shown, t), shown)
-            at = np.flatnonzero(np.isfinite(raw) | np.isfinite(shown))
-            if len(at):
-                pick = lambda x: pa.array(x[at], mask=~np.isfinite(x[at]))
+        for starts, rows, table in _portions(batches, "stay_id", "chunk"):
+            on, off, own, group = _own(latches, starts, rows)
+            if not len(own):
+                continue
+            first = _changes(group)
+            head = own[first]
+            begins = table.column("begins").take(pa.array(head)).to_pylist()
+            begins = np.stack([np.frombuffer(b, np.int32) for b in begins], -1)
+            level = _lit(on, off, first, begins)
+            changed = level != _before(level, first, begins)
+            changed[:, first[rows["opens"][head]]] = False  # a stay's first reading changes nothing
+            flips += changed.sum(1)
+            positive = rows["y"][own] == 1
+            positives += int(positive.sum())
+            caught += (level[:, positive] >= high).sum(1)
+            t, p = rows["t"][own], rows["p"][own]
+            # More cuts than `high` - 1 lie below the score: always, if no cut has to.
+            instant = (p > cuts[:, high - 1:high]) if high > 0 else np.ones(level.shape, bool)
+            raw, shown = (np.minimum.reduceat(np.where(x, t, np.inf), first, axis=1) for x in (instant, level >= high))
+            setting, chunk = np.nonzero(np.isfinite(raw) | np.isfinite(shown))
+            if len(setting):
+                pick = lambda x: pa.array(x[setting, chunk], mask=~np.isfinite(x[setting, chunk]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), stay)), pick(raw), pick(shown),
-                     none[:len(at)], none[:len(at)], none[:len(at)]], names=names)
+                    [pa.array(setting.astype(np.int32)), pa.array(rows["stay_id"][head][chunk]), pick(raw), pick(shown),
+                     *[pa.nulls(len(setting), pa.int64())] * 3], names=names)
+        none = pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(n, dtype=np.int32)), none, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array(flips),
              pa.array(np.full(n, positives)), pa.array(caught)], names=names)
