@@ -112,6 +112,25 @@ def test_band_processor_state_is_json():
     assert (out["displayed"], out["readings_in_state"]) == ("HIGH", 2)
 
 
+def test_processor_steps_through_rows_without_a_frame_per_stay():
+    from pyspark.sql import Row
+    kept = []
+
+    class Store:
+        exists = staticmethod(lambda: bool(kept))
+        get = staticmethod(lambda: kept[-1])
+        update = staticmethod(kept.append)
+
+    m = P.BandProcessor(Machine((0.3, 0.5, 0.7), Dwell(0.0, 1, 0.0, 0.0)))
+    m._store = Store
+    us = lambda minute: 1_704_067_200_000_000 + minute * 60_000_000
+    rows = [Row(stay_id=1, charttime=us(5), p=None), Row(stay_id=1, charttime=us(0), p=0.6)]
+    out = list(m.handleInputRows((1,), iter(rows), None))
+    assert [(r.charttime, r.displayed, r.instant) for r in out] == [(us(0), "HIGH", "HIGH"), (us(5), "HIGH", "LOW")]
+    late = list(m.handleInputRows((1,), iter([Row(stay_id=1, charttime=us(3), p=0.6)]), None))
+    assert [r.rejected for r in late] == ["reading out of order"] and len(kept) == 2
+
+
 def test_schema_text():
     assert schema("a int, b string").simpleString() == "struct<a:int,b:string>"
 

@@ -14,7 +14,8 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,15 +45,35 @@ BAND_SCHEMA = schema(
     "stay_id int, charttime timestamp, rejected string, instant string, displayed string,"
     " band_state string, readings_in_state bigint")
 
+INSTANTS = ("charttime", "vent_start", "endtime")
+NUMBERS = (*C.PARAMS, "rate", "p")
+
 
 def _minutes(t: pd.Timestamp) -> float:
     return t.value / 60e9
 
 
+def _opened(row: Row) -> dict:
+    """A row as the steps read it: instants, and no number as NaN."""
+    out = row.asDict()
+    for name in INSTANTS:
+        if out.get(name) is not None:
+            out[name] = pd.Timestamp(out[name], unit="us")
+    for name in NUMBERS:
+        if name in out and out[name] is None:
+            out[name] = math.nan
+    return out
+
+
 class _Snapshot(StatefulProcessor):
-    """Loads a stay's snapshot, steps through its rows in time order, stores it again."""
+    """Loads a stay's snapshot, steps through its rows in time order, stores it again.
+
+    Rows come and go one by one, not as a small frame per stay, which costs more than the steps. Instants
+    travel as microseconds, so that no worker's clock zone touches them.
+    """
 
     fresh: dict = {}
+    output: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._store = handle.getValueState("stay", STATE)
@@ -60,16 +81,16 @@ class _Snapshot(StatefulProcessor):
     def step(self, state: dict, row: dict) -> dict | None:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows))
-        order = ["charttime", *(["is_reading"] if "is_reading" in batch else [])]
-        batch = batch.sort_values(order, ascending=[True, False][: len(order)], kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted(map(_opened, rows), key=lambda row: (row["charttime"], not row.get("is_reading", True)))
         state = json.loads(self._store.get()[0]) if self._store.exists() else copy.deepcopy(self.fresh)
-        out = [self.step(state, row) for row in batch.to_dict("records")]
+        out = [self.step(state, row) for row in batch]
         self._store.update((json.dumps(state),))
-        emitted = [row for row in out if row is not None]
-        if emitted:
-            yield pd.DataFrame(emitted)
+        made = Row(*self.output.fieldNames())
+        for row in out:
+            if row is not None:
+                row["charttime"] = row["charttime"].value // 1000
+                yield made(*[row[name] for name in self.output.fieldNames()])
 
     def close(self) -> None:
         pass
@@ -168,6 +189,8 @@ class RowProcessor(FeatureProcessor):
 class BandProcessor(_Snapshot):
     """Displayed band of each scored reading."""
 
+    output = BAND_SCHEMA
+
     def __init__(self, machine: bands.Machine) -> None:
         self._machine = machine
         self.fresh = {"latches": [list(bands.FRESH) for _ in machine.cuts], "last": None,
@@ -196,26 +219,28 @@ class BandProcessor(_Snapshot):
                        "band_state": kind, "readings_in_state": state["count"]}
 
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, output: T.StructType) -> DataFrame:
+def _stateful(stream: DataFrame, processor: _Snapshot) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return stream.groupBy("stay_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=output, outputMode="Append",
-        timeMode="None")
+    ticks = stream.withColumns({c: F.unix_micros(c) for c in INSTANTS if c in stream.columns})
+    layout = T.StructType([T.StructField(f.name, T.LongType() if f.name in INSTANTS else f.dataType) for f in processor.output])
+    told = ticks.groupBy("stay_id").transformWithState(
+        statefulProcessor=processor, outputStructType=layout, outputMode="Append", timeMode="None")
+    return told.withColumn("charttime", F.timestamp_micros("charttime"))
 
 
 def feature_stream(stream: DataFrame, reference: dict[str, float | None]) -> DataFrame:
     """Feature rows of a stream with READING_SCHEMA."""
-    return _stateful(stream, FeatureProcessor(reference), FEATURE_SCHEMA)
+    return _stateful(stream, FeatureProcessor(reference))
 
 
 def row_stream(stream: DataFrame, reference: dict[str, float | None]) -> DataFrame:
     """Feature rows with drug state of a stream with CHART_SCHEMA."""
-    return _stateful(stream, RowProcessor(reference), ROW_SCHEMA)
+    return _stateful(stream, RowProcessor(reference))
 
 
 def band_stream(stream: DataFrame, machine: bands.Machine) -> DataFrame:
     """Band views of a stream with SCORE_SCHEMA."""
-    return _stateful(stream, BandProcessor(machine), BAND_SCHEMA)
+    return _stateful(stream, BandProcessor(machine))
 
 
 def read_stream(spark: SparkSession, path: str, layout: T.StructType, files: int = 64) -> DataFrame:
