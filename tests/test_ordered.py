@@ -137,3 +137,20 @@ def test_cumulate_both_directions(spark):
         for r in sorted(rows, key=lambda r: -r.v if down else r.v):
             total += r.n
             assert r.run == total
+
+
+def test_balanced_sample_takes_the_first_draws_of_each_class(spark, monkeypatch):
+    from ventide.operators import split
+    rows = [(i // 2 if i % 7 == 0 else i, int(i % 3 == 0) if i % 11 else (None if i % 2 else 2)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, y int").repartition(3)
+    u = {r.id: r.u for r in df.select("id", split.draw_fraction(split.C.SEED, "id").alias("u")).collect()}
+    monkeypatch.setattr(split, "cumulate", None)  # no class is put in order as a whole
+    for bins, total in ((1 << 16, None), (4, None), (1, 101), (64, 0), (2, 10_000)):
+        monkeypatch.setattr(split, "BINS", bins)
+        of = {y: sorted(((u[i], i) for i, z in rows if z == y)) for y in (0, 1, 2)}
+        take = min(len(of[0]), len(of[1]), *([] if total is None else [total // 2]))
+        want = []
+        for y, drawn in of.items():  # equal draws stay together, and go if not all of them fit
+            want += [(i, y) for v, i in drawn if sum(w <= v for w, _ in drawn) <= take]
+        got = split.balanced_sample(df, "y", ["id"], total)
+        assert got.columns == ["id", "y"] and sorted(tuple(r) for r in got.collect()) == sorted(want)
