@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventide.llm import bpe, forest, langid, mixing, suffix
-from ventide.llm.tables import free_name, ready, stored, table
+from ventide.llm.tables import free_name, ready, settled, stored, table
 
 #: A document of no language, or of one less certain than this, goes. Chance is 0.25 with four.
 LEAST_SCORE = 0.3
@@ -34,8 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ready(spark)
     mark = free_name(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    told = forest.classify(marked.select("doc_id", "text", mark), carry=(mark,)).where("kept")
-    told = stored(told.groupBy("doc_id", mark).agg(F.count("*").alias("n")), "kept")
+
+    def representatives() -> DataFrame:
+        told = forest.classify(marked.select("doc_id", "text", mark), carry=(mark,)).where("kept")
+        return told.groupBy("doc_id", mark).agg(F.count("*").alias("n"))
+
+    told = settled(representatives, "kept")
     same = marked["doc_id"].eqNullSafe(told["doc_id"]) & (marked[mark] == told[mark])
     kept = marked.join(told.where("doc_id IS NULL OR n = 1"), same, "left_semi")
     again = told.where("doc_id IS NOT NULL AND n > 1")

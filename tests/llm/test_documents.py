@@ -422,3 +422,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path, reference):
         ids = reference.encode_ordinary(third[r["doc_id"]])
         assert r["ids"] == ids and r["n_tokens"] == len(ids)
         assert r["decoded_sha256"] == hashlib.sha256(third[r["doc_id"]].encode()).hexdigest()
+
+
+def test_tables_on_the_way_do_not_stay(spark, tmp_path, monkeypatch):
+    from ventide.llm import suffix, tables
+    monkeypatch.setattr(tables, "shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    long = "a passage that comes twice and is longer than any hundred bytes that are looked at, word after word, to the end. "
+    docs = spark.createDataFrame([(1, long + "one"), (2, "two " + long), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: bytes(r.kept_bytes) for r in suffix.cut(docs).collect()}
+    assert rows[1] == (long + "one").encode() and len(rows[2]) < 20 and rows[3] == b""
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["repeated-keys", "spans"]
+    assert not tables._ON_THE_WAY

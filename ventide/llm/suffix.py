@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ventide.llm import arrays as A
-from ventide.llm.tables import free_name, stored
+from ventide.llm.tables import free_name, settled, stored
 
 LENGTH, GRAM, BUCKET = 100, 32, 1000
 SEGMENT = 1 << 22  # window starts that are hashed at once
@@ -331,7 +331,7 @@ def cut(docs: DataFrame, *, key: str = "doc_id", text: str = "text", drop: tuple
     inner = {c: free_name(docs, f"x{i}_") for i, c in enumerate(docs.columns) if c in ("_key", "_copy", "_text", "spans")}
     named = _named(docs.withColumnsRenamed(inner), inner.get(key, key), inner.get(text, text))
     keep = [inner.get(c, c) for c in docs.columns if c.lower() not in gone]
-    spans = stored(repeats(named), "spans")
+    spans = settled(lambda: repeats(named), "spans")
     needed = [*dict.fromkeys([*keep, "_key", "_copy", "_text"])]
     source = named.select(*needed).join(spans, ["_key", "_copy"], "left")
     span = T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from ventide.sources.testdata import table  # noqa: F401
 # worker's memory.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
+# Paths written inside each `settled` that is under way, innermost last.
+_ON_THE_WAY: list[list[str]] = []
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Apply the settings that the operators rely on."""
@@ -38,12 +42,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark, name)}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
+    if _ON_THE_WAY:
+        _ON_THE_WAY[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def settled(compute: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`stored` of what `compute` returns. The tables that it stored on its way are deleted once the result
+    is written, so that no later step carries them along; nothing else may read them."""
+    _ON_THE_WAY.append([])
+    try:
+        out = stored(compute(), name)
+    finally:
+        passed = _ON_THE_WAY.pop()
+    last = passed.pop()  # the result itself
+    if _ON_THE_WAY:
+        _ON_THE_WAY[-1].append(last)
+    spark = out.sparkSession
+    for path in passed:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that `df` does not use yet (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
