@@ -145,6 +145,12 @@ def column_health(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
+def filled_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Filled values per column, one row each, from one pass that only counts."""
+    columns = list(columns)
+    return df.agg(*[F.count(c).alias(c) for c in columns]).unpivot([], columns, "column", "filled")
+
+
 def category_levels(df: DataFrame, columns: Iterable[str] = CATEGORICAL) -> DataFrame:
     """Distinct levels per categorical column: what a serving model must be told to expect."""
     present = [c for c in columns if c in df.columns]

@@ -99,22 +99,31 @@ def clean_code(code: Column, strip_dots: bool = False) -> Column:
 def category_flags(diagnoses: DataFrame, strip_dots: bool = False) -> DataFrame:
     """One row per admission with a 0/1 column per category.
 
-    Every code is cut to the prefix lengths in use, so the match is a hash join with the
-    few hundred table rows and not a scan over a list of patterns.
+    Every code is cut to each prefix length in use, so a match is a hash join with the few hundred
+    table rows and not a scan over a list of patterns. The categories of a prefix are bits of one
+    number: a code stays one row, and an admission adds up one number.
     """
-    table = prefix_table(diagnoses.sparkSession)
-    lengths = sorted({len(p) for _, p, _ in prefixes()})
+    bits = F.create_map(*[x for i, n in enumerate(NAMES) for x in (F.lit(n), F.lit(1 << i).cast("long"))])
+    table = prefix_table(diagnoses.sparkSession).groupBy("icd_version", "prefix").agg(
+        F.bit_or(bits[F.col("category")]).alias("_bits"))
     code = clean_code(F.col("icd_code"), strip_dots)
-    cut = F.array(*[F.when(F.length(code) >= n, F.left(code, F.lit(n))) for n in lengths])
-    # The table has a few hundred rows, fixed by configuration. Codes that match nothing keep
-    # their admission, with zeros.
-    pieces = diagnoses.select(
-        "hadm_id", "icd_version", F.explode_outer(F.array_compact(cut)).alias("prefix")
-    )
-    matched = pieces.join(F.broadcast(table), ["icd_version", "prefix"], "left")
-    return matched.groupBy("hadm_id").agg(
-        *[F.max(F.when(F.col("category") == n, 1).otherwise(0)).alias(f"cci_{n}") for n in NAMES]
-    )
+    found = diagnoses.select("hadm_id", "icd_version", code.alias("_code"))
+    marks = []
+    for n in sorted({len(p) for _, p, _ in prefixes()}):
+        # The table has a few hundred rows, fixed by configuration. Codes that match nothing keep
+        # their admission, with zeros.
+        cut = table.where(F.length("prefix") == n).select(
+            "icd_version", F.col("prefix").alias(f"_cut{n}"), F.col("_bits").alias(f"_bits{n}"))
+        found = found.withColumn(f"_cut{n}", F.left("_code", F.lit(n))).join(
+            F.broadcast(cut), ["icd_version", f"_cut{n}"], "left").drop(f"_cut{n}")
+        marks.append(F.coalesce(f"_bits{n}", F.lit(0)))
+    mark = marks[0]
+    for other in marks[1:]:
+        mark = mark.bitwiseOR(other)
+    per_admission = found.groupBy("hadm_id").agg(F.bit_or(mark).alias("_bits"))
+    return per_admission.select("hadm_id", *[
+        F.col("_bits").bitwiseAND(F.lit(1 << i)).cast("boolean").cast("int").alias(f"cci_{n}")
+        for i, n in enumerate(NAMES)])
 
 
 def version_counts(diagnoses: DataFrame) -> DataFrame:

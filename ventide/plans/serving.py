@@ -91,13 +91,18 @@ class Matrix:
     def drugs(self) -> DataFrame:
         return materialize(interventions.interventions(self.readings, self.infusions, self.modes))
 
+    @cached_property
+    def planned(self) -> DataFrame:
+        """The matrix before it is written, for those who read it once."""
+        return assemble.assemble(self.carried, self.drugs, self.static, self.folds, self.settings.flags)
+
     @cached_property
     def matrix(self) -> DataFrame:
-        return materialize(assemble.assemble(self.carried, self.drugs, self.static, self.folds, self.settings.flags))
+        return materialize(self.planned)
 
     @cached_property
     def manifest(self) -> dict:
-        return assemble.manifest(self.matrix, self.drugs, self.static, self.settings)
+        return assemble.manifest(self.planned, self.drugs, self.static, self.settings)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -138,15 +143,14 @@ def q_feature_manifest(spark, sf):
     m = Matrix(spark, sf)
     rows = [(f, *assemble.feature_kind(f, m.manifest), f in m.manifest["categorical"])
             for f in m.manifest["sets"]["full"]]
-    filled = assemble.column_health(m.matrix, m.manifest["sets"]["full"]).select(
-        F.col("column").alias("feature"), "filled")
+    filled = assemble.filled_counts(m.planned, m.manifest["sets"]["full"]).withColumnRenamed("column", "feature")
     kinds = spark.createDataFrame(rows, "feature string, kind string, source string, categorical boolean")
     return kinds.join(filled, "feature")
 
 
 def q_matrix_guards(spark, sf):
     m = Matrix(spark, sf)
-    return assemble.guards(m.matrix, m.readings, m.labels)
+    return assemble.guards(m.planned, m.readings, m.labels)
 
 
 def charted(m: Matrix) -> DataFrame:
