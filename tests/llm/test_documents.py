@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -73,6 +74,37 @@ def test_tokens_of_random_strings(reference):
         assert bpe.decode_ids(PATH, rows[:, 0].tolist()) == text.encode()
 
 
+def test_matches_are_kept_not_the_chunks_they_stand_in(reference):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(60)]
+    text = " ".join(f"{a}.{b}" for a in words for b in words)
+    codec = bpe.Codec(PATH, PATTERN)
+    assert codec.encode(text).tolist() == reference.encode_ordinary(text)
+    assert len(codec.known) <= 2 * len(words) + 1  # with a blank and without, and the dot
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 1}, {"BLOCK": 40, "KEPT": 30}, {"KEPT": 0, "LONGEST": 2}])
+def test_tokens_of_columns(reference, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(bpe, name, value)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    parts = ["a", "the", " ", " ", " ", "  ", " x", "é", "à", "…", "”", "は", "、", "中文", "'s", "\U0001f600", "12", "\x00", "\u180e", "\u200b", *spaces]
+    rng, codec = random.Random(5), bpe.Codec(PATH, PATTERN)
+    texts = [None, "", " ", None, *("".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(1500)), "", "a" * 99]
+    for column in (pa.array(texts, pa.string())[2:], pa.array(texts, pa.large_string()), pa.array([None, ""], pa.string()),
+                   pa.array([], pa.string())):
+        want = [reference.encode_ordinary(text or "") for text in column.to_pylist()]
+        ids, sizes = codec.encode_all(column)
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+        rows, sizes = codec.encode_all(column, True)
+        assert rows[:, 0].tolist() == ids.tolist() and sizes.tolist() == [len(w) for w in want]
+        begin = 0
+        for text, size in zip(column.to_pylist(), sizes.tolist()):
+            spans = rows[begin:begin + size, 1:].tolist()
+            assert {i for a, b in spans for i in range(a, b)} == set(range(len(text or ""))) and spans == sorted(spans)
+            assert all(a < b for a, b in spans)
+            begin += size
+
+
 def test_token_offsets_cover_split_characters(spark):
     df = cases.frame(ready(spark), [(1, "ab \U0001f9ff cd", "x", "y", 1)], clash=True)
     row = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH).first()

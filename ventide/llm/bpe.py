@@ -6,10 +6,11 @@ of known parts that makes a known whole is a merge, ordered by the whole's rank.
 in tasks, one Arrow batch after the other, without special tokens.
 
 Texts are cut before each blank that stands between two visible characters. The split pattern never
-matches across such a place, so chunks encode as the whole would, an encoding never spans more than
-a chunk, and a chunk that returns is not encoded again. Offsets count code points of the whole text: a token that holds only part of a
-character's bytes covers that character. Decoding reverses the byte table, so characters that
-tokens split come together again from their bytes.
+matches across such a place, so chunks encode as the whole would, and an encoding never spans more
+than a chunk. The chunks of two megabytes are numbered by Arrow, so that only distinct ones are
+split and only matches that are not kept from before are encoded. Offsets count code points of the
+whole text: a token that holds only part of a character's bytes covers that character. Decoding
+reverses the byte table, so characters that tokens split come together again from their bytes.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; rows are independent, so
 repeated rows and keys stay as they are; an empty table gives an empty result; clashing columns
@@ -23,7 +24,6 @@ import base64
 import functools
 import itertools
 import os
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Chunks whose tokens a worker keeps; a longer list is dropped and begun anew.
-KEPT = 150_000
+# Matches whose tokens a worker keeps; a longer list is dropped and begun anew. Longer matches are not kept.
+KEPT, LONGEST = 150_000, 64
+# Bytes of text that are taken apart at once, or one chunk.
+BLOCK = 1 << 21
 # Numbers that are turned into bytes at once.
 DECODED = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
-_MORE_SPACE = re.compile(r" \s|\s ")
+# By last byte: characters beyond ASCII that are, or may be, white space. Two bytes from C2; three from E1 to E3.
+_SPACE_OF_TWO = np.isin(np.arange(256), [0x85, 0xA0])
+_SPACE_OF_THREE = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x8E, 0x9F, 0xA8, 0xA9, 0xAF])
 
 
 def byte_table() -> list[str]:
@@ -73,7 +76,7 @@ class Codec:
     """A tokenizers encoder for one rank file.
 
     The split pattern is matched first, and the library encodes each distinct match once; what it
-    gave for a chunk is kept, up to KEPT chunks.
+    gave for a match is kept, up to KEPT of them.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -89,55 +92,138 @@ class Codec:
             cache_capacity=0,
         ))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = dict(enumerate(table))
         self.pattern = regex.compile(pattern)
         # Numbers (and begins and ends) as int32 bytes: small, and nothing for the garbage collector.
         self.known: dict[str, bytes] = {}
         self.places: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str], offsets: bool) -> None:
-        """Encode the chunks that are not known yet; each distinct match in them once."""
-        known = self.places if offsets else self.known
-        new = list(chunks.difference(known))
+    def _learn(self, pieces: Sequence[str], offsets: bool) -> list[bytes]:
+        """The tokens of each match; those not known yet are encoded, each once."""
+        known, wanted = self.places if offsets else self.known, set(pieces)
+        new = list(wanted.difference(known))
         if len(known) + len(new) > KEPT:  # only what is needed now stays
-            kept = {chunk: known[chunk] for chunk in chunks.intersection(known)}
+            kept = {piece: known[piece] for piece in wanted.intersection(known)}
             known.clear()
             known.update(kept)
-        batch = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        for low in range(0, len(new), 5000):
-            part = new[low:low + 5000]
-            found = [self.pattern.findall(chunk) for chunk in part]
-            distinct = list(set(itertools.chain.from_iterable(found)))
-            got = dict(zip(distinct, batch(distinct, add_special_tokens=False)))
-            if not offsets:
-                ids = {piece: array.array("i", x.ids).tobytes() for piece, x in got.items()}
-                for chunk, matches in zip(part, found):
-                    known[chunk] = b"".join(map(ids.__getitem__, matches))
-                continue
-            for chunk, matches in zip(part, found):
-                at, out = 0, []
-                for m in matches:
-                    out += [(i, a + at, b + at) for i, (a, b) in zip(got[m].ids, got[m].offsets)]
-                    at += len(m)
-                known[chunk] = np.array(out, np.int32).tobytes()
-
-    def encode_all(self, texts: Sequence[str], offsets: bool = False) -> list[np.ndarray]:
-        """Token numbers of each text; with `offsets` one row per token: number, begin and end in code
-        points. Chunks of all texts are looked up and learned together."""
-        parts = [chunked(text) for text in texts]
-        self._learn(set(itertools.chain.from_iterable(parts)), offsets)
-        if not offsets:
-            return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in parts]
-        out = []
-        for chunks in parts:
-            found = [self.places[chunk] for chunk in chunks]
-            rows = np.frombuffer(b"".join(found), np.int32).reshape(-1, 3).copy()
-            begins = np.cumsum([0, *map(len, chunks)][:len(chunks)])
-            rows[:, 1:] += np.repeat(begins, [len(f) // 12 for f in found])[:, None].astype(np.int32)
-            out.append(rows)
+        if offsets:
+            for low in range(0, len(new), 5000):
+                part = new[low:low + 5000]
+                for piece, x in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                    known[piece] = np.array([(i, a, b) for i, (a, b) in zip(x.ids, x.offsets)], np.int32).tobytes()
+        else:
+            spelling, tokens = self.spelling, self.tokenizer.model.tokenize
+            for piece in new:
+                spelled = piece.encode().decode("latin-1").translate(spelling)
+                known[piece] = array.array("i", [token.id for token in tokens(spelled)]).tobytes()
+        out = list(map(known.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > LONGEST:
+                del known[piece]
         return out
 
+    def _matches(self, chunks: list[str], plain: int) -> tuple[list[str], np.ndarray]:
+        """The pattern's matches in all chunks, one chunk after the other, and how many each has. The first
+        `plain` chunks begin with a blank and a visible character and end with a visible one: they are split as
+        one text."""
+        text = "".join(chunks[:plain])
+        pieces = self.pattern.findall(text)
+        ends = np.cumsum(_lengths(pieces))
+        if plain and (not pieces or ends[-1] != len(text)):  # a pattern that leaves characters out
+            pieces, plain = [], 0
+        upto = np.searchsorted(ends, np.cumsum(_lengths(chunks[:plain])), side="right")
+        rest = list(map(self.pattern.findall, chunks[plain:]))
+        pieces += itertools.chain.from_iterable(rest)
+        return pieces, np.concatenate([np.diff(upto, prepend=0), _lengths(rest)])
+
+    def _block(self, data: np.ndarray, begins: np.ndarray, safe: np.ndarray, offsets: bool
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of the chunks between `begins`, a row each; how many tokens and code points each chunk has.
+        `safe` tells for each of `begins` whether it is a place between two visible characters."""
+        places = pa.py_buffer((begins - begins[0]).astype(np.int32))
+        coded = pa.StringArray.from_buffers(
+            len(begins) - 1, places, pa.py_buffer(data[begins[0]:begins[-1]])).dictionary_encode()
+        which = np.asarray(coded.indices)
+        plain = np.zeros(len(coded.dictionary), bool)
+        plain[which[safe[:-1] & safe[1:]]] = True
+        order = np.argsort(~plain, kind="stable")  # plain ones first
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False)[order].tolist()
+        pieces, matches = self._matches(chunks, int(plain.sum()))
+        which = place[which]
+        rows = self._learn(pieces, offsets)
+        width, last = 12 if offsets else 4, np.cumsum(matches)
+        pool, sizes = np.frombuffer(b"".join(rows), np.int32), _lengths(rows) // width
+        if offsets:
+            before = np.cumsum(long := _lengths(pieces)) - long
+            pool = pool.reshape(-1, 3).copy()
+            within = before - np.repeat(np.append(before, 0)[last - matches], matches)
+            pool[:, 1:] += np.repeat(within, sizes)[:, None].astype(np.int32)
+        ends = np.append(0, np.cumsum(sizes))
+        first, count = ends[last - matches], ends[last] - ends[last - matches]
+        return pool[_ranges(first[which], count[which])], count[which], _lengths(chunks)[which]
+
+    def encode_all(self, texts: pa.Array, offsets: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of all texts one after the other, and how many each has; with `offsets` one row per
+        token: number, begin and end in code points."""
+        if not len(texts):
+            return np.zeros((0, 3) if offsets else 0, np.int32), np.zeros(0, np.int64)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, places, buffer = texts.buffers()
+        bounds = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(buffer or b"", np.uint8)[:bounds[-1]]
+        begins, safe = _places(data, bounds)
+        out, counts, points, low = [np.zeros((0, 3) if offsets else 0, np.int32)], [[0]], [[0]], 0
+        while low < len(begins) - 1:
+            high = max(low + 1, int(np.searchsorted(begins, begins[low] + BLOCK, side="right")) - 1)
+            rows, count, long = self._block(data, begins[low:high + 1], safe[low:high + 1], offsets)
+            out.append(rows)
+            counts.append(count)
+            points.append(long)
+            low = high
+        counts, points = (np.concatenate(x).astype(np.int64) for x in (counts, points))
+        firsts = np.searchsorted(begins, bounds)
+        sizes = np.diff(np.cumsum(counts)[firsts])
+        rows = np.concatenate(out)
+        if offsets:
+            before = np.cumsum(points)
+            starts = before[:-1] - np.repeat(before[firsts[:-1]], np.diff(firsts))
+            rows[:, 1:] += np.repeat(starts, counts[1:])[:, None].astype(np.int32)
+        return rows, sizes
+
     def encode(self, text: str, offsets: bool = False) -> np.ndarray:
-        return self.encode_all([text], offsets)[0]
+        return self.encode_all(pa.array([text], pa.string()), offsets)[0]
+
+
+def _lengths(items: Sequence) -> np.ndarray:
+    return np.fromiter(map(len, items), np.int64, len(items))
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after the other."""
+    out = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def _places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks of these texts in UTF-8 begin, and where the last one ends: at the bounds of texts and at
+    blanks between two visible characters; which of these places are such blanks. A few visible characters whose
+    bytes end as those of white space count as white space."""
+    mark = np.zeros(len(data) + 1, bool)
+    for low in range(int(bounds[0]) + 1, len(data) - 1, BLOCK):
+        blanks = np.flatnonzero(data[low:min(low + BLOCK, len(data) - 1)] == 32) + low
+        blanks = blanks[(data[blanks - 1] > 32) & (data[blanks + 1] > 32)]
+        at = {step: data.take(blanks + step, mode="clip") for step in (-3, -2, -1, 1, 2, 3)}
+        spaced = (at[-2] == 0xC2) & _SPACE_OF_TWO[at[-1]] | (at[1] == 0xC2) & _SPACE_OF_TWO[at[2]]
+        for first, last in ((-3, -1), (1, 3)):
+            spaced |= (at[first] >= 0xE1) & (at[first] <= 0xE3) & _SPACE_OF_THREE[at[last]]
+        mark[blanks[~spaced]] = True
+    safe = mark.copy()
+    mark[bounds] = True
+    places = np.flatnonzero(mark)
+    return places, safe[places]
 
 
 @functools.lru_cache(2)
@@ -163,20 +249,8 @@ def decode_ids(path: str, ids: Sequence[int]) -> bytes:
 def decode_all(path: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all these numbers, and how many bytes each gave."""
     data, places = _byte_ranges(path)
-    begins = places[ids]
-    sizes = places[ids + 1] - begins
-    shift = begins - (np.cumsum(sizes) - sizes)
-    return data[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
-
-
-def chunked(text: str) -> list[str]:
-    """The text cut before each blank that stands between two visible characters."""
-    if not text:
-        return []
-    if _MORE_SPACE.search(text) or text[0] == " " or text[-1] == " ":
-        return _SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + part for part in rest)]
+    sizes = places[ids + 1] - places[ids]
+    return data[_ranges(places[ids], sizes)], sizes
 
 
 @functools.lru_cache(2)
@@ -185,19 +259,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _portions(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts with about `most` characters, or one text: what is taken apart at once."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def _added(df: DataFrame, fields: list[T.StructField], drop: Sequence[str] = ()
            ) -> tuple[list[str], T.StructType]:
     new = {f.name.lower() for f in fields} | {d.lower() for d in drop}
@@ -217,10 +278,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offs
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            got = [x for part in _portions(column.to_pylist()) for x in bpe.encode_all(part, offsets)]
-            ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
-            rows = np.concatenate([np.zeros((0, 3) if offsets else 0, np.int32), *got])
+            rows, sizes = bpe.encode_all(batch.column(batch.schema.get_field_index(text)), offsets)
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             rows = rows.T if offsets else rows[None]
             arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(r))) for r in rows]
             yield pa.RecordBatch.from_arrays(
