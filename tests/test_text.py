@@ -1,5 +1,7 @@
 """Text repair, chunking, retrieval and grounding."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +262,24 @@ def test_quotes(spark):
     assert "ALTERED_QUOTE" in findings(spark, altered, [PASSAGE])
 
 
+def test_long_texts_are_checked_word_by_word_once(spark):
+    """Each word was compared with all places worked out anew: minutes for one text of this length."""
+    text = f"{GOOD} {' '.join(f'word{i}' for i in range(8000))} FiO2 8 was used. {PASSAGE[0]}."
+    start = time.monotonic()
+    assert findings(spark, text) >= {"IMPUTED_QUOTED", "FABRICATED_NUMBER"}
+    assert findings(spark, text, [PASSAGE]) >= {"IMPUTED_QUOTED", "UNCITED_QUOTE"}
+    assert time.monotonic() - start < 90
+
+
+def test_findings_name_the_parameter(spark):
+    df = record(spark).withColumn("text", F.lit("PEEP: 17 and pip 3%, SpO2 of 9,1.5; FiO2 8."))
+    none = F.lit(None).cast("array<struct<text:string,citation:string>>")
+    found = grounding.check(df.withColumn("passages", none)).first().findings
+    got = [(f.code, f.evidence) for f in found if f.code in ("PARAM_VALUE_MISMATCH", "IMPUTED_QUOTED")]
+    assert got == [("PARAM_VALUE_MISMATCH", "SpO2 9,1.5"), ("IMPUTED_QUOTED", "FiO2 8"),
+                   ("PARAM_VALUE_MISMATCH", "PEEP 17")]
+
+
 def test_gate(spark):
     rec = record(spark).withColumn("imputed_share", F.lit(0.31)).withColumn(
         "documentation_share", F.lit(0.30))
