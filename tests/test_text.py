@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ventide import config as C
 from ventide.functions import textfn as T
 from ventide.operators import corpus, explain, grounding, records, retrieval
+from ventide.plans import risk
 
 B = T.SOFT_BREAK
 
@@ -280,6 +281,43 @@ def test_findings_name_the_parameter(spark):
                    ("PARAM_VALUE_MISMATCH", "PEEP 17")]
 
 
+def test_context_is_what_evidence_selection_gives(spark):
+    """A passage of two parameters counts once, for the stronger one; the stronger one's come first."""
+    rows = [("context:peep", 1, "c1", "of peep", "A"), ("context:spo2", 2, "c3", "of spo2", "B"),
+            ("context:spo2", 1, "c1", "of peep", "A"), ("context:fio2", 1, "c2", "of fio2", "C"),
+            ("action:HIGH:spo2", 1, "c0", "action", "D")]
+    names = "key string, rank int, chunk_id string, text string, citation string"
+    rec = record(spark).unionByName(record(spark).withColumn("stay_id", F.lit(None).cast("int")))
+    passage = F.struct("text", "citation").alias("passage")
+    for n in range(len(rows) + 1):
+        some = spark.createDataFrame(rows[:n], names)
+        got = explain.with_context(rec, some.select("*", passage)).collect()
+        kept = explain.select_evidence(rec.where("stay_id = 1"), some).where("channel = 'context'").collect()
+        want = [(r.text, r.citation) for r in sorted(kept, key=lambda r: r.n)]
+        assert [[tuple(p) for p in r.passages] for r in got] == [want, want]
+
+
+def test_texts_are_checked_against_passages_of_the_corpus(spark, tmp_path, monkeypatch):
+    line = ("Pulse oximetry and SpO2 are read together, and an SpO2 target of 93 to 97 percent is kept in most"
+            " ventilated adults by the unit protocol while oxygen saturation is watched without a pause")
+    other = " ".join(f"word{i} nothing of the kind" for i in range(9))
+    spark.createDataFrame(
+        [(1, line, "en", "src3", len(line)), (2, other, "en", "src3", len(other)), (3, None, "en", "src4", 0)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    made = explain.with_outcome
+    quote = " ".join(line.split()[5:25])
+    monkeypatch.setattr(risk, "built_records", lambda *_: record(spark))
+    monkeypatch.setattr(explain, "with_outcome", lambda r: made(r).withColumn(
+        "text", F.explode(F.array(*[F.concat("text", F.lit(t)) for t in (
+            "", f" As in Guideline src3: {quote}.", f" {quote}.", f" Guideline src3: {quote.replace('93', '83')}.")]))))
+    got = [(r.passages, {f.code for f in r.findings if f.severity == "violation"})
+           for r in risk.checked(spark, str(tmp_path)).collect()]
+    assert [[(p.text, p.citation) for p in passages] for passages, _ in got] == [[(line, "Guideline src3, p.1")]] * 4
+    codes = [c for _, c in got]
+    assert codes[0] == codes[1] == set() and codes[2] == {"UNCITED_QUOTE"} and "ALTERED_QUOTE" in codes[3]
+
+
 def test_gate(spark):
     rec = record(spark).withColumn("imputed_share", F.lit(0.31)).withColumn(
         "documentation_share", F.lit(0.30))
